@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from spanlake.llm import decontaminate
+from spanlake.llm import decontaminate, sharding, token_counts
 
 QUERIES = {
+    "op1_histogram_shards": sharding.op1_histogram_shards,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLES = {
+    "op1_histogram_shards": sharding.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
 }
