@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from spanlake.llm import decontaminate, sharding, token_counts
+from spanlake.llm import decontaminate, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
     "op1_histogram_shards": sharding.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_substring_dedup": substring_dedup.ORACLE_SQL,
 }
