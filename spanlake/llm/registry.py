@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanlake.llm import decontaminate, sharding, substring_dedup, token_counts, toxicity
+from spanlake.llm import decontaminate, near_dedup, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
