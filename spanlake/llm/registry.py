@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spanlake.llm import decontaminate, near_dedup, sharding, substring_dedup, token_counts, toxicity
+from spanlake.llm import decontaminate, line_dedup, near_dedup, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
