@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanlake.llm import decontaminate, fingerprints, html_text, line_dedup, near_dedup, sharding, substring_dedup, token_counts, toxicity
+from spanlake.llm import decontaminate, fingerprints, html_text, line_dedup, near_dedup, sampled_pieces, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_html_text": html_text.op6_html_text,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_sampled_pieces": sampled_pieces.op8_sampled_pieces,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
 }
