@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanlake.functions.patterns import CATEGORIES, MODEL_TYPES, SPACE_JAVA
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, f"^[{SPACE_JAVA}]+|[{SPACE_JAVA}]+$", "")

@@ -30,7 +30,8 @@ def pattern_matches(text: Column, index: int) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(text.rlike(regex), F.aggregate(pairs, first, step)["out"]).otherwise(F.array().cast(f"array<{ENTITY}>"))
+    able = {"EMAIL": text.contains("@")}.get(category, text.rlike("[0-9]"))
+    return F.when(able & text.rlike(regex), F.aggregate(pairs, first, step)["out"]).otherwise(F.array().cast(f"array<{ENTITY}>"))
 
 
 def candidates(text: Column) -> Column:
@@ -61,7 +62,8 @@ def detect(docs: DataFrame, text: str = "text", out: str = "entities") -> DataFr
 
 def explode_entities(docs: DataFrame, doc_id: str, column: str = "entities") -> DataFrame:
     """A row for each entity, with ordinal, source, confidence, acceptance and a key that any run gives alike."""
-    rows = docs.select(F.col(doc_id), F.posexplode(column).alias("ord", "e"))
+    # The outer form: Spark would else look for empty arrays first, and detect everything twice.
+    rows = docs.select(F.col(doc_id), F.posexplode_outer(column).alias("ord", "e")).where("e is not null")
     return rows.select(
         doc_id,
         "ord",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import repair_spaced_capitals, round_half_up, trim
+from spanlake.functions.text import let, repair_spaced_capitals, round_half_up, trim
 
 #: Score below which a page is sent to recognition.
 THRESHOLD = 0.3
@@ -56,29 +56,34 @@ def fuse(pages: DataFrame, recognised: DataFrame, doc_id: str = "doc_id") -> Dat
 
 def page_quality(strings: Column, width: Column, height: Column) -> Column:
     """Struct of score (two decimals), needs_vision (by the exact score) and reason, from a page's item strings."""
-    trimmed = F.transform(strings, trim)
-    chars = F.aggregate(trimmed, F.lit(0), lambda a, s: a + F.length(s))
-    filled = F.size(F.filter(trimmed, lambda s: F.length(s) > 0))
-    ratio = F.size(F.filter(trimmed, lambda s: F.length(s) == 1)) / F.nullif(filled, F.lit(0))
-    density = chars / (width * height / F.lit(1000.0))
+    lengths = F.transform(strings, lambda s: F.length(trim(s)))
+    zero = F.struct(*[F.lit(0).alias(k) for k in ("chars", "filled", "single")])
+    counted = F.aggregate(lengths, zero, lambda a, n: F.struct((a["chars"] + n).alias("chars"), (a["filled"] + (n > 0).cast("int")).alias("filled"), (a["single"] + (n == 1).cast("int")).alias("single")))
 
     def clamp(c: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
-    exact = clamp(F.lit(1.0) - (ratio - F.lit(0.2)) / F.lit(0.4)) * F.lit(0.6) + clamp((density - F.lit(0.5)) / F.lit(2.5)) * F.lit(0.4)
-    poor = exact < THRESHOLD
-    why = (
-        F.when(ratio > 0.6, F.concat(F.lit("Many single-character items ("), F.floor(ratio * 100 + 0.5).cast("string"), F.lit("%)")))
-        .when(density < 0.5, "Sparse text, mostly images")
-        .otherwise(F.concat(F.lit("Poor text (score "), F.format_string("%.2f", exact), F.lit(")")))
-    )
-
     def result(score: Column, needs: Column, reason: Column) -> Column:
         return F.struct(score.cast("double").alias("score"), needs.alias("needs_vision"), reason.cast("string").alias("reason"))
 
+    def measure(n: Column) -> Column:
+        ratio = n["single"] / F.nullif(n["filled"], F.lit(0))
+        density = n["chars"] / (width * height / F.lit(1000.0))
+        exact = clamp(F.lit(1.0) - (ratio - F.lit(0.2)) / F.lit(0.4)) * F.lit(0.6) + clamp((density - F.lit(0.5)) / F.lit(2.5)) * F.lit(0.4)
+        return F.struct(n["chars"].alias("chars"), ratio.alias("ratio"), density.alias("density"), exact.alias("exact"))
+
+    def judge(m: Column) -> Column:
+        poor = m["exact"] < THRESHOLD
+        why = (
+            F.when(m["ratio"] > 0.6, F.concat(F.lit("Many single-character items ("), F.floor(m["ratio"] * 100 + 0.5).cast("string"), F.lit("%)")))
+            .when(m["density"] < 0.5, "Sparse text, mostly images")
+            .otherwise(F.concat(F.lit("Poor text (score "), F.format_string("%.2f", m["exact"]), F.lit(")")))
+        )
+        blank = result(F.lit(0.0), F.lit(True), F.lit("No readable text"))
+        return F.when(m["chars"] == 0, blank).otherwise(result(round_half_up(m["exact"]), poor, F.when(poor, why)))
+
     none = result(F.lit(0.0), F.lit(True), F.lit("No text items, an image perhaps"))
-    blank = result(F.lit(0.0), F.lit(True), F.lit("No readable text"))
-    return F.when(F.size(strings) <= 0, none).when(chars == 0, blank).otherwise(result(round_half_up(exact), poor, F.when(poor, why)))
+    return F.when(F.size(strings) <= 0, none).otherwise(let(let(counted, measure), judge))
 
 
 def document_quality(pages: DataFrame, doc_id: str = "doc_id") -> DataFrame:

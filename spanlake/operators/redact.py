@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanlake.functions.text import let
+
 BLOCK = "█"
 
 
@@ -40,14 +42,13 @@ def redact(text: Column, spans: Column, style: str = "text", mode: str = "safe")
     if mode == "compat":
         ordered = F.array_sort(F.transform(spans, lambda e, i: F.struct((-e["start_pos"]).alias("k"), i.alias("i"), e.alias("e"))))
         return F.aggregate(ordered, text, lambda acc, x: F.concat(F.substring(acc, F.lit(1), x["e"]["start_pos"]), _replacement(x["e"], style), F.substring(acc, x["e"]["end_pos"] + 1, F.length(acc))))
-    joined = unite(F.array_sort(F.transform(spans, lambda e: F.struct(e["start_pos"].alias("start_pos"), e["end_pos"].alias("end_pos"), e["text"].alias("text")))))
+    spans = F.array_sort(F.transform(spans, lambda e: F.struct(e["start_pos"].alias("start_pos"), e["end_pos"].alias("end_pos"), e["text"].alias("text"))))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         return F.struct(x["end_pos"].cast("int").alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start_pos"] - acc["at"]), _replacement(x, style)).alias("out"))
 
-    done = F.aggregate(joined, first, step)
-    return F.when(F.size(joined) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return let(F.aggregate(unite(spans), first, step), lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
 def segments(text: Column, spans: Column) -> Column:
@@ -64,5 +65,7 @@ def segments(text: Column, spans: Column) -> Column:
         gap = F.when(x["start_pos"] > acc["at"], part(acc["at"], x["start_pos"], plain)).otherwise(F.array().cast(f"array<{kind}>"))
         return F.struct(x["end_pos"].cast("int").alias("at"), F.concat(acc["out"], gap, own).alias("out"))
 
-    done = F.aggregate(spans, first, step)
-    return F.when(done["at"] < F.length(text), F.concat(done["out"], part(done["at"], F.length(text).cast("int"), plain))).otherwise(done["out"])
+    def close(done: Column) -> Column:
+        return F.when(done["at"] < F.length(text), F.concat(done["out"], part(done["at"], F.length(text).cast("int"), plain))).otherwise(done["out"])
+
+    return let(F.aggregate(spans, first, step), close)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEAK = "struct<text:string,byte_offset:int,form:string>"
-
+from spanlake.functions.text import let
 
 def distinct_strings(strings: Column) -> Column:
     """Strings that differ in more than case, the first of each."""
@@ -23,22 +22,19 @@ def leaks(data: Column, strings: Column, utf8: bool = True) -> Column:
 
     Bytes are taken as one character each, so that a place is a byte offset.
     """
-    view = F.decode(data, "ISO-8859-1")
-    low = F.lower(view)
 
-    def search(s: Column) -> Column:
-        wide = F.decode(F.encode(s, "UTF-16BE"), "ISO-8859-1")
-        # Characters below 256 are what a byte view can hold; they stand as a zero byte and themselves.
-        forms = [("exact", F.instr(view, s)), ("any case", F.instr(low, F.lower(s))), ("utf-16", F.instr(view, wide))]
+    def search(s: Column, view: Column, low: Column) -> Column:
+        # A byte view holds characters below 256; in UTF-16BE they stand as a zero byte and themselves.
+        forms = [("exact", F.instr(view, s)), ("any case", F.instr(low, F.lower(s))), ("utf-16", F.instr(view, F.decode(F.encode(s, "UTF-16BE"), "ISO-8859-1")))]
         if utf8:
-            own = F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
-            forms += [("utf-8", F.instr(view, own)), ("utf-8 any case", F.instr(low, F.lower(F.decode(F.encode(F.lower(s), "UTF-8"), "ISO-8859-1"))))]
-        at, form = F.lit(None).cast("int"), F.lit(None).cast("string")
-        for name, where in reversed(forms):
-            at, form = F.when(where > 0, where - 1).otherwise(at), F.when(where > 0, name).otherwise(form)
-        return F.struct(s.alias("text"), at.cast("int").alias("byte_offset"), form.alias("form"))
-
-    return F.filter(F.transform(distinct_strings(strings), search), lambda x: x["byte_offset"].isNotNull())
+            forms += [("utf-8", F.instr(view, F.decode(F.encode(s, "UTF-8"), "ISO-8859-1"))), ("utf-8 any case", F.instr(low, F.lower(F.decode(F.encode(F.lower(s), "UTF-8"), "ISO-8859-1"))))]
+        found = F.filter(F.array(*[F.struct(s.alias("text"), (at - 1).cast("int").alias("byte_offset"), F.lit(name).alias("form")) for name, at in forms]), lambda x: x["byte_offset"] >= 0)
+        return F.slice(found, 1, 1)
+
+    def scan(views: Column) -> Column:
+        return F.flatten(F.transform(distinct_strings(strings), lambda s: search(s, views["view"], views["low"])))
+
+    return let(let(F.decode(data, "ISO-8859-1"), lambda v: F.struct(v.alias("view"), F.lower(v).alias("low"))), scan)
 
 
 def clean_metadata(columns: list[str]) -> list[Column]:
