@@ -47,7 +47,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the sampled piece ids of each text, their number and hash, and whether they decode to the text."""
-    out = sampled_pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    out = sampled_pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], keep_text=False)
     return out.select("doc_id", "lang", "source", "n_pieces", "ids", "ids_sha256", "lossless")
 
 

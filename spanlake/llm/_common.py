@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+#: Rows that add_columns() answers at a time, so that what it returns stays small whatever a record batch holds.
+STEP_ROWS = 1024
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory whatever the batch holds.
 SLICE_BYTES = 1 << 20
 
@@ -57,12 +59,13 @@ def binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return content, starts, valid
 
 
-def add_columns(df: DataFrame, inputs: list[Column], fields: list[StructField], work: Callable[[list[pa.Array]], list]) -> DataFrame:
-    """df with more columns, made from `inputs` by `work` a record batch at a time; no shuffle.
+def add_columns(df: DataFrame, inputs: list[Column], fields: list[StructField], work: Callable[[list[pa.Array]], list], drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with more columns, made from `inputs` by `work` some rows at a time; no shuffle.
 
-    A column of df that has the name of a new one gives way to it. Rows, their order and all other columns stay.
+    A column of df that has the name of a new one gives way to it. Rows, their order and all other columns stay, except
+    those in `drop`, which are not sent back.
     """
-    new = {f.name for f in fields}
+    new = {f.name for f in fields} | set(drop)
     kept = [f for f in df.schema.fields if f.name not in new]
     names = [f"__in{i}" for i in range(len(inputs))]
     source = df.select(*[F.col(f"`{f.name}`") for f in kept], *[c.alias(n) for c, n in zip(inputs, names, strict=True)])
@@ -71,15 +74,15 @@ def add_columns(df: DataFrame, inputs: list[Column], fields: list[StructField],
     n_kept = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            made = work([b.column(n_kept + i) for i in range(len(names))])
-            out = [b.column(i) for i in range(n_kept)]
-            for x, f in zip(made, arrow.names[n_kept:], strict=True):
-                kind = arrow.field(f).type
-                out.append(x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind))
-            yield pa.RecordBatch.from_arrays([c if c.type == k.type else c.cast(k.type) for c, k in zip(out, arrow, strict=True)], names=arrow.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP_ROWS):
+                b = whole.slice(at, STEP_ROWS)
+                made = work([b.column(n_kept + i) for i in range(len(names))])
+                out = [b.column(i) for i in range(n_kept)]
+                for x, f in zip(made, arrow.names[n_kept:], strict=True):
+                    kind = arrow.field(f).type
+                    out.append(x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind))
+                yield pa.RecordBatch.from_arrays([c if c.type == k.type else c.cast(k.type) for c, k in zip(out, arrow, strict=True)], names=arrow.names)
 
     return source.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ SPACE = 0x2581
 PLAIN = 256
 #: Scales all segmentations of a span alike and keeps the sums near one.
 KAPPA = 2.5
-SLICE = 2 << 20
+SLICE = 1 << 19
 _BASE = 0x5851F42D4C957F2D * 8 + 5 & (1 << 64) - 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -264,7 +264,7 @@ def decode(ids: np.ndarray, first: np.ndarray, v: Vocabulary) -> list[bytes]:
     return [content[a + 1 : b].tobytes() if b > a else b"" for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-def encode_texts(docs: DataFrame, path: str, keys: list[str], text: str = "text", alpha: float = 1.0, seed: int = 0, with_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, keys: list[str], text: str = "text", alpha: float = 1.0, seed: int = 0, with_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """docs with n_pieces, ids (if asked for), ids_sha256 (of the ids as little-endian int32), and whether they decode to the text.
 
     The segmentation of a row depends on the columns `keys`, the seed and its text alone. A null or empty text has no
@@ -289,12 +289,12 @@ def encode_texts(docs: DataFrame, path: str, keys: list[str], text: str = "text"
                 lists.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(small)))
         return [n, sha, same, *([pa.concat_arrays(lists)] if with_ids else [])]
 
-    return add_columns(docs, [F.coalesce(F.col(text), F.lit("")).cast("binary"), F.xxhash64(*keys, F.lit(seed))], fields, work)
+    return add_columns(docs, [F.coalesce(F.col(text), F.lit("")).cast("binary"), F.xxhash64(*keys, F.lit(seed))], fields, work, () if keep_text else (text,))
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], with_ids=False)
+    out = encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], with_ids=False, keep_text=False)
     return out.select("doc_id", "n_pieces", "ids_sha256", "lossless")
