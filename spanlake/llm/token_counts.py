@@ -179,6 +179,18 @@ def _counted(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("h", "token", "n").mapInArrow(run, "h long, n long, pieces long")
 
 
+def _commonest(counted: DataFrame, most: int) -> int:
+    """The least frequency of which and above there are no more than `most` pre-tokens; from a histogram of powers of 2^(1/16)."""
+    bins = counted.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n")).orderBy(F.desc("b")).collect()
+    total, least = 0, 1 + max((r.n for r in bins), default=0)
+    for r, below in zip(bins, [*bins[1:], None], strict=False):
+        total += r.c
+        if total > most:
+            break
+        least = below.n + 1 if below else 1
+    return least
+
+
 def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text", out: str = "n_tokens", special: str = "<|endoftext|>", head: int = HEAD) -> DataFrame:
     """The columns `keep` of docs and the number of tokens of each text, a row for each row of docs.
 
@@ -188,7 +200,7 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text"
     mark, sc = special.encode(), docs.sparkSession.sparkContext
     classes = sc.broadcast(_classes(path))
     counted = checkpoint(_counted(_pretokens(docs, text, mark, classes), path))
-    top = counted.orderBy(F.desc("n"), "h").limit(head).select("h", "pieces").toPandas().sort_values("h")
+    top = counted.where(F.col("n") >= _commonest(counted, head)).select("h", "pieces").toPandas().sort_values("h")
     sent = sc.broadcast((top["h"].to_numpy(np.int64), top["pieces"].to_numpy(np.int64)))
 
     def work(cols):
