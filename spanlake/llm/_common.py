@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that add_columns() answers at a time, so that what it returns stays small whatever a record batch holds.
 STEP_ROWS = 1024
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory whatever the batch holds.
 SLICE_BYTES = 1 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of no more than BATCH_ROWS texts: two workers and their executor hold a few of them at a time."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +73,7 @@ def add_columns(df: DataFrame, inputs: list[Column], fields: list[StructField],
     A column of df that has the name of a new one gives way to it. Rows, their order and all other columns stay, except
     those in `drop`, which are not sent back.
     """
+    small_batches(df.sparkSession)
     new = {f.name for f in fields} | set(drop)
     kept = [f for f in df.schema.fields if f.name not in new]
     names = [f"__in{i}" for i in range(len(inputs))]
@@ -98,30 +107,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
-def _inverse(b: int) -> int:
-    return pow(b, -1, 1 << 64)
-
-
 class SpanHasher:
     """64-bit hashes of byte spans by one running sum over the bytes: sum of T[byte] * B^i, shifted back, then mixed.
 
-    T and B come from a seed alone, so all workers agree. Two seeds give independent hashes.
+    T comes from a seed alone, so all workers agree; two seeds give independent hashes. B and the tables of its powers are
+    shared by all hashers of a process.
     """
 
+    BASE = 0x5DEECE66D12B9C4B * 8 + 5 & (1 << 64) - 1
+    power, back = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 1 << 62)) * 8 + 5
-        self.power, self.back = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            m = max(n, 2 * len(self.power))
-            with np.errstate(over="ignore"):
-                for name, b in (("power", self.base), ("back", _inverse(self.base))):
-                    x = np.full(m, b & (1 << 64) - 1, np.uint64)
-                    x[0] = 1
-                    setattr(self, name, np.multiply.accumulate(x))
+
+    @classmethod
+    def _grow(cls, n: int) -> None:
+        if len(cls.power) < n:
+            for name, b in (("power", cls.BASE), ("back", pow(cls.BASE, -1, 1 << 64))):
+                x = np.full(n + n // 8, b, np.uint64)
+                x[0] = 1
+                setattr(cls, name, np.multiply.accumulate(x))
 
     def __call__(self, content: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         n = len(content)

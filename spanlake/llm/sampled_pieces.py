@@ -35,7 +35,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, b in enumerate((_BASE, _BACK)):
-            x = np.full(n * 2, b, np.uint64)
+            x = np.full(n + n // 8, b, np.uint64)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
     return _powers[0], _powers[1]
