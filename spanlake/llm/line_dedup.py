@@ -3,11 +3,12 @@
 A round gives each suffix the class of its first 2h lines from the classes of its first h lines and of the suffix h lines
 on. Suffixes alone in their class are resolved and leave; the others are the LCP intervals of the suffix array at depth
 2h, and the least position in an interval is its first copy. Only repeated suffixes move, so rounds shrink with depth.
-Overlapping blocks of 2^k lines cover every maximal repeated run.
+Overlapping blocks of 2^k lines cover every maximal repeated run, and a rule of length looks at the whole run.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +19,22 @@ from pyspark.sql.types import LongType, StringType, StructField
 
 from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, pieces, table
 
-#: Bytes of a run from which its later copies go; shorter ones, such as lone brackets, may repeat.
-MIN_BYTES = 25
+#: Bytes of a whole run from which its later copies go; 0: all of them.
+MIN_BYTES = 0
 _HASH = (SpanHasher(41), SpanHasher(42))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _says(line: bytes) -> bool:
+    """Whether a letter, digit or mark is in the line."""
+    return any(unicodedata.category(c)[0] in "LNM" for c in line.decode())
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, key, line, n, a, b): each line that is not blank, numbered in its text, with its bytes and its 128-bit id."""
+    """(id, key, line, n, a, b): each line with a letter, digit or mark, numbered among those that are not blank, with its bytes and its 128-bit id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +54,13 @@ def _lines(docs: DataFrame) -> DataFrame:
                 full = solid[stops] > solid[starts]
                 starts, stops, doc = starts[full], stops[full], doc[full]
                 first = np.searchsorted(doc, np.arange(j - i))
-                cols = [ids[i + doc], keys[i + doc], np.arange(len(doc)) - first[doc], stops - starts, *(h(text, starts, stops).view(np.int64) for h in _HASH)]
+                line = np.arange(len(doc)) - first[doc]
+                plain = np.concatenate(([0], np.cumsum(_PLAIN[text])))
+                says = plain[stops] > plain[starts]
+                for k in np.flatnonzero(~says).tolist():
+                    says[k] = _says(text[starts[k] : stops[k]].tobytes())
+                starts, stops, doc, line = starts[says], stops[says], doc[says], line[says]
+                cols = [ids[i + doc], keys[i + doc], line, stops - starts, *(h(text, starts, stops).view(np.int64) for h in _HASH)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["id", "key", "line", "n", "a", "b"])
 
     return docs.select("__id", "__key", F.coalesce(F.col("__text"), F.lit("")).cast("binary")).mapInArrow(run, "id long, key long, line long, n long, a long, b long")
@@ -64,7 +78,7 @@ def _with_key(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__key": F.xxhash64(text), "__text": F.col(text)})
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(__id, __key, __gone): of each document with any, the blocks of lines (first, number) that also stand earlier.
 
     Earlier is a smaller id, or a smaller line number in the same text. __key is the hash of the text: rows with one id
@@ -73,7 +87,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = checkpoint(_repeated(_lines(_with_key(docs, text, doc_id))))
     length, gone = 1, None
     while True:
-        late = rows.where(F.col("late") & (F.col("n") >= min_bytes)).select("id", "key", F.struct("line", F.lit(length).cast("long").alias("lines")).alias("block"))
+        late = rows.where("late").select("id", "key", F.struct("line", F.lit(length).cast("long").alias("lines")).alias("block"))
         gone = late if gone is None else gone.unionByName(late)
         ahead = rows.select("id", "key", (F.col("line") - length).alias("line"), F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
         longer = rows.join(ahead, ["id", "key", "line"])
@@ -89,12 +103,13 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def remove_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with the later copies of repeated line runs cut from the text, and n_lines, n_removed and removed_all.
 
+    A run is as long as lines that stand earlier follow each other; min_bytes is of the whole run without line breaks.
     Lines without a letter, digit or mark are kept and stand in no run. A null or empty text has no lines. A null id
     counts as the smallest. Rows with equal ids and texts are not earlier than each other. Texts without a repeated run
     stay as they are to the byte; removed_all marks texts of which every line that is not blank went.
     """
     order = docs.columns
-    gone = repeated_lines(docs, text, doc_id, min_bytes)
+    gone = repeated_lines(docs, text, doc_id)
     joined = _with_key(docs, text, doc_id).drop("__text").join(gone.hint("shuffle_hash"), ["__id", "__key"], "left").drop("__id", "__key")
     fields = [StructField(text, StringType()), StructField("n_lines", LongType(), False), StructField("n_removed", LongType(), False)]
 
@@ -113,7 +128,9 @@ def remove_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
             for b in blocks.as_py():
                 out[b["line"]] += 1
                 out[b["line"] + b["lines"]] -= 1
-            drop = {full[i] for i in np.flatnonzero(np.cumsum(out)[:-1]).tolist()}
+            cover = np.diff(np.concatenate(([0], np.cumsum(out)[:-1] > 0, [0])))
+            runs = zip(np.flatnonzero(cover > 0).tolist(), np.flatnonzero(cover < 0).tolist(), strict=True)
+            drop = {x for a, b in runs if sum(len(lines[x]) for x in full[a:b]) >= min_bytes for x in full[a:b]}
             texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode())
             n_removed.append(len(drop))
         return [texts, n_lines, n_removed]
@@ -129,20 +146,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute_force(rows: list[tuple[int, str | None]], min_bytes: int = MIN_BYTES) -> dict[int, list[int]]:
     """Numbers of the lines (blank ones not counted) that remove_lines() takes from each text; ids are distinct."""
-    seen: dict[tuple, tuple] = {}
+    seen: dict[bytes, tuple] = {}
     docs = {i: [x for x in (t or "").encode().split(b"\n") if x.strip()] for i, t in rows}
     for i in sorted(docs):
-        for s in range(len(docs[i])):
-            for k in range(len(docs[i]).bit_length()):
-                if s + 2**k <= len(docs[i]):
-                    seen.setdefault(tuple(docs[i][s : s + 2**k]), (i, s))
+        for k, x in enumerate(docs[i]):
+            seen.setdefault(x, (i, k))
     gone = {}
     for i, lines in docs.items():
-        out = set()
-        for s in range(len(lines)):
-            for k in range(len(lines).bit_length()):
-                block = tuple(lines[s : s + 2**k])
-                if len(block) == 2**k and sum(map(len, block)) >= min_bytes and seen[block] < (i, s):
-                    out |= set(range(s, s + 2**k))
-        gone[i] = sorted(out)
+        run, out = [], []
+        for k in range(len(lines) + 1):
+            if k < len(lines) and _says(lines[k]) and seen[lines[k]] < (i, k):
+                run.append(k)
+                continue
+            if sum(len(lines[x]) for x in run) >= min_bytes:
+                out += run
+            run = []
+        gone[i] = out
     return gone

@@ -86,6 +86,16 @@ def test_line_dedup(docs, rows):
         assert got[i].text == "\n".join(kept) and got[i].n_removed == len(gone[i])
 
 
+def test_short_repeated_lines_go(spark):
+    """Written out by hand: short lines, a run of short lines under a rule of length, and lines that say nothing."""
+    rows = [(1, "And ornd.\nfirst text here\n}\n---\n\u7d42"), (2, "And ornd.\nown words\n}\n---\n\u7d42\nAnd ornd."), (3, "a" * 12 + "\n" + "b" * 12 + "\n" + "c" * 12), (4, "x\n" + "a" * 12 + "\n" + "b" * 12 + "\n" + "c" * 12 + "\ny"), (5, "z\n" + "b" * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()}
+    assert got == {1: rows[0][1], 2: "own words\n}\n---", 3: rows[2][1], 4: "x\ny", 5: "z"}
+    got = {r.doc_id: r.text for r in line_dedup.remove_lines(docs, min_bytes=25).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "x\ny", 5: rows[4][1]}
+
+
 @pytest.mark.parametrize("hot", [2, 256])
 def test_substring_dedup(docs, rows, hot):
     first = {}
