@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from spanlake.llm._common import add_columns, binary, mix, pieces, table
 
 SPACE = 0x2581
-#: Characters of a chunk up to which sums are taken in plain arithmetic; longer ones, one by one with logarithms.
+#: Characters of a chunk up to which chunks are summed side by side; longer ones, one by one. Both keep logarithms.
 PLAIN = 256
 #: Scales all segmentations of a span alike and keeps the sums near one.
 KAPPA = 2.5
@@ -83,7 +83,7 @@ class Vocabulary:
         self.tables = []
         for rows, up in zip(by_length, prefixes, strict=True):
             rows.sort()
-            self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.exp(np.array([r[2] for r in rows], float)), np.array(sorted(up), np.uint64)))
+            self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float), np.array(sorted(up), np.uint64)))
 
     def find(self, length: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the table of this length or -1, and whether a longer piece begins so."""
@@ -192,15 +192,14 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
                 e_from.append(node[none])
                 e_to.append(node[none] + 1)
                 e_id.append(np.full(len(none), v.size))
-                e_w.append(np.ones(len(none)))
+                e_w.append(np.zeros(len(none)))
                 e_off.append(offset[none] + 1)
             alive = alive[more & (p + length < end[alive])]
             if not len(alive):
                 break
         e_from, e_to, e_id, e_w, e_off = (np.concatenate(x) for x in (e_from, e_to, e_id, e_w, e_off))
         order = np.lexsort((e_from, e_to, e_off))
-        sums = np.zeros(base[-1])
-        sums[base[:-1]] = 1
+        sums = np.zeros(base[-1])  # logarithms: plain sums of 112 kana are already below the least double
         f, t, w = e_from[order], e_to[order], e_w[order]
         groups = np.flatnonzero(np.diff(t, prepend=-1))
         level = np.searchsorted(e_off[order], np.arange(1, PLAIN + 2))
@@ -210,15 +209,23 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
             a, b = level[p], level[p + 1]
             if a == b:
                 continue
-            prob[a:b] = sums[f[a:b]] * w[a:b]
+            logs = sums[f[a:b]] + w[a:b]
             own = groups[g[p] : g[p + 1]]
-            sums[t[own]] = np.add.reduceat(prob[a:b], own - a)
-        prob /= sums[t]
+            top = np.maximum.reduceat(logs, own - a)
+            each = np.diff(np.append(own, b))
+            prob[a:b] = np.exp(logs - np.repeat(top, each))
+            whole = np.add.reduceat(prob[a:b], own - a)
+            prob[a:b] /= np.repeat(whole, each)
+            sums[t[own]] = top + np.log(whole)
         order2 = np.argsort(t, kind="stable")
         f, t, ids, prob = f[order2], t[order2], e_id[order][order2], prob[order2]
-        cum = np.cumsum(prob)
         lo = np.searchsorted(t, np.arange(base[-1] + 1))
-        before = np.concatenate(([0.0], cum))
+        # Cumulative sums of each node by itself: those of a whole slice would round by what else is in it.
+        cum, nth = prob, np.arange(len(t)) - lo[t]
+        by_nth = np.argsort(nth, kind="stable")
+        ranks = np.searchsorted(nth[by_nth], np.arange(1, int(nth.max(initial=0)) + 2))
+        for a, b in zip(ranks[:-1].tolist(), ranks[1:].tolist(), strict=True):
+            cum[by_nth[a:b]] += cum[by_nth[a:b] - 1]
         # All occurrences, from their ends.
         at_node = base[which] + size
         where = start + size
@@ -229,7 +236,7 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
             x = at_node[live]
             u = _uniform(key[live], where[live] - origin[live])
             a, b = lo[x], lo[x + 1]
-            aim, e = before[a] + u * (before[b] - before[a]), a.copy()
+            aim, e = u * cum[b - 1], a.copy()
             on = np.flatnonzero(e < b - 1)
             while len(on := on[cum[e[on]] <= aim[on]]):
                 e[on] += 1

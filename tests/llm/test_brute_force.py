@@ -186,6 +186,24 @@ def test_long_chunks_agree_with_short_ones(monkeypatch):
     assert sampled_pieces.encode(*args)[0].tolist() == one and sampled_pieces.decode(np.array(one), np.array([0, len(one)]), v) == [body]
 
 
+def test_improbable_chunks_are_sampled_and_disturb_nobody(monkeypatch):
+    v = sampled_pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    rng = random.Random(5)
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200))
+    rows = ["some words before it", base64, "\u304b\u306a" * 60, "zz" + "\u7d42" * 240, "and some other words that come after it"]
+
+    def encode(some):
+        body = [rows[i].encode() for i in some]
+        ids, first = sampled_pieces.encode(np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)]), np.array(some, np.uint64), v)
+        return [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    with np.errstate(divide="raise", invalid="raise"):
+        together = encode(range(5))
+        assert together == [encode([i])[0] for i in range(5)]
+    monkeypatch.setattr(sampled_pieces, "PLAIN", 3)
+    assert encode(range(5)) == together
+
+
 def test_grammar_marks_context():
     g = toxicity.GRAMMAR
 
