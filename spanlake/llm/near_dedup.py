@@ -1,7 +1,8 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 1. A fixed-size sketch of document frequencies over all documents gives the weights.
-2. Each text gets 48 consistent weighted samples, in 16 bands of 3; equal texts are one from here on.
+2. Each text gets 48 consistent weighted samples and 48 plain ones, each in 16 bands of 3; equal texts are one from
+   here on. Weights can put a pair of plain similarity 0.8 far below, so that each measure needs bands of its own.
 3. Texts that share a band and half of their samples are in one candidate cluster; only a spanning forest is kept.
 4. In each cluster all pairs are compared exactly, in blocks where it is large; only links that join parts are kept. A
    pair is linked from a weighted Jaccard similarity of 0.8, or a plain one, which the weights can put just below.
@@ -37,6 +38,7 @@ _HASH = SpanHasher(21)
 _HASH.table[65:91] = _HASH.table[97:123]
 _rng = np.random.Generator(np.random.PCG64(22))
 _ODD = _rng.integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD_PLAIN = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROLL = [int(x) * 2 + 1 for x in _rng.integers(1, 1 << 62, SHINGLE)]
 #: Gamma(2, 1), Gamma(2, 1) and uniform variates that a shingle's hash picks for each sample.
 _R = _rng.gamma(2.0, 1.0, 1 << 16).astype(np.float32) + np.float32(1e-3)
@@ -146,29 +148,44 @@ def samples(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
+def plain_samples(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of SAMPLES least hashes for each of the sets that begin at first; none is empty."""
+    with np.errstate(over="ignore"):
+        return np.stack([np.minimum.reduceat(h * c, first) for c in _ODD_PLAIN], 1) if len(first) else np.zeros((0, SAMPLES), np.uint64)
+
+
+def _keys(s: np.ndarray, kind: int) -> np.ndarray:
+    """The key of each band; its last bit is the kind of the samples, so that kinds never share a bucket."""
+    with np.errstate(over="ignore"):
+        x = s.reshape(BANDS, WIDTH)
+        key = mix(mix(mix(x[:, 0]) + x[:, 1]) + x[:, 2] + np.arange(BANDS, dtype=np.uint64))
+    return (key & ~np.uint64(1) | np.uint64(kind)).view(np.int64)
+
+
 def signatures(docs: DataFrame, idf, text: str = "text") -> DataFrame:
-    """docs with __sig (32 bits of each sample; null without words) and __bands."""
+    """docs with __sig (32 bits of each weighted sample), __plain (8 of each plain one; null without words) and __bands."""
 
     def work(cols):
-        sig, bands = [], []
+        sig, plain, bands = [], [], []
         for i, j, doc, h, n in _texts(cols[0]):
             edges = np.searchsorted(doc, np.arange(j - i + 1))
             w = n * idf.value[_cell(h)]
+            least = iter(plain_samples(h, edges[:-1][np.diff(edges) > 0]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if a == b:
                     sig.append(None)
+                    plain.append(None)
                     bands.append(None)
                     continue
                 s = samples(h[a:b], w[a:b])
+                p = next(least)
                 sig.append(s.astype(np.uint32).tobytes())
-                with np.errstate(over="ignore"):
-                    x = s.reshape(BANDS, WIDTH)
-                    key = mix(mix(mix(x[:, 0]) + x[:, 1]) + x[:, 2] + np.arange(BANDS, dtype=np.uint64))
-                bands.append(key.view(np.int64))
-        return [pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                plain.append(mix(p).astype(np.uint8).tobytes())
+                bands.append(np.concatenate((_keys(s, 0), _keys(p, 1))))
+        return [pa.array(sig, pa.binary()), pa.array(plain, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
 
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return add_columns(docs, [body], [StructField("__sig", BinaryType()), StructField("__bands", ArrayType(LongType()))], work)
+    return add_columns(docs, [body], [StructField("__sig", BinaryType()), StructField("__plain", BinaryType()), StructField("__bands", ArrayType(LongType()))], work)
 
 
 class Forest:
@@ -212,8 +229,9 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """A spanning forest (a, b) of texts that share a band and, in buckets of up to BUCKET texts, half of their samples."""
-    members = reps.where("__sig is not null").select(F.explode("__bands").alias("key"), "rep", "__sig")
+    """A spanning forest (a, b) of texts that share a band and, in buckets of up to BUCKET texts, half of the band's kind of samples."""
+    members = reps.where("__sig is not null").select(F.explode("__bands").alias("key"), "rep", "__sig", "__plain")
+    members = members.select("key", "rep", F.when(F.col("key").bitwiseAND(1) == 0, F.col("__sig")).otherwise(F.col("__plain")).alias("__sig"))
     sizes = checkpoint(members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1"))
     shared = members.select("key", "rep", "__sig").join(sizes.hint("merge"), "key")
     large = shared.where((F.col("n") > BUCKET) & (F.col("rep") != F.col("head"))).select(F.col("rep").alias("a"), F.col("head").alias("b"))
@@ -222,7 +240,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
         a, b = [], []
         for _, parts in _groups(batches, 1):
             ids = np.concatenate([np.asarray(p.column(1)) for p in parts])
-            sig = np.stack([np.frombuffer(x, np.uint32) for p in parts for x in p.column(2).to_pylist()])
+            sig = np.stack([np.frombuffer(x, f"u{len(x) // SAMPLES}") for p in parts for x in p.column(2).to_pylist()])
             forest = Forest(len(ids))
             for i in range(len(ids) - 1):
                 for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) * 2 >= SAMPLES) + i + 1).tolist():
@@ -331,7 +349,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__text": body, "__h1": F.xxhash64(body), "__h2": F.xxhash64(F.md5(body.cast("binary")), F.lit(1))})
     idf = sc.broadcast(weights(rows, "__text"))
     signed = signatures(rows.select("__id", "__h1", "__h2", "__text"), idf, "__text").drop("__text")
-    reps = checkpoint(signed.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.first("__sig").alias("__sig"), F.first("__bands").alias("__bands")))
+    reps = checkpoint(signed.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.first("__sig").alias("__sig"), F.first("__plain").alias("__plain"), F.first("__bands").alias("__bands")))
     found = components(_candidates(reps))
     heads = found.select("component").distinct().select(F.col("component").alias("node"), "component")
     clusters = checkpoint(found.unionByName(heads))

@@ -78,6 +78,20 @@ def test_large_buckets_and_clusters(spark, monkeypatch):
     assert all(got[i] == (0 if i < 1000 else i) for i, _ in rows)
 
 
+def test_variants_in_a_hot_group(spark):
+    """Plain similarity 0.81 to a base whose shingles weigh little: 86 shingles shared, 10 on each side."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 201):
+        t = base[:]
+        t[rng.randrange(5, 45)], t[rng.randrange(55, 95)] = f"e{i}", f"f{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join(f"x{i}y{k}" for k in range(30))) for i in range(400)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (0 if i < 1000 else i) for i, _ in rows)
+
+
 def test_line_dedup(docs, rows):
     gone = line_dedup.brute_force(rows)
     got = {r.doc_id: r for r in line_dedup.remove_lines(docs).collect()}
