@@ -31,8 +31,8 @@ RAW = re.compile(r"</(script|style)\s*>", re.I)
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-#: First parts of names that tell of the page, such as has-sidebar, and mark nothing.
-STATES = frozenset("has with without no js is".split())
+#: First parts of names that tell of the page or its subject, such as has-sidebar or tag-social, and mark nothing.
+STATES = frozenset("has with without no js is layout category tag".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 DIGITS = re.compile(r"\d+")
@@ -44,16 +44,21 @@ def _names(attributes: str) -> tuple[str, bool]:
     if "=" not in attributes:
         return "", False
     found = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)}
-    marked = any(parts[0] not in STATES and any(w in MARKS for w in parts) for v in found.values() for name in v.split() for parts in [NOT_NAME.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())])
+    marked = any(parts[0] not in STATES and "with" not in parts and (parts[0] in MARKS or parts[-1] in MARKS) for v in found.values() for name in v.split() for parts in [NOT_NAME.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())])
     kind = " ".join(sorted(DIGITS.sub("#", found.get("class") or "").split())) or ("#" + DIGITS.sub("#", found["id"]) if found.get("id") else "")
     return "." + kind if kind else "", marked
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, list[int]]], list[str]]:
-    """Blocks outside boilerplate in page order (text, characters in links, open containers) and each container's path."""
+    """Blocks outside boilerplate in page order (text, characters in links, open containers) and each container's path.
+
+    A mark drops no element that holds most of the page's unlinked text.
+    """
     blocks: list[tuple[str, int, list[int]]] = []
+    under: list[list[int]] = []  # of each block, the open elements with a mark
+    n_marked = 0
     paths: list[str] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path, out, container or -1
+    stack: list[tuple[str, str, bool, int, int]] = []  # tag, path, out, container or -1, mark's number or -1
     buffer: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -63,7 +68,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, list[int]]], list[str]]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text and not (stack and stack[-1][2]):
-                blocks.append((text, linked, [c for _, _, _, c in stack if c >= 0]))
+                blocks.append((text, linked, [x[3] for x in stack if x[3] >= 0]))
+                under.append([x[4] for x in stack if x[4] >= 0])
         linked = 0
 
     def close(depth: int):
@@ -119,8 +125,11 @@ def parse(page: str) -> tuple[list[tuple[str, int, list[int]]], list[str]]:
             continue
         kind, marked = _names(m[3])
         up, out = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        if tag in OUT or marked and tag not in ("html", "body", "main"):
+        mark = -1
+        if tag in OUT:
             out = True
+        elif marked and tag not in ("html", "body", "main", "article"):
+            mark, n_marked = n_marked, n_marked + 1
         elif tag == "header" and not any(x[0] in ("article", "main") for x in stack):
             out = True
         path, container = up, -1
@@ -129,8 +138,16 @@ def parse(page: str) -> tuple[list[tuple[str, int, list[int]]], list[str]]:
             container = len(paths)
             paths.append(path)
         in_link += tag == "a"
-        stack.append((tag, path, out, container))
+        stack.append((tag, path, out, container, mark))
     flush()
+    if n_marked:
+        held, total = [0] * n_marked, 0
+        for (text, linked, _), marks in zip(blocks, under, strict=True):
+            own = max(0, len(text) - linked)
+            total += own
+            for k in marks:
+                held[k] += own
+        blocks = [b for b, marks in zip(blocks, under, strict=True) if all(2 * held[k] > total for k in marks)]
     return blocks, paths
 
 

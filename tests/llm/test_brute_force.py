@@ -245,6 +245,12 @@ def test_page_with_everything():
     assert html_text.extract(blocks, paths, "/body/absent") == html_text.extract(blocks, paths, None)
 
 
+@pytest.mark.parametrize("wrap", ["article class='post category-notice'", "article class='post tag-social'", "div class='content-with-sidebar'", "div class='layout-right-sidebar'", "div class='notice'"])
+def test_marks_spare_articles_and_most_of_the_text(wrap):
+    page = f"<body><{wrap}><p>The text of the page, which is long</p></{wrap.split()[0]}><div class='share-bar'>Share</div><div class='sidebar'>More</div></body>"
+    assert html_text.extract(*html_text.parse(page), None) == "The text of the page, which is long"
+
+
 @needs_data
 def test_pipeline(spark):
     """The stages one by one: what each keeps, against the operators' own brute-force versions."""
