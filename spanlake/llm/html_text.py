@@ -2,7 +2,8 @@
 
 Each page scores its containers by the text that stands in them outside links and votes for the generalised path (tags
 and classes, digits masked) of the best. Votes are counted for each host in Spark; the path that most pages of a host
-vote for is taken for all of its pages, and a page that lacks it falls back to its own best container.
+vote for is taken for all of its pages, and a page that lacks it falls back to its own best container. In each page the
+winner is widened to the article around it.
 """
 
 from __future__ import annotations
@@ -152,11 +153,11 @@ def parse(page: str) -> tuple[list[tuple[str, int, list[int]]], list[str]]:
 
 
 def best(blocks: list, paths: list[str]) -> tuple[str, float] | None:
-    """Path and score of the container with most text of its own: a block counts for its container, and half one up."""
+    """Path and score of the container with most text: a block counts for its container, half one up, a third two up."""
     score: dict[int, float] = defaultdict(float)
     for text, linked, chain in blocks:
         own = len(text) * max(0.0, 1 - linked / max(1, len(text))) ** 2
-        for k, c in enumerate(reversed(chain[-2:])):
+        for k, c in enumerate(reversed(chain)):
             score[c] += own / (1 + k)
     if not score:
         return None
@@ -164,14 +165,47 @@ def best(blocks: list, paths: list[str]) -> tuple[str, float] | None:
     return paths[top], score[top]
 
 
+def widened(blocks: list, paths: list[str], inside: set[int]) -> set[int]:
+    """The nearest article or main around each container; without one, the outermost that adds no more links than text.
+
+    The body itself is only taken where it is the container.
+    """
+    up: dict[int, int] = {}
+    length: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for text, linked, chain in blocks:
+        up.update(zip(chain[1:], chain, strict=False))
+        for c in chain:
+            length[c][0] += len(text)
+            length[c][1] += min(linked, len(text))
+
+    def tag(c: int) -> str:
+        return re.match(r"/(\w*)", paths[c][len(paths[up[c]]) if c in up else 0 :])[1]
+
+    out = set()
+    for c in inside:
+        line = [c]
+        while line[-1] in up:
+            line.append(up[line[-1]])
+        found = next((x for x in line if tag(x) in ("article", "main")), None)
+        if found is None:
+            found = c
+            for x in line[1:]:
+                more, links = (a - b for a, b in zip(length[x], length[found], strict=True))
+                if tag(x) == "body" or 2 * links > more:
+                    break
+                found = x
+        out.add(found)
+    return out
+
+
 def extract(blocks: list, paths: list[str], path: str | None) -> str:
-    """The blocks in containers of this path, else of the page's own best one, else all; one on a line."""
+    """The blocks in containers of this path and the articles around them, else of the page's own best one, else all; one on a line."""
     if path is None or path not in paths:
         own = best(blocks, paths)
         path = own[0] if own else None
     if path is None:
         return "\n".join(t for t, _, _ in blocks)
-    inside = {i for i, p in enumerate(paths) if p == path}
+    inside = widened(blocks, paths, {i for i, p in enumerate(paths) if p == path})
     return "\n".join(t for t, _, chain in blocks if not inside.isdisjoint(chain))
 
 

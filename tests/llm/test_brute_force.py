@@ -251,6 +251,13 @@ def test_marks_spare_articles_and_most_of_the_text(wrap):
     assert html_text.extract(*html_text.parse(page), None) == "The text of the page, which is long"
 
 
+@pytest.mark.parametrize("wrap", ["article", "main", "div class='story'"])
+def test_whole_articles(wrap):
+    long = "long text " * 30
+    page = f"<body><{wrap}><h1>Heading</h1><p>Lead</p><div class='body'><section class='intro'><p>{long}</p></section><section class='more'><div><div><p>{long}</p></div></div></section></div></{wrap.split()[0]}><div><a href=/x>Somewhere else on this site</a></div></body>"
+    assert html_text.extract(*html_text.parse(page), None).split("\n") == ["Heading", "Lead", long.strip(), long.strip()]
+
+
 @needs_data
 def test_pipeline(spark):
     """The stages one by one: what each keeps, against the operators' own brute-force versions."""
