@@ -23,8 +23,8 @@ def toggle(entities: DataFrame, log: DataFrame, keys: tuple[str, ...] = ("doc_id
 
 
 def set_category(entities: DataFrame, rules: DataFrame) -> DataFrame:
-    """entities accepted by a small table (category, accepted); categories that it lacks count as accepted."""
-    return entities.join(F.broadcast(rules.limit(1000).withColumnRenamed("accepted", "__rule")), "category", "left").withColumn("accepted", F.coalesce("__rule", F.lit(True))).drop("__rule")
+    """entities accepted by a table (category, accepted); categories that it lacks count as accepted."""
+    return entities.join(rules.withColumnRenamed("accepted", "__rule"), "category", "left").withColumn("accepted", F.coalesce("__rule", F.lit(True))).drop("__rule")
 
 
 def edit_text(entities: DataFrame, edits: DataFrame, keys: tuple[str, ...] = ("doc_id", "entity_id")) -> DataFrame:

@@ -196,3 +196,11 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "mail a@b.com")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first().redacted == "mail [REDACTED]"
+
+
+def test_set_category_takes_all_rules(spark):
+    from spanlake.operators import review
+
+    ents = spark.range(1500).selectExpr("id", "concat('c', id) AS category", "true AS accepted")
+    rules = spark.range(1500).selectExpr("concat('c', id) AS category", "false AS accepted")
+    assert review.set_category(ents, rules).where("accepted").count() == 0
