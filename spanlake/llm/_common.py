@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,13 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one beside the working folder where it is unset and all runs in one process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/spanlake-checkpoints"
+
+
 def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; choose one only where none is set (tests)."""
+    """Keep the cluster's shared folder; choose one only where none is set (a local session, as in tests)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(where or "/tmp/spanlake-checkpoints")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -107,32 +117,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class SpanHasher:
-    """64-bit hashes of byte spans by one running sum over the bytes: sum of T[byte] * B^i, shifted back, then mixed.
+    """64-bit hashes of byte spans: eight bytes a step, each step mixed, so that no two steps can cancel out.
 
-    T comes from a seed alone, so all workers agree; two seeds give independent hashes. B and the tables of its powers are
-    shared by all hashers of a process.
+    State and increment come from the seed alone, so all workers agree, and hashers of two seeds share neither: two
+    spans that collide in one do so in the other by chance only. Spans of more than LONG bytes are hashed by BLAKE2 with
+    the seed as its key.
     """
 
-    BASE = 0x5DEECE66D12B9C4B * 8 + 5 & (1 << 64) - 1
-    power, back = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    LONG = 1024
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    @classmethod
-    def _grow(cls, n: int) -> None:
-        if len(cls.power) < n:
-            for name, b in (("power", cls.BASE), ("back", pow(cls.BASE, -1, 1 << 64))):
-                x = np.full(n + n // 8, b, np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
+        self.state, self.step = rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.key = seed.to_bytes(8, "little")
 
     def __call__(self, content: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        n = len(content)
-        self._grow(n + 1)
+        padded = np.zeros(len(content) + 8, np.uint8)
+        padded[: len(content)] = content
+        words = np.ndarray((len(content) + 1,), "<u8", padded, strides=(1,))
+        size = stop - start
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.table[content] * self.power[:n], out=total[1:])
-            return mix((total[stop] - total[start]) * self.back[start] + (stop - start).astype(np.uint64))
+            out = mix(size.astype(np.uint64) * self.step + self.state)
+            live = np.flatnonzero((size > 0) & (size <= self.LONG))
+            at, left, h = start[live], size[live], out[live]
+            while len(live):
+                h = mix((h + self.step) ^ (words[at] & _KEEP[np.minimum(left, 8)]))
+                out[live] = h
+                on = np.flatnonzero(left > 8)
+                live, at, left, h = live[on], at[on] + 8, left[on] - 8, h[on]
+        for k in np.flatnonzero(size > self.LONG).tolist():
+            body = padded[start[k] : stop[k]]
+            out[k] = int.from_bytes(hashlib.blake2b(body, digest_size=8, key=self.key).digest(), "little")
+        return out
+
+
+def combined(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
+    """One hash of two, in their order."""
+    return mix(a * odd + b)
+
+
+def rolled(h: np.ndarray, n: int, odd: np.uint64) -> np.ndarray:
+    """Hash of each n consecutive hashes, by doubling: blocks of 1, 2, 4, ... hashes are mixed pair by pair."""
+    many = len(h) - n + 1
+    if many <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, span, block = None, 0, 1, h
+    with np.errstate(over="ignore"):
+        while done < n:
+            if n & span:
+                part = block[done : done + many]
+                out = part if out is None else combined(out, part, odd)
+                done += span
+            if done < n:
+                block = combined(block[:-span], block[span:], odd)
+                span *= 2
+    return out if n > 1 else out.copy()

@@ -19,14 +19,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.where("m != u").select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes of the edges but the least of each component; component: its least node.
 
-    Edges may repeat, point either way or join a node with itself. No edges give no rows.
+    Edges may repeat, point either way or join a node with itself. No edges give no rows. Rounds go on until nothing
+    changes: their number grows with the logarithm of the nodes.
     """
     now = checkpoint(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = checkpoint(_star(both, True).distinct())
         now = checkpoint(_star(large, False).distinct())

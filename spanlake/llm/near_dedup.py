@@ -3,18 +3,22 @@
 1. A fixed-size sketch of document frequencies over all documents gives the weights.
 2. Each text gets 48 consistent weighted samples and 48 plain ones, each in 16 bands of 3; equal texts are one from
    here on. Weights can put a pair of plain similarity 0.8 far below, so that each measure needs bands of its own.
-3. Texts that share a band and half of their samples are in one candidate cluster; only a spanning forest is kept.
-4. In each cluster all pairs are compared exactly, in blocks where it is large; only links that join parts are kept. A
-   pair is linked from a weighted Jaccard similarity of 0.8, or a plain one, which the weights can put just below.
+3. Texts that share a band and half of its kind of samples are candidates, in buckets of any size.
+4. Candidates that hang together are a cluster, in which pairs are compared exactly: a pair is linked from a weighted
+   Jaccard similarity of 0.8, or a plain one, which the weights can put below.
 5. Components of the links are the classes.
+
+Buckets (3) and clusters (4) are searched alike: all members against the least one first, then only those that are not
+linked to it against all, in blocks. Pairs of which both are linked to the least one are in one part already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
@@ -25,17 +29,17 @@ from spanlake.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, WIDTH = 16, 3
 SAMPLES = BANDS * WIDTH
-#: Cells of the document-frequency sketch: 4 MB of weights, whatever the corpus. Parts it is merged in.
-CELLS, PARTS = 1 << 20, 16
-#: Members of a bucket up to which sampled likeness is looked at pair by pair; of larger ones, all are taken together.
-BUCKET = 64
-#: Rows of a block of a large cluster.
-BLOCK = 128
+#: Cells of the document-frequency sketch: 4 MB of weights, whatever the corpus. Parts it is merged in, and lanes in
+#: which the tasks' sketches of a part are merged before.
+CELLS, PARTS, LANES = 1 << 20, 64, 16
+#: Rows of a block of a bucket, and rows and bytes of text of a block of a cluster, about.
+BUCKET, BLOCK, BLOCK_BYTES = 2048, 256, 4 << 20
 
 _SEP = np.ones(256, bool)
 _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _HASH = SpanHasher(21)
-_HASH.table[65:91] = _HASH.table[97:123]
 _rng = np.random.Generator(np.random.PCG64(22))
 _ODD = _rng.integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD_PLAIN = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,7 +63,7 @@ def shingles(content: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     word = ~sep[at] if len(at) else np.zeros(0, bool)
     start, stop = at[word], stop[word]
     first = np.searchsorted(start, offsets)
-    h = _HASH(content, start, stop)
+    h = _HASH(_LOWER[content], start, stop)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(h) - SHINGLE + 1
     docs, hashes = [], []
@@ -102,27 +106,30 @@ def weights(docs: DataFrame, text: str = "text") -> np.ndarray:
             for _, _, doc, h, _ in _texts(b.column(0)):
                 total += np.bincount(_cell(h), minlength=CELLS)
                 n += len(np.unique(doc))
-        width = CELLS // PARTS
+        width, lane = CELLS // PARTS, TaskContext.get().partitionId() % LANES
         for p in range(PARTS if n else 0):
             part = total[p * width : (p + 1) * width]
             at = np.flatnonzero(part)
-            yield pa.RecordBatch.from_pydict({"part": [p], "at": [at.astype(np.uint16).tobytes()], "n": [part[at].astype(np.uint32).tobytes()], "docs": [n if p == 0 else 0]})
+            yield pa.RecordBatch.from_pydict({"part": [p], "lane": [lane], "at": [at.astype(np.uint16).tobytes()], "n": [part[at].tobytes()], "docs": [n if p == 0 else 0]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
+        sums: dict[tuple[int, int], list] = {}
         for b in batches:
-            for p, at, n, docs_ in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                s = sums.setdefault(p, [np.zeros(CELLS // PARTS, np.int64), 0])
-                s[0][np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+            for p, lane, at, n, docs_ in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                s = sums.setdefault((p, lane), [np.zeros(CELLS // PARTS, np.int64), 0])
+                s[0][np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
                 s[1] += docs_
-        for p, (total, n) in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": [p], "n": [total.tobytes()], "docs": [n]})
-
-    parts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(count, "part long, at binary, n binary, docs long")
+        for (p, lane), (total, n) in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"part": [p], "lane": [lane], "at": [at.astype(np.uint16).tobytes()], "n": [total[at].tobytes()], "docs": [n]})
+
+    schema = "part long, lane long, at binary, n binary, docs long"
+    parts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(count, schema)
+    # First the sketches of a lane, then the lanes, so that no task merges those of all tasks.
+    parts = parts.repartition("part", "lane").mapInArrow(merge, schema).withColumn("lane", F.lit(0).cast("long"))
     df, n = np.zeros(CELLS, np.int64), 0
-    for r in parts.repartition(PARTS, "part").mapInArrow(merge, "part long, n binary, docs long").collect():
-        x = np.frombuffer(r.n, np.int64)
-        df[r.part * len(x) : (r.part + 1) * len(x)] = x
+    for r in parts.repartition(PARTS, "part").mapInArrow(merge, schema).collect():
+        df[r.part * (CELLS // PARTS) + np.frombuffer(r.at, np.uint16).astype(np.int64)] = np.frombuffer(r.n, np.int64)
         n += r.docs
     return np.log1p(max(n, 1) / np.maximum(df, 1)).astype(np.float32)
 
@@ -163,7 +170,7 @@ def _keys(s: np.ndarray, kind: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, text: str = "text") -> DataFrame:
-    """docs with __sig (32 bits of each weighted sample), __plain (8 of each plain one; null without words) and __bands."""
+    """docs with __sig and __plain (16 bits of each weighted and plain sample; null without words) and __bands."""
 
     def work(cols):
         sig, plain, bands = [], [], []
@@ -179,8 +186,8 @@ def signatures(docs: DataFrame, idf, text: str = "text") -> DataFrame:
                     continue
                 s = samples(h[a:b], w[a:b])
                 p = next(least)
-                sig.append(s.astype(np.uint32).tobytes())
-                plain.append(mix(p).astype(np.uint8).tobytes())
+                sig.append(mix(s).astype(np.uint16).tobytes())
+                plain.append(mix(p).astype(np.uint16).tobytes())
                 bands.append(np.concatenate((_keys(s, 0), _keys(p, 1))))
         return [pa.array(sig, pa.binary()), pa.array(plain, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
 
@@ -188,23 +195,6 @@ def signatures(docs: DataFrame, idf, text: str = "text") -> DataFrame:
     return add_columns(docs, [body], [StructField("__sig", BinaryType()), StructField("__plain", BinaryType()), StructField("__bands", ArrayType(LongType()))], work)
 
 
-class Forest:
-    """Union-find that reports the links that joined two parts."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
     """Consecutive rows with equal keys (the first columns), across batches."""
     key, held = None, []
@@ -228,33 +218,90 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield key, held
 
 
+def _near_pairs(rows: DataFrame, stats: DataFrame, star: Callable, cross: Callable, payload: str) -> DataFrame:
+    """Links (a, b) that join the members of each group as all pairs that are near would; rows (group, node, payload).
+
+    stats: (group, n, head, parts), the members of each group, its least one and its blocks. `star` says of the
+    members of a block whether they are near the head. Groups of which some are not go on: each block of these meets
+    each block of all members in `cross`.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    known = rows.join(stats.hint("merge"), "group")
+    is_head = F.col("node") == F.col("head")
+    to = F.when(is_head, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    stars = known.select("group", F.explode(to).alias("part"), "head", "node", is_head.alias("first"), payload)
+    stars = stars.repartition("group", "part").sortWithinPartitions("group", "part", F.desc("first"))
+    flags = checkpoint(stars.mapInArrow(star, "group long, head long, node long, near boolean"))
+    # The head is no row of flags: groups of two are done with.
+    rest = flags.groupBy("group").agg(F.sum((~F.col("near")).cast("long")).alias("rest"), F.count("*").alias("others")).where("rest > 0 and others > 1").drop("others")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("parts") * F.col("rest") / F.col("n"))).cast("int")
+    todo = checkpoint(rest.join(stats.hint("merge"), "group").select("group", "head", "parts", parts.alias("few")))
+    left = rows.join(flags.where("not near").select("group", "node"), ["group", "node"]).join(todo.hint("merge"), "group")
+    left = left.select("group", F.pmod(F.xxhash64("node"), F.col("few")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), "node", payload)
+    right = rows.join(todo.hint("merge"), "group").select("group", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), own.alias("j"), F.lit(1).alias("side"), "node", payload)
+    both = left.unionByName(right).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return flags.where("near").select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(both.mapInArrow(cross, "a long, b long"))
+
+
+def _joins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs, in their order, join two parts."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out[k] = True
+    return out
+
+
+def _sampled(column: pa.Array) -> np.ndarray:
+    content, offsets, _ = binary(column)
+    return content[offsets[0] : offsets[-1]].view(np.uint16).reshape(-1, SAMPLES)
+
+
 def _candidates(reps: DataFrame) -> DataFrame:
-    """A spanning forest (a, b) of texts that share a band and, in buckets of up to BUCKET texts, half of the band's kind of samples."""
-    members = reps.where("__sig is not null").select(F.explode("__bands").alias("key"), "rep", "__sig", "__plain")
-    members = members.select("key", "rep", F.when(F.col("key").bitwiseAND(1) == 0, F.col("__sig")).otherwise(F.col("__plain")).alias("__sig"))
-    sizes = checkpoint(members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1"))
-    shared = members.select("key", "rep", "__sig").join(sizes.hint("merge"), "key")
-    large = shared.where((F.col("n") > BUCKET) & (F.col("rep") != F.col("head"))).select(F.col("rep").alias("a"), F.col("head").alias("b"))
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for _, parts in _groups(batches, 1):
-            ids = np.concatenate([np.asarray(p.column(1)) for p in parts])
-            sig = np.stack([np.frombuffer(x, f"u{len(x) // SAMPLES}") for p in parts for x in p.column(2).to_pylist()])
-            forest = Forest(len(ids))
-            for i in range(len(ids) - 1):
-                for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) * 2 >= SAMPLES) + i + 1).tolist():
-                    if forest.join(i, j):
-                        a.append(int(ids[i]))
-                        b.append(int(ids[j]))
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-    small = shared.where(F.col("n") <= BUCKET).select("key", "rep", "__sig").repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
-    return large.unionByName(small)
+    """Links (a, b) of texts that share a band and half of the band's kind of samples, as many as join them."""
+    members = reps.where("__sig is not null").select(F.explode("__bands").alias("group"), "node", "__sig", "__plain")
+    members = members.select("group", "node", F.when(F.col("group").bitwiseAND(1) == 0, F.col("__sig")).otherwise(F.col("__plain")).alias("sig"))
+    blocks = F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")
+    stats = checkpoint(members.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("group", "n", "head", blocks))
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = np.zeros((1, SAMPLES), np.uint16)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first = np.asarray(b.column(4))
+            sig = np.concatenate((carried, _sampled(b.column(5))))
+            at = np.maximum.accumulate(np.where(first, np.arange(1, len(sig)), 0))
+            near = (sig[1:] == sig[at]).sum(1) * 2 >= SAMPLES
+            carried = sig[at[-1] : at[-1] + 1]
+            keep = np.flatnonzero(~first)
+            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(keep)) for i in (0, 2, 3)] + [pa.array(near[keep])], names=["group", "head", "node", "near"])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _groups(batches, 3):
+            side, ids = (np.concatenate([np.asarray(p.column(i)) for p in parts]) for i in (3, 4))
+            sig = np.concatenate([_sampled(p.column(5)) for p in parts])
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            a, b = [], []
+            for x in one.tolist():
+                hit = two[(sig[two] == sig[x]).sum(1) * 2 >= SAMPLES]
+                a.append(np.full(len(hit), ids[x]))
+                b.append(ids[hit])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                keep = _joins(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return _near_pairs(members, stats, star, cross, "sig")
 
 
 def likeness(left: list[tuple], right: list[tuple]) -> np.ndarray:
@@ -302,65 +349,89 @@ def _tokens(texts: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _verified(clusters: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) of at least the threshold that join two parts of a cluster or of a pair of its blocks."""
-    sizes = checkpoint(clusters.groupBy("component").agg(F.count("*").alias("n")))
-    members = clusters.join(sizes, "component")
-    # Small clusters are one block; of large ones, each pair of blocks meets in a task of its own.
-    blocks = F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.greatest(F.least(F.lit(32), F.ceil(F.col("n") / BLOCK)), F.ceil(F.col("n") / 4096))).cast("int")
-    members = members.select("component", "node", blocks.alias("nb"))
-    rows = docs.select(F.col("__id").alias("node"), F.col("__text").alias("text")).join(members.hint("shuffle_hash"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", F.col("text").cast("binary").alias("t"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), parts in _groups(batches, 3):
-            side = np.concatenate([np.asarray(p.column(3)) for p in parts])
-            ids = np.concatenate([np.asarray(p.column(4)) for p in parts])
+def _verified(texts: DataFrame, sizes: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) of texts of at least the threshold, as many as join them; texts (group, node, t), sizes (group, node, __size)."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts")
+    totals = sizes.groupBy("group").agg(F.count("*").alias("n"), F.sum("__size").alias("bytes"), F.min("node").alias("head"))
+    stats = checkpoint(totals.select("group", "n", "head", blocks))
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group, _, head), parts in _groups(batches, 3):
+            first, ids = (np.concatenate([np.asarray(p.column(i)) for p in parts]) for i in (4, 3))
             sets = [t for p in parts for t in _tokens(p.column(5), idf.value)]
-            one = np.arange(len(ids)) if i == j else np.flatnonzero(side == 0)
-            two = one if i == j else np.flatnonzero(side == 1)
-            forest, a, b = Forest(len(ids)), [], []
+            k = int(np.flatnonzero(first)[0])
+            others = np.flatnonzero(~first)
+            near = [likeness([sets[k]], [sets[x] for x in others[s : s + 1024]])[0] >= threshold for s in range(0, len(others), 1024)]
+            if near:
+                yield pa.RecordBatch.from_pydict({"group": np.full(len(others), group), "head": np.full(len(others), head), "node": ids[others], "near": np.concatenate(near)})
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _groups(batches, 3):
+            side, ids = (np.concatenate([np.asarray(p.column(i)) for p in parts]) for i in (3, 4))
+            sets = [t for p in parts for t in _tokens(p.column(5), idf.value)]
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             for s in range(0, len(one), 256):
-                rows_ = one[s : s + 256]
                 for u in range(0, len(two), 1024):
-                    cols = two[u : u + 1024]
-                    hit = np.argwhere(likeness([sets[x] for x in rows_], [sets[x] for x in cols]) >= threshold)
-                    for x, y in hit.tolist():
-                        if rows_[x] != cols[y] and forest.join(int(rows_[x]), int(cols[y])):
-                            a.append(int(ids[rows_[x]]))
-                            b.append(int(ids[cols[y]]))
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                    rows_, cols = one[s : s + 256], two[u : u + 1024]
+                    x, y = np.nonzero(likeness([sets[i] for i in rows_], [sets[i] for i in cols]) >= threshold)
+                    a, b = ids[rows_[x]], ids[cols[y]]
+                    keep = _joins(a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(compare, "a long, b long")
+    return _near_pairs(texts, stats, star, cross, "t")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with rep_id (least id of the rows with an equal text) and class_id (least id of the near-duplicate class).
+    """docs with rep_id, class_id, class_key and kept.
+
+    rep_id is the least id of the rows with an equal text, class_id the least id of the near-duplicate class; ids that
+    are null count only where there are no others, and give null. class_key is a number of the class by itself: classes
+    of texts, so that rows with null or clashing ids never meet by their ids. kept marks the rows of one document of the
+    class: those with the least id (null ids last) and, among them, the least hash of the text.
 
-    Texts without words, null ones too, are alike only to equal texts; null texts are equal. A null id counts as -2^63
-    and is returned so in rep_id and class_id. Rows with equal ids and different texts are taken as one document, that
-    of the text met first in the order of the texts' hashes. Rows stay as they are, repeated ones too.
+    Texts without words are alike only to equal texts; null texts count as empty. Rows stay as they are, repeated ones
+    too, which are one document: all or none of them are kept. Columns of docs that have the name of a new one give way.
     """
     sc = docs.sparkSession.sparkContext
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__text": body, "__h1": F.xxhash64(body), "__h2": F.xxhash64(F.md5(body.cast("binary")), F.lit(1))})
+    marked = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__text": body, "__h1": F.xxhash64(body), "__h2": F.xxhash64(F.md5(body.cast("binary")), F.lit(1))})
+    rows = marked.select("__id", "__h1", "__h2", "__text")
     idf = sc.broadcast(weights(rows, "__text"))
-    signed = signatures(rows.select("__id", "__h1", "__h2", "__text"), idf, "__text").drop("__text")
-    reps = checkpoint(signed.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.first("__sig").alias("__sig"), F.first("__plain").alias("__plain"), F.first("__bands").alias("__bands")))
-    found = components(_candidates(reps))
-    heads = found.select("component").distinct().select(F.col("component").alias("node"), "component")
-    clusters = checkpoint(found.unionByName(heads))
-    links = _verified(clusters, rows, idf, threshold)
-    classes = components(links).withColumnsRenamed({"node": "rep", "component": "__class"})
-    named = checkpoint(reps.select("__h1", "__h2", "rep").join(classes, "rep", "left").select("__h1", "__h2", F.col("rep").alias("rep_id"), F.coalesce("__class", "rep").alias("class_id")))
-    kept = [c for c in rows.columns if c not in ("rep_id", "class_id", "__text")]
-    return rows.select(*[f"`{c}`" for c in kept]).join(named.hint("merge"), ["__h1", "__h2"]).drop("__h1", "__h2", "__id")
+    signed = signatures(rows.withColumn("__size", F.octet_length("__text").cast("long")), idf, "__text").drop("__text")
+    firsts = [F.first(c).alias(c) for c in ("__size", "__sig", "__plain", "__bands")]
+    # A number for each text: the rows are written once, with their numbers.
+    reps = checkpoint(signed.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), *firsts).withColumn("node", F.monotonically_increasing_id()))
+    found = components(_candidates(reps)).withColumnRenamed("component", "group")
+    heads = found.select(F.col("group").alias("node"), "group").distinct()
+    clusters = checkpoint(reps.select("__h1", "__h2", "node", "rep", "__size").join(found.unionByName(heads), "node"))
+    # Of equal texts, one stands for all.
+    texts = rows.join(clusters.hint("shuffle_hash"), ["__h1", "__h2"]).where(F.col("__id").eqNullSafe(F.col("rep")))
+    texts = checkpoint(texts.select("group", "node", F.col("__text").cast("binary").alias("t")).dropDuplicates(["node"]))
+    classes = components(_verified(texts, clusters.select("group", "node", "__size"), idf, threshold))
+    linked = classes.unionByName(classes.select(F.col("component").alias("node"), "component").distinct())
+    order = F.struct(F.col("rep").isNull(), "rep", "__h1", "__h2", "node")
+    members = checkpoint(linked.join(reps.select("node", "rep", "__h1", "__h2"), "node"))
+    firsts = members.groupBy("component").agg(F.min("rep").alias("least"), F.min(order).getField("node").alias("first"))
+    of_class = members.select("node", "component").join(firsts.hint("merge"), "component")
+    alone = F.col("component").isNull()
+    named = checkpoint(
+        reps.select("__h1", "__h2", "node", "rep")
+        .join(of_class, "node", "left")
+        .select(
+            "__h1",
+            "__h2",
+            F.col("rep").alias("rep_id"),
+            F.when(alone, F.col("rep")).otherwise(F.col("least")).alias("class_id"),
+            F.coalesce("component", "node").alias("class_key"),
+            (alone | (F.col("first") == F.col("node"))).alias("__first"),
+        )
+    )
+    new = ("rep_id", "class_id", "class_key", "kept")
+    plain = marked.select(*[f"`{c}`" for c in docs.columns if c not in new], "__h1", "__h2", "__id")
+    out = plain.join(named.hint("merge"), ["__h1", "__h2"]).withColumn("kept", F.col("__first") & F.col("__id").eqNullSafe(F.col("rep_id")))
+    return out.drop("__h1", "__h2", "__id", "__first")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = near_duplicates(docs)
-    return out.select("doc_id", "rep_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return near_duplicates(docs).select("doc_id", "rep_id", "class_id", "kept")

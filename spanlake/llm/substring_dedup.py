@@ -3,6 +3,9 @@
 Partition sketches count the anchors of windows, each once a document, and are merged; the sums bound from above how many
 documents hold a window. A second pass takes only windows whose bound is two or more and groups them exactly, by 128
 bits of hash. Windows of an anchor that few documents share meet in one task; those of hot anchors are pre-aggregated.
+
+A merged sketch of bounded size goes to all workers. Beyond that bound its cells stay dealt over the tasks that summed
+them, and each document's anchors are joined to them. Texts are read a fixed number of times at any size.
 """
 
 from __future__ import annotations
@@ -15,18 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, mix, pieces, table
+from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, mix, pieces, rolled, table
 
 WINDOW, GRAM = 50, 8
-#: Rows of the sketch, cells of a row for each anchor, parts in which cells are merged, documents from which an anchor is hot.
-ROWS, CELLS, SLICES, HOT = 2, 6, 64, 256
-#: Cells of a row, at most, so that the broadcast is 128 MB at most; beyond, windows are taken in turns by their anchors.
-MAX_CELLS = 1 << 29
+#: Rows of the sketch, cells of a row for each anchor, least number of parts in which cells are merged and most cells of
+#: a part, documents from which an anchor is hot.
+ROWS, CELLS, SLICES, SLICE_CELLS, HOT = 2, 6, 64, 1 << 20, 256
+#: Cells of a row that are sent to all workers, at most: 128 MB for both rows. Bytes of text to an anchor, about.
+MAX_CELLS, ANCHOR_BYTES = 1 << 29, 130
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _HASH = (SpanHasher(71), SpanHasher(72))
-_ROLL = tuple(int(x) * 8 + 5 for x in np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 60, 3))
+_ODD = tuple(np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
 
 def words(content: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,21 +47,6 @@ def words(content: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, stop, np.searchsorted(start, offsets)
 
 
-def rolled(h: np.ndarray, n: int, which: int) -> np.ndarray:
-    """Hash of each n consecutive hashes."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        c = _ROLL[which]
-        power = np.full(len(h) + 1, c & (1 << 64) - 1, np.uint64)
-        back = np.full(len(h) + 1, pow(c, -1, 1 << 64), np.uint64)
-        power[0] = back[0] = 1
-        power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * power[:-1], out=total[1:])
-        return mix((total[n:] - total[:-n]) * back[: len(h) - n + 1])
-
-
 def least(x: np.ndarray, n: int) -> np.ndarray:
     """Least of each n consecutive values."""
     if len(x) < n:
@@ -69,22 +58,25 @@ def least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
 
 
-def windows(content, offsets):
-    """Of one slice: word bounds, first words, first words of windows, anchors and two hashes of each window.
+def windows(content: np.ndarray, offsets: np.ndarray, hashes: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of one slice: first word of each text, first words of windows, their anchors and as many hashes of them.
 
     The anchor of a window is the least hash of its runs of GRAM words: equal windows have equal anchors, and windows
-    next to each other mostly share one, so that counting anchors bounds the counts of windows from above.
+    next to each other mostly share one, so that counting anchors bounds the counts of windows from above. Anchors and
+    the first of the hashes stand on independent hashes of the words.
     """
     start, stop, first = words(content, offsets)
-    h = _HASH[0](content, start, stop)
-    n = len(h) - WINDOW + 1
+    n = len(start) - WINDOW + 1
     if n <= 0:
-        return start, stop, first, np.zeros(0, np.int64), np.zeros(0, np.uint64), (np.zeros(0, np.uint64),) * 2
+        return first, np.zeros(0, np.int64), np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * hashes
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
-    anchor = least(rolled(h, GRAM, 0), WINDOW - GRAM + 1)[at]
-    h2 = _HASH[1](content, start, stop)
-    return start, stop, first, at, anchor, (rolled(h, WINDOW, 1)[at], rolled(h2, WINDOW, 2)[at])
+    h = _HASH[0](content, start, stop)
+    anchor = least(rolled(h, GRAM, _ODD[0]), WINDOW - GRAM + 1)[at]
+    found = [rolled(_HASH[1](content, start, stop), WINDOW, _ODD[1])[at]] if hashes else []
+    if hashes > 1:
+        found.append(rolled(h, WINDOW, _ODD[2])[at])
+    return first, at, anchor, found
 
 
 class Sketch:
@@ -115,8 +107,8 @@ def cells_of(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(anchors ^ salt) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _distinct(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Anchors of a slice, each once a document."""
+def _distinct(anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of a slice, each once a document, and the documents."""
     new = np.ones(len(anchor), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     a, d = anchor[new], doc[new]
@@ -124,26 +116,40 @@ def _distinct(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
     a, d = a[order], d[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-    return a[new]
+    return a[new], d[new]
+
+
+class Listed:
+    """What the sketch says of the anchors in one batch, from the lists that were joined to its rows."""
+
+    def __init__(self, anchors: pa.Array, hot: pa.Array):
+        flat, is_hot = np.asarray(anchors.flatten()).view(np.uint64), np.asarray(hot.flatten()) > 0
+        self.anchors, self.hot = np.unique(flat), np.unique(flat[is_hot])
+
+    def repeated(self, anchors: np.ndarray) -> np.ndarray:
+        return _among(anchors, self.anchors)
+
+    def is_hot(self, anchors: np.ndarray) -> np.ndarray:
+        return _among(anchors, self.hot)
+
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
-def _slices(batch: pa.RecordBatch, column: int, part: tuple[int, int]) -> Iterator[tuple]:
-    """First row, and what windows() has of it, for each slice; only windows whose anchor falls to this round."""
+
+def _slices(batch: pa.RecordBatch, column: int, hashes: int = 0) -> Iterator[tuple]:
+    """First row, first words of windows and of texts, anchors, documents and hashes of the windows of each slice."""
     content, offsets, _ = binary(batch.column(column))
-    turn, turns = part
     for i, j in pieces(np.diff(offsets)):
         own = offsets[i : j + 1]
-        start, stop, first, at, anchor, h = windows(content[own[0] : own[-1]], own - own[0])
-        doc = np.searchsorted(first, at, "right") - 1
-        if turns > 1:
-            mine = (anchor >> np.uint64(40)) % np.uint64(turns) == np.uint64(turn)
-            at, anchor, doc, h = at[mine], anchor[mine], doc[mine], h[mine]
-        yield i, at, first, anchor, doc, h
+        first, at, anchor, h = windows(content[own[0] : own[-1]], own - own[0], hashes)
+        yield i, at, first, anchor, np.searchsorted(first, at, "right") - 1, h
 
 
-def sketch(docs: DataFrame, cells: int, part: tuple[int, int], hot_at: int = HOT) -> Sketch:
+def sketch(docs: DataFrame, cells: int, hot_at: int = HOT) -> Sketch:
     """Partition sketches, sent as their cells that are not zero, merged a slice of the cells at a time."""
-    width = cells // SLICES
+    slices = max(SLICES, cells // SLICE_CELLS)
+    width = cells // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -153,8 +159,8 @@ def sketch(docs: DataFrame, cells: int, part: tuple[int, int], hot_at: int = HOT
             out = {"slice": [], "row": [], "cells": [], "counts": []}
             for row in range(ROWS):
                 c, n = np.unique(cells_of(a, row, cells), return_counts=True)
-                edges = np.searchsorted(c, np.arange(SLICES + 1) * width)
-                for s in range(SLICES):
+                edges = np.searchsorted(c, np.arange(slices + 1) * width)
+                for s in range(slices):
                     x = slice(edges[s], edges[s + 1])
                     if x.stop > x.start:
                         for name, v in (("slice", s), ("row", row), ("cells", (c[x] - s * width).astype(np.uint32).tobytes()), ("counts", np.minimum(n[x], 65535).astype(np.uint16).tobytes())):
@@ -162,8 +168,8 @@ def sketch(docs: DataFrame, cells: int, part: tuple[int, int], hot_at: int = HOT
             return pa.RecordBatch.from_pydict(out, schema=pa.schema([("slice", pa.int32()), ("row", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())]))
 
         for b in batches:
-            for _, _, _, anchor, doc, _ in _slices(b, 0, part):
-                held.append(_distinct(anchor, doc))
+            for _, _, _, anchor, doc, _ in _slices(b, 0):
+                held.append(_distinct(anchor, doc)[0])
                 size += len(held[-1])
                 if size > 1 << 21:
                     yield flush()
@@ -183,7 +189,7 @@ def sketch(docs: DataFrame, cells: int, part: tuple[int, int], hot_at: int = HOT
             yield pa.RecordBatch.from_pydict({"slice": [s], "row": [row], "bits": [np.packbits(total >= 2, bitorder="little").tobytes()], "hot": [(hot + s * width).tobytes()], "n": [total[hot].astype(np.int64).tobytes()]})
 
     sent = docs.select(F.coalesce(F.col("__text"), F.lit("")).cast("binary").alias("t")).mapInArrow(count, "slice int, row int, cells binary, counts binary")
-    merged = sent.repartition(SLICES, "slice", "row").mapInArrow(merge, "slice long, row long, bits binary, hot binary, n binary").collect()
+    merged = sent.repartition(slices, "slice", "row").mapInArrow(merge, "slice long, row long, bits binary, hot binary, n binary").collect()
     bits = [np.zeros(cells // 8, np.uint8) for _ in range(ROWS)]
     hot: list[list] = [[] for _ in range(ROWS)]
     for r in sorted(merged, key=lambda r: r.slice):
@@ -201,15 +207,41 @@ def _covered(at: np.ndarray) -> bytes:
     return np.column_stack((at[new], at[last] + WINDOW)).astype(np.int32).tobytes()
 
 
-def _cold(docs: DataFrame, sent, part) -> DataFrame:
+def listed(docs: DataFrame, cells: int, hot_at: int = HOT) -> DataFrame:
+    """docs that have an anchor of a cell counted twice or more, with these (__anchors) and whether they are hot (__hot).
+
+    The sketch has one row here, whose cells stay where they are summed: each task sums its own cells first.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, keys = (np.asarray(b.column(i)) for i in (0, 1))
+            for row, _, _, anchor, doc, _ in _slices(b, 2):
+                a, d = _distinct(anchor, doc)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row + d]), pa.array(keys[row + d]), pa.array(a.view(np.int64)), pa.array(cells_of(a, 0, cells))], names=["__id", "__key", "anchor", "cell"])
+
+    rows = docs.select("__id", "__key", F.coalesce(F.col("__text"), F.lit("")).cast("binary")).mapInArrow(emit, "__id long, __key long, anchor long, cell long")
+    sums = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    # Plain exchanges on either side, so that Spark can split the rows of very common anchors.
+    own = rows.join(sums.hint("merge"), "cell").groupBy("__id", "__key")
+    lists = own.agg(F.collect_list("anchor").alias("__anchors"), F.collect_list((F.col("n") >= hot_at).cast("int")).alias("__hot"))
+    return docs.join(checkpoint(lists).hint("merge"), ["__id", "__key"])
+
+
+def _sent(docs: DataFrame, sent) -> DataFrame:
+    return docs.select("__id", "__key", F.coalesce(F.col("__text"), F.lit("")).cast("binary"), *([] if sent else ["__anchors", "__hot"]))
+
+
+def _cold(docs: DataFrame, sent=None) -> DataFrame:
     """Covered ranges from anchors of few documents: all runs of an anchor meet in one task."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = (np.asarray(b.column(i)) for i in (0, 1))
-            for row, at, first, anchor, doc, h in _slices(b, 2, part):
-                keep = np.flatnonzero(sent.value.repeated(anchor))
-                keep = keep[~sent.value.is_hot(anchor[keep])]
+            counted = sent.value if sent else Listed(b.column(3), b.column(4))
+            for row, at, first, anchor, doc, h in _slices(b, 2, 1):
+                keep = np.flatnonzero(counted.repeated(anchor))
+                keep = keep[~counted.is_hot(anchor[keep])]
                 at, anchor, doc, h1 = at[keep], anchor[keep], doc[keep], h[0][keep]
                 if not len(at):
                     continue
@@ -268,19 +300,20 @@ def _cold(docs: DataFrame, sent, part) -> DataFrame:
         if held:
             yield resolve(*merged())
 
-    rows = docs.select("__id", "__key", F.coalesce(F.col("__text"), F.lit("")).cast("binary")).mapInArrow(emit, "anchor long, id long, key long, at int, h array<long>")
+    rows = _sent(docs, sent).mapInArrow(emit, "anchor long, id long, key long, at int, h array<long>")
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(group, "id long, key long, spans binary")
 
 
-def _hot(docs: DataFrame, sent, part) -> DataFrame:
+def _hot(docs: DataFrame, sent=None) -> DataFrame:
     """Covered ranges from anchors that many documents share: least ids are pre-aggregated by window, then joined."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = (np.asarray(b.column(i)) for i in (0, 1))
-            for row, at, first, anchor, doc, h in _slices(b, 2, part):
-                keep = np.flatnonzero(sent.value.is_hot(anchor))
-                keep = keep[sent.value.repeated(anchor[keep])]
+            counted = sent.value if sent else Listed(b.column(3), b.column(4))
+            for row, at, first, anchor, doc, h in _slices(b, 2, 2):
+                keep = np.flatnonzero(counted.is_hot(anchor))
+                keep = keep[counted.repeated(anchor[keep])]
                 if not len(keep):
                     continue
                 at, doc, h1, h2 = at[keep], doc[keep], h[0][keep], h[1][keep]
@@ -293,31 +326,33 @@ def _hot(docs: DataFrame, sent, part) -> DataFrame:
                 spans = [_covered(x) for x in np.split(at - first[doc], s[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64)), pa.array(ids[row + own]), pa.array(keys[row + own]), pa.array(spans, pa.binary())], names=["h1", "h2", "id", "key", "spans"])
 
-    rows = docs.select("__id", "__key", F.coalesce(F.col("__text"), F.lit("")).cast("binary")).mapInArrow(emit, "h1 long, h2 long, id long, key long, spans binary")
+    rows = _sent(docs, sent).mapInArrow(emit, "h1 long, h2 long, id long, key long, spans binary")
     ids = checkpoint(rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least").select("h1", "h2", "least"))
     # Both sides are plain exchanges, so that Spark can split the partitions of very common windows.
     return rows.join(ids.hint("merge"), ["h1", "h2"]).where("id > least").select("id", "key", "spans")
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_at: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_at: int = HOT, max_cells: int = MAX_CELLS) -> DataFrame:
     """docs with __spans: the word ranges of each text that windows of documents with a smaller id cover.
 
     A null id counts as the smallest; rows with equal ids do not count as earlier than each other. Null, empty and short
-    texts have no windows. Rows stay as they are, also repeated ones.
+    texts have no windows. Rows stay as they are, also repeated ones. A worker holds one text whole, with about 15 bytes
+    a byte of the longest. max_cells bounds the sketch that is sent to all workers (1 bit a cell and row); results do
+    not depend on it.
     """
     docs = docs.withColumns({"__id": F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).cast("long"), "__text": F.col(text), "__key": F.xxhash64(text)})
     size = docs.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
-    needed = max(1 << 16, CELLS * size // 130)  # a document has about one anchor in 130 bytes
-    cells = 1 << min(int(needed - 1).bit_length(), MAX_CELLS.bit_length() - 1)
-    turns = max(1, -(-needed // (2 * MAX_CELLS)))
-    sc = docs.sparkSession.sparkContext
-    found = None
-    for turn in range(turns):
-        part = (turn, turns)
-        sent = sc.broadcast(made := sketch(docs, cells, part, hot_at))
-        parts = [_cold(docs, sent, part)] + ([_hot(docs, sent, part)] if all(len(h[0]) for h in made.hot) else [])
-        for p in parts:
-            found = p if found is None else found.unionByName(p)
+    needed = max(1 << 16, CELLS * size // ANCHOR_BYTES)
+    cells = 1 << int(needed - 1).bit_length()
+    if needed <= 2 * max_cells:
+        made = sketch(docs, min(cells, max_cells), hot_at)
+        sent = docs.sparkSession.sparkContext.broadcast(made)
+        found = _cold(docs, sent)
+        if all(len(h[0]) for h in made.hot):
+            found = found.unionByName(_hot(docs, sent))
+    else:
+        own = listed(docs, cells, hot_at)
+        found = _cold(own).unionByName(_hot(own.where(F.array_contains("__hot", 1))))
     spans = found.groupBy("id", "key").agg(F.collect_list("spans").alias("__spans"))
     joined = docs.join(spans.withColumnsRenamed({"id": "__id", "key": "__key"}), ["__id", "__key"], "left")
     return joined.drop("__id", "__key", "__text")

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from spanlake.llm._common import SpanHasher, rolled
 from spanlake.llm import components, fingerprints, html_text, line_dedup, near_dedup, sampled_pieces, sharding, substring_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -72,10 +73,16 @@ def test_near_duplicates(docs, rows):
 def test_large_buckets_and_clusters(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 3)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(base[:i] + [f"e{i}"] + base[i + 1 :])) for i in range(0, 60)] + [(1000 + i, " ".join(f"x{i}y{k}" for k in range(30))) for i in range(10)]
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == (0 if i < 1000 else i) for i, _ in rows)
+    # A chain: each text is near the next few only, so that most links are not to the least text of the cluster.
+    chain = [(i, " ".join(f"c{k}" for k in range(4 * i, 4 * i + 100))) for i in range(40)]
+    docs = spark.createDataFrame(chain + [(100, "c1 c2 c3 c4 c5 c6")], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert all(got[i] == (0 if i < 100 else i) for i in got)
 
 
 def test_variants_in_a_hot_group(spark):
@@ -113,14 +120,15 @@ def test_short_repeated_lines_go(spark):
     assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "x\ny", 5: rows[4][1]}
 
 
+@pytest.mark.parametrize("max_cells", [0, 1 << 29])
 @pytest.mark.parametrize("hot", [2, 256])
-def test_substring_dedup(docs, rows, hot):
+def test_substring_dedup(docs, rows, hot, max_cells):
     first = {}
     words = {i: t.split() for i, t in rows}
     for i in sorted(words):
         for k in range(len(words[i]) - 49):
             first.setdefault(tuple(words[i][k : k + 50]), i)
-    got = {r.doc_id: bytes(r.kept).decode() for r in substring_dedup.kept_words(substring_dedup.repeated_spans(docs, hot_at=hot)).collect()}
+    got = {r.doc_id: bytes(r.kept).decode() for r in substring_dedup.kept_words(substring_dedup.repeated_spans(docs, hot_at=hot, max_cells=max_cells)).collect()}
     for i, w in words.items():
         out = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for p in range(k, k + 50)}
         assert got[i] == " ".join(x for p, x in enumerate(w) if p not in out)
@@ -139,6 +147,30 @@ def test_shards_by_sorting(spark):
         below += size
 
 
+def test_hashes_of_structured_spans_differ():
+    """Thue-Morse strings and their complements cancel out in sums of powers of two's units; here no step can cancel."""
+    tm = [bin(i).count("1") % 2 for i in range(4096)]
+    for n in (8, 64, 512, 1024, 2048, 4096):
+        body = np.array([97 + x for x in tm[:n]] + [98 - x for x in tm[:n]], np.uint8)
+        for seed in (9, 21, 41, 42, 71, 72):
+            a, b = SpanHasher(seed)(body, np.array([0, n]), np.array([n, 2 * n]))
+            assert a != b
+        h = np.where(body == 97, 3, 5).astype(np.uint64)
+        r = rolled(h, n, np.uint64(0x9E3779B97F4A7C15))
+        assert len(r) == n + 1 and r[0] != r[-1]
+    rng = np.random.default_rng(1)
+    body = rng.integers(0, 3, 3000).astype(np.uint8)
+    start = rng.integers(0, 3000, 4000)
+    stop = np.minimum(3000, start + rng.integers(0, 1400, 4000))
+    seen = {}
+    for h, a, b in zip(SpanHasher(5)(body, start, stop).tolist(), start, stop, strict=True):
+        assert seen.setdefault(h, body[a:b].tobytes()) == body[a:b].tobytes()
+    again = SpanHasher(5)(body, start, stop).tolist()
+    same = {}
+    for h, a, b in zip(again, start, stop, strict=True):
+        assert same.setdefault(body[a:b].tobytes(), h) == h
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)]

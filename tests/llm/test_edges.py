@@ -32,10 +32,29 @@ def test_near_duplicates(edges, empty, want):
     out = near_dedup.near_duplicates(edges)
     assert ids(out) == want
     got = {(r.doc_id, r.text is None): r.class_id for r in out.collect()}
-    assert got[5, False] == got[6, False] == 5 and got[4, False] == 4
+    assert got[5, False] == got[6, False] == 5 and got[4, False] == 4 and out.drop("rep_id", "class_id", "class_key", "kept").columns == edges.columns
+    rows = {(r.doc_id, r.text): r for r in out.collect()}
+    # Texts without an id, and different ones of one id, meet nobody; repeated rows are one document.
+    assert len({r.class_key for r in rows.values()}) == len({r.text or "" for r in rows.values()})
+    assert rows[None, "a text without an id"].class_id is None and rows[None, "a text without an id"].kept
+    assert rows[7, "another text under the same id"].class_key != rows[7, "Grüße 中文 \U0001f600 ▁ x"].class_key
+    assert rows[None, None].class_id == 1 and not rows[None, None].kept and rows[1, None].kept and not rows[2, ""].kept
+    assert out.where("kept and doc_id = 7").count() == 3 and [r.doc_id for r in out.where("kept and doc_id in (5, 6)").collect()] == [5]
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    """Unrelated texts with null or equal ids stay apart; a near copy joins its own class only."""
+    words = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows = [(None, words[0]), (None, words[1]), (7, words[2]), (7, words[1] + " more"), (5, words[0] + " end"), (None, words[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rep_id": F.lit("x"), "kept": F.lit("y"), "node": F.lit(1), "group": F.lit(2), "rep": F.lit(3), "component": F.lit(4)})
+    out = near_dedup.near_duplicates(docs).collect()
+    keys = {r.text: r.class_key for r in out}
+    assert len(out) == 6 and keys[words[0]] == keys[words[0] + " end"] and keys[words[1]] == keys[words[1] + " more"] and len(set(keys.values())) == 3
+    assert {(r.text, r.class_id) for r in out} == {(words[0], 5), (words[0] + " end", 5), (words[1], 7), (words[1] + " more", 7), (words[2], 7)}
+    assert Counter(r.text for r in out if r.kept) == {words[0] + " end": 1, words[1] + " more": 1, words[2]: 1}
+
+
 def test_decontamination(spark, edges, empty, want):
     items = spark.createDataFrame([(1, "Short ONE"), (1, "short one"), (2, None), (3, ""), (4, "!!"), (None, "short one"), (5, "word0 in line0 word1 in line1 word2 in line2 word3")], "item_id int, text string")
     out = decontaminate.scan(edges, items)
