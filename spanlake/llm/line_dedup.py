@@ -1,9 +1,11 @@
-"""Line dedup: suffixes of line-id sequences are classed by distributed prefix doubling; later copies of runs go.
-
-A round gives each suffix the class of its first 2h lines from the classes of its first h lines and of the suffix h lines
-on. Suffixes alone in their class are resolved and leave; the others are the LCP intervals of the suffix array at depth
-2h, and the least position in an interval is its first copy. Only repeated suffixes move, so rounds shrink with depth.
-Overlapping blocks of 2^k lines cover every maximal repeated run, and a rule of length looks at the whole run.
+"""Line dedup: a suffix array over line-id sequences by distributed prefix doubling; later copies of repeated runs go.
+
+Equal texts are one sequence; of their rows only those with the least id are not later copies as a whole. A round ranks
+suffixes by their first 2h lines: the pairs of the rank at a line and the rank h lines on are sorted over all tasks, and
+the place of a pair is the new rank. Suffixes alone at their rank are resolved and leave; the others at one rank are an
+interval of the suffix array with a common prefix of 2h lines or more, and the least position of it is the first copy.
+Only repeated suffixes move, so rounds shrink with depth. The overlapping intervals of 1, 2, 4, ... lines cover every
+maximal repeated run, and a rule of length looks at the whole run.
 """
 
 from __future__ import annotations
@@ -33,13 +35,19 @@ def _says(line: bytes) -> bool:
     return any(unicodedata.category(c)[0] in "LNM" for c in line.decode())
 
 
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs with the id (null: the least number) and a 128-bit key of the text; a null text counts as empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__k1": F.xxhash64(body), "__k2": F.xxhash64(F.md5(body.cast("binary")), F.lit(1)), "__text": body})
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, key, line, n, a, b): each line with a letter, digit or mark, numbered among those that are not blank, with its bytes and its 128-bit id."""
+    """(k1, k2, line, id, r1, r2): each line of each text that has a letter, digit or mark, numbered among those that are not blank, with the least id of the text and the line's 128-bit id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, offsets, _ = binary(batch.column(2))
-            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            content, offsets, _ = binary(batch.column(3))
+            own_columns = [np.asarray(batch.column(k)) for k in range(3)]
             for i, j in pieces(np.diff(offsets)):
                 own = offsets[i : j + 1]
                 text, own = content[own[0] : own[-1]], own - own[0]
@@ -50,54 +58,62 @@ def _lines(docs: DataFrame) -> DataFrame:
                 starts = starts[starts < len(text)]
                 doc = np.searchsorted(own, starts, "right") - 1
                 stops = np.minimum(np.append(breaks, len(text))[np.searchsorted(breaks, starts)], own[doc + 1])
-                solid = np.concatenate(([0], np.cumsum(~_BLANK[text])))
+                solid = np.concatenate(([0], np.cumsum(~_BLANK[text], dtype=np.int32)))
                 full = solid[stops] > solid[starts]
                 starts, stops, doc = starts[full], stops[full], doc[full]
                 first = np.searchsorted(doc, np.arange(j - i))
                 line = np.arange(len(doc)) - first[doc]
-                plain = np.concatenate(([0], np.cumsum(_PLAIN[text])))
+                plain = np.concatenate(([0], np.cumsum(_PLAIN[text], dtype=np.int32)))
                 says = plain[stops] > plain[starts]
                 for k in np.flatnonzero(~says).tolist():
                     says[k] = _says(text[starts[k] : stops[k]].tobytes())
                 starts, stops, doc, line = starts[says], stops[says], doc[says], line[says]
-                cols = [ids[i + doc], keys[i + doc], line, stops - starts, *(h(text, starts, stops).view(np.int64) for h in _HASH)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["id", "key", "line", "n", "a", "b"])
+                cols = [*(c[i + doc] for c in own_columns), line, *(h(text, starts, stops).view(np.int64) for h in _HASH)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["k1", "k2", "id", "line", "r1", "r2"])
 
-    return docs.select("__id", "__key", F.coalesce(F.col("__text"), F.lit("")).cast("binary")).mapInArrow(run, "id long, key long, line long, n long, a long, b long")
+    rows = docs.select("__k1", "__k2", "__id", F.col("__text").cast("binary")).mapInArrow(run, "k1 long, k2 long, id long, line long, r1 long, r2 long")
+    return rows.groupBy("k1", "k2", "line").agg(F.min("id").alias("id"), F.first("r1").alias("r1"), F.first("r2").alias("r2"))
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose class has others, with `late`: an earlier position is in the class."""
-    first = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "line")).alias("f")).where("c > 1")
-    first = checkpoint(first.select("a", "b", F.col("f.id").alias("f1"), F.col("f.key").alias("f2"), F.col("f.line").alias("f3")))
-    late = F.struct("id", "key", "line") > F.struct(F.col("f1").alias("id"), F.col("f2").alias("key"), F.col("f3").alias("line"))
-    return rows.join(first.hint("merge"), ["a", "b"]).select("id", "key", "line", "n", "a", "b", late.alias("late"))
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Suffixes that share a pair (r1, r2), with the pair's rank in the order of pairs and whether an earlier one has it (late)."""
+    position = F.struct("id", "k1", "k2", "line")
+    pairs = rows.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.min(position).alias("f")).where("c > 1")
+    # Parts hold ranges of pairs in order, so that numbers that rise with part and row are ranks.
+    pairs = pairs.select("r1", "r2", "f").repartitionByRange("r1", "r2").sortWithinPartitions("r1", "r2")
+    pairs = checkpoint(pairs.withColumn("rank", F.monotonically_increasing_id()))
+    return rows.join(pairs.hint("merge"), ["r1", "r2"]).select("k1", "k2", "id", "line", "h", "rank", (position > F.col("f")).alias("late"))
 
 
-def _with_key(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__key": F.xxhash64(text), "__text": F.col(text)})
+def suffix_intervals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[DataFrame]:
+    """For depths of 1, 2, 4, ... lines, the suffixes that share at least as many: (k1, k2, id, line, rank, late, h).
+
+    (k1, k2) is the key of the text, id its least id, line the first line, h the depth; rows of one rank are an interval.
+    late: an earlier position is in the interval, by id, key of the text and line.
+    """
+    levels = [checkpoint(_ranked(_lines(_keyed(docs, text, doc_id)).withColumn("h", F.lit(1).cast("long"))))]
+    while not levels[-1].isEmpty():
+        # The depth is a column, not a constant, so that all rounds share their compiled code.
+        now = levels[-1]
+        ahead = now.select("k1", "k2", (F.col("line") - F.col("h")).alias("line"), F.col("rank").alias("r2"))
+        pairs = now.select("k1", "k2", "id", "line", F.col("rank").alias("r1"), (2 * F.col("h")).alias("h")).join(ahead, ["k1", "k2", "line"])
+        levels.append(checkpoint(_ranked(pairs)))
+    return levels[:-1]
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(__id, __key, __gone): of each document with any, the blocks of lines (first, number) that also stand earlier.
+    """(k1, k2, first, gone): of each text with any, the blocks (line, lines) that also stand earlier, and its least id.
 
-    Earlier is a smaller id, or a smaller line number in the same text. __key is the hash of the text: rows with one id
-    and different texts stay apart.
+    Earlier is a smaller id, a smaller key of the text, or a smaller line of the same text. first is there for texts
+    with several rows; gone is null for texts without a block.
     """
-    rows = checkpoint(_repeated(_lines(_with_key(docs, text, doc_id))))
-    length, gone = 1, None
-    while True:
-        late = rows.where("late").select("id", "key", F.struct("line", F.lit(length).cast("long").alias("lines")).alias("block"))
-        gone = late if gone is None else gone.unionByName(late)
-        ahead = rows.select("id", "key", (F.col("line") - length).alias("line"), F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        longer = rows.join(ahead, ["id", "key", "line"])
-        longer = longer.select("id", "key", "line", (F.col("n") + F.col("n2")).alias("n"), F.xxhash64("a", "a2").alias("a"), F.xxhash64("b2", F.lit(7), "b").alias("b"))
-        rows = checkpoint(_repeated(longer))
-        length *= 2
-        if rows.isEmpty():
-            break
-    # Only ids that have such lines; both sides of the join to the texts stay keyed by the text.
-    return gone.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("block").alias("__gone"))
+    late = [x.where("late").select("k1", "k2", F.struct("line", F.col("h").alias("lines")).alias("block")) for x in suffix_intervals(docs, text, doc_id)]
+    copies = _keyed(docs, text, doc_id).groupBy(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).agg(F.min("__id").alias("first"), F.max("__id").alias("last"))
+    copies = copies.where("last > first").select("k1", "k2", "first", F.lit(None).cast("struct<line:long,lines:long>").alias("block"))
+    every = copies
+    for x in late:
+        every = every.unionByName(x.select("k1", "k2", F.lit(None).cast("long").alias("first"), "block"))
+    return every.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.collect_list("block").alias("gone"))
 
 
 def remove_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -105,38 +121,43 @@ def remove_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
 
     A run is as long as lines that stand earlier follow each other; min_bytes is of the whole run without line breaks.
     Lines without a letter, digit or mark are kept and stand in no run. A null or empty text has no lines. A null id
-    counts as the smallest. Rows with equal ids and texts are not earlier than each other. Texts without a repeated run
-    stay as they are to the byte; removed_all marks texts of which every line that is not blank went.
+    counts as the smallest; rows with equal ids and texts are one document, not earlier than each other. Texts without a
+    repeated run stay as they are to the byte; removed_all marks texts of which every line that is not blank went.
+    Columns of docs that have the name of a new one give way.
     """
-    order = docs.columns
-    gone = repeated_lines(docs, text, doc_id)
-    joined = _with_key(docs, text, doc_id).drop("__text").join(gone.hint("shuffle_hash"), ["__id", "__key"], "left").drop("__id", "__key")
+    order = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_all")]
+    gone = repeated_lines(docs, text, doc_id).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "first": "__first", "gone": "__gone"})
+    # A plain exchange on either side, so that Spark can split the rows of a text with very many copies.
+    joined = _keyed(docs.select(*[f"`{c}`" for c in order]), text, doc_id).drop("__text").join(gone.hint("merge"), ["__k1", "__k2"], "left")
+    joined = joined.withColumn("__copy", F.coalesce(F.col("__id") > F.col("__first"), F.lit(False))).drop("__id", "__k1", "__k2", "__first")
     fields = [StructField(text, StringType()), StructField("n_lines", LongType(), False), StructField("n_removed", LongType(), False)]
 
     def work(cols):
         texts, n_lines, n_removed = [], [], []
-        for t, blocks in zip(cols[0], cols[1], strict=True):
+        for t, blocks, copy in zip(cols[0], cols[1], cols[2].to_pylist(), strict=True):
             t = t.as_py()
             lines = (t or b"").split(b"\n")
             full = [i for i, x in enumerate(lines) if x.strip()]
             n_lines.append(len(full))
-            if not blocks.is_valid:
+            blocks = blocks.as_py() or ()
+            if not copy and not blocks:
                 texts.append(None if t is None else t.decode())
                 n_removed.append(0)
                 continue
             out = np.zeros(len(full) + 1, np.int64)
-            for b in blocks.as_py():
+            for b in blocks:
                 out[b["line"]] += 1
                 out[b["line"] + b["lines"]] -= 1
-            cover = np.diff(np.concatenate(([0], np.cumsum(out)[:-1] > 0, [0])))
+            late = np.array([_says(lines[x]) for x in full], bool) if copy else np.cumsum(out)[:-1] > 0
+            cover = np.diff(np.concatenate(([0], late, [0])))
             runs = zip(np.flatnonzero(cover > 0).tolist(), np.flatnonzero(cover < 0).tolist(), strict=True)
             drop = {x for a, b in runs if sum(len(lines[x]) for x in full[a:b]) >= min_bytes for x in full[a:b]}
             texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode())
             n_removed.append(len(drop))
         return [texts, n_lines, n_removed]
 
-    out = add_columns(joined, [F.col(text).cast("binary"), F.col("__gone")], fields, work).drop("__gone")
-    return out.select(*[f"`{c}`" for c in order], *[c for c in ("n_lines", "n_removed") if c not in order]).withColumn("removed_all", (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines")))
+    out = add_columns(joined, [F.col(text).cast("binary"), F.col("__gone"), F.col("__copy")], fields, work).drop("__gone", "__copy")
+    return out.select(*[f"`{c}`" for c in order], "n_lines", "n_removed").withColumn("removed_all", (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,22 +165,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "removed_all", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], min_bytes: int = MIN_BYTES) -> dict[int, list[int]]:
-    """Numbers of the lines (blank ones not counted) that remove_lines() takes from each text; ids are distinct."""
-    seen: dict[bytes, tuple] = {}
-    docs = {i: [x for x in (t or "").encode().split(b"\n") if x.strip()] for i, t in rows}
-    for i in sorted(docs):
-        for k, x in enumerate(docs[i]):
-            seen.setdefault(x, (i, k))
-    gone = {}
-    for i, lines in docs.items():
-        run, out = [], []
-        for k in range(len(lines) + 1):
-            if k < len(lines) and _says(lines[k]) and seen[lines[k]] < (i, k):
-                run.append(k)
-                continue
-            if sum(len(lines[x]) for x in run) >= min_bytes:
-                out += run
-            run = []
-        gone[i] = out
-    return gone
+ORACLE_SQL = r"""
+WITH doc AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+line AS (SELECT doc_id, i, ls[i] AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM doc)),
+told AS (SELECT doc_id, i, l, regexp_matches(l, '[^\x20\x09-\x0D]') AS solid, regexp_matches(l, '[\p{L}\p{N}\p{M}]') AND row_number() OVER (PARTITION BY l ORDER BY doc_id, i) > 1 AS gone FROM line),
+per AS (SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM told GROUP BY doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, n_removed > 0 AND n_removed = n_lines AS removed_all, sha256(kept) AS kept_sha256
+FROM per
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_histogram_shards": sharding.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
 }

@@ -1,14 +1,17 @@
 """Operators that SQL cannot express, against brute force, round trips and held-out labels on small tables."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from spanlake.llm._common import SpanHasher, rolled
 from spanlake.llm import components, fingerprints, html_text, line_dedup, near_dedup, sampled_pieces, sharding, substring_dedup, toxicity
@@ -102,12 +105,77 @@ def test_variants_in_a_hot_group(spark):
     assert [i for i in bands if not bands[i] & bands[0]] == []
 
 
-def test_line_dedup(docs, rows):
-    gone = line_dedup.brute_force(rows)
-    got = {r.doc_id: r for r in line_dedup.remove_lines(docs).collect()}
+def late_lines(rows, min_bytes=0):
+    """Of each text, the lines (blank ones not counted) that stand earlier, in runs of at least min_bytes; ids are distinct."""
+
+    def says(x):
+        return any(unicodedata.category(c)[0] in "LNM" for c in x)
+
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        late = []
+        solid = [x for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        for k, x in enumerate(solid):
+            late.append(says(x) and x in seen)
+            seen.setdefault(x, (i, k))
+        out[i] = {k for run, of in itertools.groupby(range(len(late)), late.__getitem__) if run for of in [list(of)] if sum(len(solid[k].encode()) for k in of) >= min_bytes for k in of}
+    return out
+
+
+def without(t, drop):
+    parts = t.split("\n")
+    solid = [k for k, x in enumerate(parts) if x.strip(" \t\n\r\x0b\x0c")]
+    gone = {solid[k] for k in drop}
+    return "\n".join(x for k, x in enumerate(parts) if k not in gone)
+
+
+@pytest.mark.parametrize("min_bytes", [0, 100])
+def test_line_dedup(docs, rows, min_bytes):
+    gone = late_lines(rows, min_bytes)
+    got = {r.doc_id: r for r in line_dedup.remove_lines(docs, min_bytes=min_bytes).collect()}
     for i, t in rows:
-        kept = [x for k, x in enumerate(t.split("\n")) if k not in gone[i]]
-        assert got[i].text == "\n".join(kept) and got[i].n_removed == len(gone[i])
+        assert got[i].text == without(t, gone[i]) and got[i].n_removed == len(gone[i])
+
+
+def test_copies_of_long_texts(spark):
+    """Copies under one id and under others, beside a near copy: equal rows are one document, and rounds stay few."""
+    long = [f"line {k} of a long text" for k in range(200)]
+    near = [*long[:120], "own line", *long[121:]]
+    rows = [(7, "\n".join(long))] * 3 + [(k, "\n".join(long)) for k in (8, 9, 10)] + [(11, "\n".join(near)), (11, "\n".join(near)), (None, "line 5 of a long text\n---")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_lines", "id", "rank", "h", "first", "gone", "k1")})
+    out = line_dedup.remove_lines(docs)
+    assert set(docs.columns) <= set(out.columns)
+    got = Counter((r.doc_id, r.text, r.n_removed, r.removed_all) for r in out.collect())
+    first = "\n".join(x for x in long if x != "line 5 of a long text")
+    assert got == Counter([(7, first, 1, False)] * 3 + [(k, "", 200, True) for k in (8, 9, 10)] + [(11, "own line", 199, False)] * 2 + [(None, "line 5 of a long text\n---", 0, False)])
+
+
+def test_suffix_intervals(docs, rows):
+    """Against sorted suffixes: who shares a rank at each depth, and that ranks are in one order of lines at all depths."""
+    found = [x.collect() for x in line_dedup.suffix_intervals(docs)]
+    seqs = {}
+    for i, t in sorted(rows):
+        seqs.setdefault(t, i)
+    seqs = {i: t.split("\n") for t, i in seqs.items()}
+    number = {}
+    for r in found[0]:
+        number[seqs[r.id][r.line]] = r.rank
+    for level, got in enumerate(found):
+        h = 2**level
+        classes = {}
+        for i, lines in seqs.items():
+            for k in range(len(lines) - h + 1):
+                classes.setdefault(tuple(lines[k : k + h]), []).append((i, k))
+        want = {p: c for c in classes.values() if len(c) > 1 for p in c}
+        assert {(r.id, r.line) for r in got} == set(want) and all(r.h == h for r in got)
+        by_rank = {}
+        for r in got:
+            by_rank.setdefault(r.rank, []).append((r.id, r.line))
+            assert r.late == (min(want[r.id, r.line]) < (r.id, r.line))
+        assert all(sorted(c) == sorted(want[c[0]]) for c in by_rank.values())
+        keys = [[number[x] for x in seqs[c[0][0]][c[0][1] : c[0][1] + h]] for _, c in sorted(by_rank.items())]
+        assert keys == sorted(keys)
+    assert len(found) > 3
 
 
 def test_short_repeated_lines_go(spark):
@@ -305,14 +373,12 @@ def test_pipeline(spark):
     got = C.drop_toxic(spark, docs, SF)
     assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == clean
     lines = C.drop_repeated_lines(spark, got, SF)
-    gone = line_dedup.brute_force(list(clean.items()))
+    gone = late_lines(list(clean.items()))
     want = {}
     for i, t in clean.items():
-        parts = t.split("\n")
-        solid = [k for k, x in enumerate(parts) if x.encode().strip()]
-        drop = {solid[k] for k in gone[i]}
-        if not drop or len(drop) < len(solid):
-            want[i] = "\n".join(x for k, x in enumerate(parts) if k not in drop)
+        solid = sum(bool(x.encode().strip()) for x in t.split("\n"))
+        if not gone[i] or len(gone[i]) < solid:
+            want[i] = without(t, gone[i])
     assert lines.columns == docs.columns and {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (t, len(t)) for i, t in want.items()}
     out = C.run(spark, SF)
     rows = out.collect()
@@ -322,8 +388,6 @@ def test_pipeline(spark):
 
 @needs_data
 def test_held_out_toxicity(spark):
-    from pyspark.sql import functions as F
-
     folder = "/root/testdata/sf0.01"
     out = toxicity.op10_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
     right = out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0]
