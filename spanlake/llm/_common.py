@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,17 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/spanlake-checkpoints"
 
 
-def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; choose one only where none is set (a local session, as in tests)."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(spark))
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared checkpoint folder."""
-    set_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder and read again: lineage is cut, and Spark plans by sizes that are known.
+
+    DataFrame.checkpoint() would keep the estimates of the plan, and those of joins of joins double their digits each
+    round until the driver runs out of memory.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pieces(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -268,10 +268,12 @@ def _sampled(column: pa.Array) -> np.ndarray:
 
 def _candidates(reps: DataFrame) -> DataFrame:
     """Links (a, b) of texts that share a band and half of the band's kind of samples, as many as join them."""
-    members = reps.where("__sig is not null").select(F.explode("__bands").alias("group"), "node", "__sig", "__plain")
-    members = members.select("group", "node", F.when(F.col("group").bitwiseAND(1) == 0, F.col("__sig")).otherwise(F.col("__plain")).alias("sig"))
+    members = reps.where("__sig is not null").select(F.explode("__bands").alias("group"), "node")
     blocks = F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")
     stats = checkpoint(members.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("group", "n", "head", blocks))
+    # Only numbers move until the buckets of one are gone; then the samples of the band's kind come to the others.
+    shared = members.join(stats.select("group").hint("merge"), "group").join(reps.select("node", "__sig", "__plain"), "node")
+    shared = checkpoint(shared.select("group", "node", F.when(F.col("group").bitwiseAND(1) == 0, F.col("__sig")).otherwise(F.col("__plain")).alias("sig")))
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = np.zeros((1, SAMPLES), np.uint16)
@@ -301,7 +303,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
                 keep = _joins(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return _near_pairs(members, stats, star, cross, "sig")
+    return _near_pairs(shared, stats, star, cross, "sig")
 
 
 def likeness(left: list[tuple], right: list[tuple]) -> np.ndarray:

@@ -13,16 +13,16 @@ import re
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from spanlake.llm._common import add_columns, table
 
-#: Labelled rows that a model is fitted on, at most; the rows with the least hash of their doc_id.
-MAX_TRAIN = 8_000
-#: Learned stems, at most, and their lengths.
-MAX_STEMS, STEM = 2_000, range(3, 10)
+#: Labelled rows that a model is fitted on and bytes of their texts, at most; the rows with the least hash of their doc_id.
+MAX_TRAIN, MAX_TRAIN_BYTES = 8_000, 64 << 20
+#: Lengths of learned stems.
+STEM = range(3, 10)
 
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown fool jerk dumb imbecile bastard coward filth vermin idiotin dummkopf trottel abschaum versager idiote imbécile crétin ordure minable idiota imbécil estúpido basura escoria inútil".split()
 THREATS = "kill hurt destroy shoot stab burn hang smash strangle töten umbringen vernichten schlagen tuer frapper détruire brûler matar golpear destruir quemar".split()
@@ -190,8 +190,7 @@ def learn_stems(texts: list[str], labels: np.ndarray) -> dict[str, float]:
     for _, p, odds in sorted(chosen, key=lambda c: (len(c[1]), c[1])):
         if p not in longer and all(out.get(p[:n], -9) < odds - 0.3 for n in STEM if n < len(p)):
             out[p] = odds
-    kept = [c for c in sorted(chosen, reverse=True) if c[1] in out][:MAX_STEMS]
-    return dict.fromkeys(INSULTS, 4.0) | {p: out[p] for _, p, _ in kept}
+    return dict.fromkeys(INSULTS, 4.0) | out
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
@@ -218,12 +217,20 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
-    """Fit on at most max_rows labelled rows that are not held out. Equal texts count once; null labels are left out."""
-    sample = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
+    """Fit on labelled rows that are not held out: at most max_rows, of at most max_bytes of text, by the hash of their ids.
+
+    Both bounds hold whatever ids repeat. Rows with equal texts count once, with the label 1 if any of them has it. Null
+    labels, ids and texts are left out.
+    """
+    sample = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
+    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "toxic"]
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic").toPandas()
-    rows = rows.drop_duplicates("text").sort_values("text")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").orderBy(*order).limit(max_rows)
+    # A window over no more than max_rows rows.
+    rows = rows.withColumn("sum", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where(F.col("sum") <= max_bytes).select("text", "toxic").toPandas()
+    rows = rows.sort_values(["text", "toxic"], ascending=[True, False]).drop_duplicates("text")
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64))
 
 

@@ -132,3 +132,18 @@ def test_toxicity(spark, edges, empty, want):
     assert ids(out) == want and out.where("score < 0 or score > 1 or score is null").count() == 0
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
     assert hashlib.md5(repr(model.stems).encode()).hexdigest() == hashlib.md5(repr(toxicity.train(edges, labels).stems).encode()).hexdigest()
+
+
+def test_bounds_of_the_training_rows(spark, monkeypatch):
+    """Both bounds hold where ids repeat, and clashing labels of one text give one and the same fit."""
+    docs = spark.createDataFrame([(1, f"you idiot number {i % 7}") for i in range(50)] + [(k, f"a kind text {k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)] + [(k, 0) for k in range(2, 40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels.tolist())))
+    for part in (1, 5):
+        toxicity.train(docs.repartition(part), labels, max_rows=60)
+    assert seen[0] == seen[1] and len(seen[0][0]) == len(set(seen[0][0])) <= 60
+    assert all(y == ("idiot" in t) for t, y in zip(*seen[0], strict=True))
+    toxicity.train(docs, labels, max_rows=1)
+    toxicity.train(docs, labels, max_bytes=100)
+    assert len(seen[2][0]) <= 1 and 0 < sum(len(t) for t in seen[3][0]) <= 100
