@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,191 +23,249 @@ from spanlake.llm._common import add_columns, checkpoint, table
 #: Bytes of winning paths up to which they are sent to all workers; beyond, pages are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-CONTAINERS = frozenset("article blockquote body center div fieldset figure main section table tbody td tr".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+CONTAINERS = frozenset("article blockquote body center div fieldset figure form main section table tbody td tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never of the article; header stands apart, as an article's own header holds its title.
-OUT = frozenset("aside audio button canvas datalist dialog footer form head iframe menu nav noscript object option select svg template textarea title video".split())
-RAW = re.compile(r"</(script|style)\s*>", re.I)
-#: Words of class, id and role names that mark what is no part of the article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+#: Elements whose text is never of the article, blocks or not; header and form stand apart.
+OUT = frozenset("aside audio button canvas datalist dialog footer head iframe map math menu nav noembed noframes noscript object optgroup option select svg template textarea title video".split())
+#: Elements whose content is no markup; all of them are out. Only the first two go on to the end of a page.
+RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style iframe noembed noframes textarea title".split()}
+#: Names of what is no part of an article, whatever it holds: menus, footers, sidebars, adverts, cookie notices, comments.
+HARD = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertisements advertising adsbygoogle breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr menu menus nav navbar navigation navmenu pager pagination replies respond sidebar sidebars sidenav sponsor sponsored sponsors submenu toolbar".split()
 )
-#: First parts of names that tell of the page or its subject, such as has-sidebar or tag-social, and mark nothing.
-STATES = frozenset("has with without no js is layout category tag".split())
+#: Names of what is no part of one unless it holds most of the page's text: headers, notices, forms and what goes with them.
+SOFT = frozenset(
+    "alert banner dialog header login masthead modal newsletter notice notices notification notifications popup promo promos promotion promotions promoted recommended recommendations related share sharing signup skip social subscribe subscription widget widgets".split()
+)
+#: Words that say where something stands or what holds it; a name of these and marked words alone is marked too.
+PLACES = frozenset(
+    "area article bar block body bottom box btn button buttons col column container content entry float form global group holder icon icons inner item items left link links list main mobile module outer page panel post primary reader readers region right row secondary section site slot sticky story strip tabs text thread title to top unit user users wrap wrapper".split()
+)
+#: Landmark roles that mark; all others mark nothing.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 DIGITS = re.compile(r"\d+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NOT_NAME = re.compile(r"[^a-z]+")
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """The generalised classes (or id) for a path, and whether a name marks boilerplate."""
+@lru_cache(1 << 14)
+def _mark(name: str) -> int:
+    """2 if a class or id names something hard, 1 if something soft, else 0: whole names, or marked words and places."""
+    words = [w for w in NOT_NAME.split(HUMP.sub("-", name).lower()) if w]
+    marked = [w for w in words if w in HARD or w in SOFT]
+    if not marked or any(w not in HARD and w not in SOFT and w not in PLACES for w in words):
+        return 0
+    return 2 if any(w in HARD for w in marked) else 1
+
+
+def _names(attributes: str) -> tuple[str, int]:
+    """The generalised classes (or id) for a path, and how a name marks the element (see _mark)."""
     if "=" not in attributes:
-        return "", False
-    found = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)}
-    marked = any(parts[0] not in STATES and "with" not in parts and (parts[0] in MARKS or parts[-1] in MARKS) for v in found.values() for name in v.split() for parts in [NOT_NAME.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())])
+        return "", 0
+    found: dict[str, str] = {}
+    for k, a, b, c in NAMED.findall(attributes):
+        found.setdefault(k.lower(), a or b or c)
+    marks = [_mark(name) for k in ("class", "id") for name in found.get(k, "").split()]
+    marks += [1 for name in found.get("role", "").lower().split() if name in ROLES]
     kind = " ".join(sorted(DIGITS.sub("#", found.get("class") or "").split())) or ("#" + DIGITS.sub("#", found["id"]) if found.get("id") else "")
-    return "." + kind if kind else "", marked
+    return "." + kind.replace("/", "|") if kind else "", max(marks, default=0)
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, list[int]]], list[str]]:
-    """Blocks outside boilerplate in page order (text, characters in links, open containers) and each container's path.
+class Page:
+    """Blocks outside boilerplate in page order, and the tree of containers; container 0 is the page itself.
 
-    A mark drops no element that holds most of the page's unlinked text.
+    texts, linked, owner: of each block its text, characters in links and innermost container. parent, label, path: of
+    each container its parent, tag with classes, and the number of its path.
     """
-    blocks: list[tuple[str, int, list[int]]] = []
-    under: list[list[int]] = []  # of each block, the open elements with a mark
-    n_marked = 0
-    paths: list[str] = []
-    stack: list[tuple[str, str, bool, int, int]] = []  # tag, path, out, container or -1, mark's number or -1
-    buffer: list[str] = []
-    linked, in_link, at = 0, 0, 0
-
-    def flush():
-        nonlocal linked
-        if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
-            buffer.clear()
-            if text and not (stack and stack[-1][2]):
-                blocks.append((text, linked, [x[3] for x in stack if x[3] >= 0]))
-                under.append([x[4] for x in stack if x[4] >= 0])
-        linked = 0
-
-    def close(depth: int):
-        nonlocal in_link
-        flush()
-        in_link -= sum(x[0] == "a" for x in stack[depth:])
-        del stack[depth:]
-
-    n = len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        piece = page[at : m.start() if m else n]
-        if piece:
-            buffer.append(piece)
-            if in_link:
-                linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is None:
-                if tag in BLOCKS:
+
+    def __init__(self, page: str):
+        self.parent, self.label, self.path, self.numbers = [-1], [""], [0], {}
+        self._marks: list[tuple[int, int]] = []  # parent and strength of each marked element
+        self._blocks: list[tuple[int, list[tuple[str, bool, int]]]] = []  # container and pieces: text, in a link, mark
+        self._read(page)
+        self._settle()
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, bool, int, int]] = []  # tag, out, container, mark
+        count: dict[str, int] = defaultdict(int)  # of open elements by tag
+        pieces: list[tuple[str, bool, int]] = []
+        out, container, mark, at, n = False, 0, -1, 0, len(page)
+
+        def flush():
+            if pieces:
+                self._blocks.append((container, pieces[:]))
+                pieces.clear()
+
+        def pop(depth: int):
+            nonlocal out, container, mark
+            if any(x[0] in BLOCKS and not x[1] for x in stack[depth:]):
+                flush()
+            for x in stack[depth:]:
+                count[x[0]] -= 1
+            del stack[depth:]
+            out, container, mark = stack[-1][1:] if stack else (False, 0, -1)
+
+        while at < n:
+            m = TOKEN.search(page, at)
+            if not out and (text := page[at : m.start() if m else n]):
+                pieces.append((text, count["a"] > 0, mark))
+            if not m:
+                break
+            at = m.end()
+            if not m[2]:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                if count[tag]:
+                    pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+                elif tag in BLOCKS and not out:
                     flush()
-            elif tag in BLOCKS or any(x[0] in BLOCKS for x in stack[depth:]):
-                close(depth)
-            else:
-                in_link -= sum(x[0] == "a" for x in stack[depth:])
-                del stack[depth:]
-            continue
-        if tag in ("script", "style"):
-            end = RAW.search(page, at)
-            at = end.end() if end else n
-            continue
-        if tag == "br":
-            buffer.append(" ")
-            continue
-        if tag in BLOCKS:
-            flush()
-            if tag == "body":
-                while stack and stack[-1][0] != "html":
-                    stack.pop()
-            for i in range(len(stack) - 1, -1, -1):  # what an open paragraph or item of a list implies
-                if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                    close(i)
-                    break
-                if stack[i][0] in CONTAINERS or stack[i][0] in ("ul", "ol", "dl", "select"):
-                    break
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        kind, marked = _names(m[3])
-        up, out = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        mark = -1
-        if tag in OUT:
-            out = True
-        elif marked and tag not in ("html", "body", "main", "article"):
-            mark, n_marked = n_marked, n_marked + 1
-        elif tag == "header" and not any(x[0] in ("article", "main") for x in stack):
-            out = True
-        path, container = up, -1
-        if tag in CONTAINERS:
-            path = f"{up}/{tag}{kind}"
-            container = len(paths)
-            paths.append(path)
-        in_link += tag == "a"
-        stack.append((tag, path, out, container, mark))
-    flush()
-    if n_marked:
-        held, total = [0] * n_marked, 0
-        for (text, linked, _), marks in zip(blocks, under, strict=True):
-            own = max(0, len(text) - linked)
-            total += own
-            for k in marks:
-                held[k] += own
-        blocks = [b for b, marks in zip(blocks, under, strict=True) if all(2 * held[k] > total for k in marks)]
-    return blocks, paths
-
-
-def best(blocks: list, paths: list[str]) -> tuple[str, float] | None:
-    """Path and score of the container with most text: a block counts for its container, half one up, a third two up."""
-    score: dict[int, float] = defaultdict(float)
-    for text, linked, chain in blocks:
-        own = len(text) * max(0.0, 1 - linked / max(1, len(text))) ** 2
-        for k, c in enumerate(reversed(chain)):
-            score[c] += own / (1 + k)
-    if not score:
-        return None
-    top = max(score, key=lambda c: (score[c], -c))
-    return paths[top], score[top]
-
-
-def widened(blocks: list, paths: list[str], inside: set[int]) -> set[int]:
-    """The nearest article or main around each container; without one, the outermost that adds no more links than text.
-
-    The body itself is only taken where it is the container.
-    """
-    up: dict[int, int] = {}
-    length: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-    for text, linked, chain in blocks:
-        up.update(zip(chain[1:], chain, strict=False))
-        for c in chain:
-            length[c][0] += len(text)
-            length[c][1] += min(linked, len(text))
-
-    def tag(c: int) -> str:
-        return re.match(r"/(\w*)", paths[c][len(paths[up[c]]) if c in up else 0 :])[1]
-
-    out = set()
-    for c in inside:
-        line = [c]
-        while line[-1] in up:
-            line.append(up[line[-1]])
-        found = next((x for x in line if tag(x) in ("article", "main")), None)
+                continue
+            if tag in RAW:
+                end = RAW[tag].search(page, at)
+                at = end.end() if end else n if tag in ("script", "style") else at
+                continue
+            if tag == "br":
+                if not out:
+                    pieces.append((" ", False, mark))
+                continue
+            if tag in BLOCKS:
+                if not out:  # what is left out breaks no block around it
+                    flush()
+                if tag == "body" and stack and count["html"]:
+                    pop(next(i for i, x in enumerate(stack) if x[0] == "html") + 1)
+                elif tag == "body":
+                    pop(0)
+                twin = tag in ("li", "dt", "dd", "tr", "td", "th") and count[tag]
+                if count["p"] or twin:  # what an open paragraph or item of a list implies
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == "p" or twin and stack[i][0] == tag:
+                            pop(i)
+                            break
+                        if stack[i][0] in CONTAINERS or stack[i][0] in OUT or stack[i][0] in ("ul", "ol", "dl"):
+                            break
+            if tag in VOID or m[3].endswith("/"):
+                continue
+            kind, strength = _names(m[3])
+            within = count["article"] or count["main"]
+            if tag in OUT:
+                out = True
+            elif tag == "header" and not within:
+                strength = max(strength, 1)
+            elif tag == "form":
+                strength = max(strength, 1)
+            elif strength == 1 and within and _titles(kind):
+                strength = 0
+            if strength and tag not in ("html", "body", "main", "article"):
+                self._marks.append((mark, strength))
+                mark = len(self._marks) - 1
+            if tag in CONTAINERS:
+                label = tag + kind
+                self.path.append(self.numbers.setdefault((self.path[container], label), len(self.numbers) + 1))
+                self.parent.append(container)
+                self.label.append(label)
+                container = len(self.parent) - 1
+            count[tag] += 1
+            stack.append((tag, out, container, mark))
+        flush()
+
+    def _settle(self) -> None:
+        """Drop what stands in marked elements; soft ones stay if most of the unlinked text is in them, and if all is gone."""
+        held = [0] * (len(self._marks) + 1)  # the last: text under no mark
+        size = [sum(len(t.strip()) for t, linked, _ in pieces if not linked) for _, pieces in self._blocks]
+        total = sum(size)
+        for _, pieces in self._blocks:
+            for t, linked, k in pieces:
+                held[k] += 0 if linked else len(t.strip())
+        own = held[:]
+        for k in range(len(self._marks) - 1, -1, -1):
+            if self._marks[k][0] >= 0:
+                held[self._marks[k][0]] += held[k]
+        gone = [False] * (len(self._marks) + 1)
+        for k, (up, strength) in enumerate(self._marks):
+            gone[k] = up >= 0 and gone[up] or strength == 2 or 2 * held[k] <= total
+        if total and not any(n for n, g in zip(own, gone, strict=True) if not g):
+            best = max(range(len(self._marks)), key=lambda k: (held[k], -k))
+            for k, (up, _) in enumerate(self._marks):  # the marked element with most text, without marked parts of its own
+                gone[k] = k != best and gone[k]
+        self.texts, self.linked, self.owner = [], [], []
+        for container, pieces in self._blocks:
+            kept = [(t, linked) for t, linked, k in pieces if not gone[k]]
+            text = " ".join(html.unescape("".join(t for t, _ in kept)).split())
+            if text:
+                self.texts.append(text)
+                self.linked.append(min(len(text), sum(len(t.strip()) for t, linked in kept if linked)))
+                self.owner.append(container)
+
+    def best(self) -> tuple[int, float] | None:
+        """Container and score of most text: a block counts for its container, half for its parent, a quarter and so on."""
+        score = [0.0] * len(self.parent)
+        for text, linked, c in zip(self.texts, self.linked, self.owner, strict=True):
+            score[c] += len(text) * (1 - linked / len(text)) ** 2
+        for c in range(len(score) - 1, 0, -1):
+            score[self.parent[c]] += score[c] / 2
+        if not self.texts:
+            return None
+        top = max(range(len(score)), key=lambda c: (score[c], -c))
+        return top, score[top]
+
+    def path_of(self, c: int) -> str:
+        labels = []
+        while c > 0:
+            labels.append(self.label[c])
+            c = self.parent[c]
+        return "".join("/" + x for x in reversed(labels))
+
+    def at_path(self, path: str) -> list[int]:
+        """The containers with this path."""
+        number = 0
+        for label in path.split("/")[1:]:
+            number = self.numbers.get((number, label), -1)
+        return [c for c, x in enumerate(self.path) if x == number]
+
+    def widened(self, inside: list[int]) -> set[int]:
+        """The nearest article or main around each container; without one, the outermost that adds no more links than text.
+
+        The body, or the page itself, is only taken where it is the container.
+        """
+        n = len(self.parent)
+        length, links = [0] * n, [0] * n
+        for text, linked, c in zip(self.texts, self.linked, self.owner, strict=True):
+            length[c] += len(text)
+            links[c] += linked
+        for c in range(n - 1, 0, -1):
+            length[self.parent[c]] += length[c]
+            links[self.parent[c]] += links[c]
+        article, outer = [-1] * n, list(range(n))
+        for c in range(1, n):  # parents come first
+            up, tag = self.parent[c], self.label[c].partition(".")[0]
+            article[c] = c if tag in ("article", "main") else article[up]
+            grows = up > 0 and self.label[up].partition(".")[0] != "body" and 2 * (links[up] - links[c]) <= length[up] - length[c]
+            outer[c] = outer[up] if grows else c
+        return {article[c] if article[c] >= 0 else outer[c] for c in inside}
+
+
+def _titles(kind: str) -> bool:
+    """Whether the classes name a header, which in an article holds its title."""
+    return any("header" in NOT_NAME.split(HUMP.sub("-", name).lower()) for name in kind[1:].split())
+
+
+def extract(page: Page, path: str | None) -> str:
+    """The blocks in containers of this path and the articles around them, else of the page's own best one; one on a line."""
+    inside = page.at_path(path) if path is not None else []
+    if not inside:
+        found = page.best()
         if found is None:
-            found = c
-            for x in line[1:]:
-                more, links = (a - b for a, b in zip(length[x], length[found], strict=True))
-                if tag(x) == "body" or 2 * links > more:
-                    break
-                found = x
-        out.add(found)
-    return out
-
-
-def extract(blocks: list, paths: list[str], path: str | None) -> str:
-    """The blocks in containers of this path and the articles around them, else of the page's own best one, else all; one on a line."""
-    if path is None or path not in paths:
-        own = best(blocks, paths)
-        path = own[0] if own else None
-    if path is None:
-        return "\n".join(t for t, _, _ in blocks)
-    inside = widened(blocks, paths, {i for i, p in enumerate(paths) if p == path})
-    return "\n".join(t for t, _, chain in blocks if not inside.isdisjoint(chain))
+            return ""
+        inside = [found[0]]
+    chosen = page.widened(inside)
+    kept = [False] * len(page.parent)
+    for c in range(len(kept)):
+        kept[c] = c in chosen or c > 0 and kept[page.parent[c]]
+    return "\n".join(t for t, c in zip(page.texts, page.owner, strict=True) if kept[c])
 
 
 def host_paths(pages: DataFrame, url: str = "url", html_col: str = "html") -> DataFrame:
@@ -215,8 +274,9 @@ def host_paths(pages: DataFrame, url: str = "url", html_col: str = "html") -> Da
     def vote(cols):
         paths, scores = [], []
         for p in cols[0]:
-            found = best(*parse(p.as_py() or ""))
-            paths.append(found[0] if found else None)
+            page = Page(p.as_py() or "")
+            found = page.best()
+            paths.append(page.path_of(found[0]) if found else None)
             scores.append(found[1] if found else 0.0)
         return [pa.array(paths, pa.string()), pa.array(scores, pa.float64())]
 
@@ -232,14 +292,15 @@ def _host(url: str):
 def extract_pages(pages: DataFrame, url: str = "url", html_col: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text of each; null or empty html, and pages without text, give an empty text.
 
-    A null url, or one without a host, counts as the host "". Repeated rows and equal ids stay as they are.
+    A null url, or one without a host, counts as the host "". Repeated rows and equal ids stay as they are. Time and
+    memory are in proportion to a page, however deep its elements stand.
     """
     winners = checkpoint(host_paths(pages, url, html_col).withColumnsRenamed({"host": "__host", "path": "__path"}))
     size = winners.agg(F.coalesce(F.sum(F.length("__host") + F.length("__path") + 16), F.lit(0))).first()[0]
     joined = pages.withColumn("__host", _host(url)).join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners.hint("merge"), "__host", "left")
 
     def work(cols):
-        text = [extract(*parse(p.as_py() or ""), w) for p, w in zip(cols[0], cols[1].to_pylist(), strict=True)]
+        text = [extract(Page(p.as_py() or ""), w) for p, w in zip(cols[0], cols[1].to_pylist(), strict=True)]
         return [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
 
     fields = [StructField(out, StringType(), False), StructField("n_chars", LongType(), False)]

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -338,27 +339,76 @@ def test_grammar_marks_context():
     assert read("O", "I1") == [("O", 0.0), ("I1", 0.0)]
 
 
+def main_text(page, path=None):
+    return html_text.extract(html_text.Page(page), path)
+
+
 def test_page_with_everything():
     page = """<html><head><title>T</title><style>p{}</style></head><body><div id="cookie-banner">Cookies</div><header>Site</header><nav><a href=/>Home</a></nav>
     <div class="page-3"><div class="sidebar"><p>Links here</p></div><div class="post-12 entry"><h1>A &quot;title&quot;</h1><p>First <b>bold</b><i>ly</i>
     text<br>next<p>Second &amp; last<ul><li>one<li>two</ul><script>var a="</p>"</script><aside>ad</aside></div><section class="comments"><p>Nice read</p></section></div><footer>f</footer>"""
-    blocks, paths = html_text.parse(page)
-    assert html_text.best(blocks, paths)[0] == "/body/div.page-#/div.entry post-#"
-    assert html_text.extract(blocks, paths, None) == 'A "title"\nFirst boldly text next\nSecond & last\none\ntwo'
-    assert html_text.extract(blocks, paths, "/body/absent") == html_text.extract(blocks, paths, None)
-
-
-@pytest.mark.parametrize("wrap", ["article class='post category-notice'", "article class='post tag-social'", "div class='content-with-sidebar'", "div class='layout-right-sidebar'", "div class='notice'"])
+    read = html_text.Page(page)
+    assert read.path_of(read.best()[0]) == "/body/div.page-#/div.entry post-#"
+    assert main_text(page) == 'A "title"\nFirst boldly text next\nSecond & last\none\ntwo'
+    assert main_text(page, "/body/absent") == main_text(page) == main_text(page, "/body/div.page-#/div.entry post-#")
+
+
+def test_composed_pages():
+    """Pages put together from article parts and boilerplate, inline and in blocks; what is put in must come out."""
+    rng = random.Random(11)
+    inline = ["<noscript><div>enable js</div></noscript>", "<span class='advert'>Buy now</span>", "<textarea>a <p> b</textarea>", "<video><p>no video</p></video>", "<iframe src=x><p>frame</p></iframe>", "<button>press</button>", "<object>thing</object>", "<svg><text>drawn</text></svg>", "<script>if (a<b) '</p>'</script>", "<style>p{}</style>", "<!-- <p>gone</p> -->", "<select><option>one<option>two</select>", "<template><p>t</p></template>", "<i class='cookie-notice'>we use cookies</i>"]
+    block = ["<nav><ul><li>Home<li>News</ul></nav>", "<div class='sidebar'><p>More of it</p></div>", "<aside>Aside</aside>", "<div id='adSlot_3'>Ad</div>", "<form><label>Name</label><input><p>Send</p></form>", "<div class='cookie-banner'><p>Cookies here</p></div>", "<div role='navigation'>Go</div>", "<footer>Foot</footer>", "<div class='share-bar'>Share this</div>", "<ul class='breadcrumb'><li>a<li>b</ul>", "<div class='newsletter-signup'>Sign up</div>", "<div class='notice'>A notice</div>", "<menu><li>x</menu>", "<dialog>Hello</dialog>", *inline]
+    kinds = ["article class='post share-enabled'", "article class='byline'", "div class='search-term'", "div class='legal-analysis'", "article class='post category-notice'", "main class='content-with-sidebar'", "div class='story has-sidebar'", "article"]
+    for n in range(300):
+        text, body = [], []
+        wrap = rng.choice(kinds)
+        for k in range(rng.randint(3, 9)):
+            words = [f"w{n}x{k}y{i}" for i in range(rng.randint(5, 30))]
+            at = rng.randrange(1, len(words))
+            tag = rng.choice(["p", "h2", "li", "blockquote", "p class='byline'", "div class='search-term'", "section class='legal-analysis'"])
+            body.append(f"<{tag}>{' '.join(words[:at])} {rng.choice(inline) if rng.random() < 0.5 else ''} <b>{'&nbsp; '.join(words[at:])}</b></{tag.split()[0]}>")
+            text.append(" ".join(words))
+            if rng.random() < 0.4:
+                body.append(rng.choice(block))
+        comments = "<section class='comments'>" + "<p>I do think so too, and more than that</p>" * rng.choice([1, 80]) + "</section>"
+        page = f"<html><body><header>Site</header>{rng.choice(block)}<{wrap}>{''.join(body)}</{wrap.split()[0]}>{comments}{rng.choice(block)}<footer>&copy; all</footer></body></html>"
+        assert main_text(page) == "\n".join(text), page
+
+
+@pytest.mark.parametrize("wrap", ["article class='post category-notice'", "article class='post tag-social'", "div class='content-with-sidebar'", "div class='layout-right-sidebar'", "div class='notice'", "form id='aspnetForm'", "div class='banner'"])
 def test_marks_spare_articles_and_most_of_the_text(wrap):
     page = f"<body><{wrap}><p>The text of the page, which is long</p></{wrap.split()[0]}><div class='share-bar'>Share</div><div class='sidebar'>More</div></body>"
-    assert html_text.extract(*html_text.parse(page), None) == "The text of the page, which is long"
+    assert main_text(page) == "The text of the page, which is long"
 
 
 @pytest.mark.parametrize("wrap", ["article", "main", "div class='story'"])
 def test_whole_articles(wrap):
     long = "long text " * 30
-    page = f"<body><{wrap}><h1>Heading</h1><p>Lead</p><div class='body'><section class='intro'><p>{long}</p></section><section class='more'><div><div><p>{long}</p></div></div></section></div></{wrap.split()[0]}><div><a href=/x>Somewhere else on this site</a></div></body>"
-    assert html_text.extract(*html_text.parse(page), None).split("\n") == ["Heading", "Lead", long.strip(), long.strip()]
+    page = f"<body><{wrap}><header class='entry-header'><h1>Heading</h1></header><p>Lead</p><div class='body'><section class='intro'><p>{long}</p></section><section class='more'><div><div><p>{long}</p></div></div></section></div></{wrap.split()[0]}><div><a href=/x>Somewhere else on this site</a></div></body>"
+    assert main_text(page).split("\n") == (["Heading"] if wrap in ("article", "main") else []) + ["Lead", long.strip(), long.strip()]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000, "<div>t" * 100_000, "<div class=ad>t" * 100_000, "<b>" * 50_000 + "<h1>x</h1>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<p>" + "<b>" * 50_000 + "<h1>x</h1>" * 50_000])
+def test_deep_pages_take_time_in_proportion(page):
+    began = time.time()
+    read = html_text.Page(page)
+    found = read.best()
+    assert html_text.extract(read, None) == html_text.extract(read, read.path_of(found[0]) if found else None)
+    assert time.time() - began < 20
+
+
+def test_hosts_agree_on_a_path(spark, monkeypatch):
+    """Pages whose own best container is another one follow the path of their host, sent to all or joined."""
+    long, short = "<p>story words go here now</p>" * 8, "<p>brief</p>"
+    shape = "<body><div class='story-{n}'>{story}</div><section class='extra'>{extra}</section></body>"
+    rows = [(k, f"http://a.b/{k}", shape.format(n=k, story=long, extra="<p>x</p>")) for k in range(4)]
+    rows += [(9, "http://A.b/9", shape.format(n=9, story=short, extra=long)), (10, "http://c.d/", shape.format(n=1, story=short, extra=long))]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    for size in (8 << 20, 0):
+        monkeypatch.setattr(html_text, "BROADCAST_BYTES", size)
+        out = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+        # The winner is widened by what stands beside it without links.
+        assert out[9].split("\n")[0] == "brief" and out[0].startswith("story words go here now")
 
 
 @needs_data

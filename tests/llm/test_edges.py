@@ -89,8 +89,9 @@ def test_fingerprints(edges, empty, want):
 def test_pages(spark):
     rows = [(1, None, None), (None, "http://a.b/c", ""), (2, "nohost", "<p>x"), (2, "nohost", "<p>x"), (3, "http://a.b", "<div" * 5000), (4, "http://a.b", "<article><p>Some text &amp; more</p></article><footer>f</footer>")]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("n_chars", F.lit("clash"))
-    got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(pages).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, [(1, "", 0), (None, "", 0), (2, "x", 1), (2, "x", 1), (3, got[[g[0] for g in got].index(3)][1], len(got[[g[0] for g in got].index(3)][1])), (4, "Some text & more", 16)]))
+    got = Counter((r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(pages).collect())
+    unclosed = "<div" * 5000
+    assert got == Counter([(1, "", 0), (None, "", 0), (2, "x", 1), (2, "x", 1), (3, unclosed, len(unclosed)), (4, "Some text & more", 16)])
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
