@@ -3,6 +3,9 @@
 The automaton is built over word ids, so one step takes a word. Training words are streamed through it; the length of
 the longest match that ends at each word decides: where it reaches the window, the last `window` words are a window of
 some item. Items shorter than the window count as one window and are found as whole items on the suffix links.
+
+Hashes of all item windows come first: documents in which none of them stands pass without the automaton, and it is
+built, some documents at a time, of the items that they may hold. So its size follows what is found, not the benchmark.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
-from spanlake.llm._common import add_columns, table
+from spanlake.llm._common import SpanHasher, add_columns, binary, pieces, rolled, table
 
 #: Words are runs of letters, digits and bytes from 0x80; A-Z become a-z. One table turns all other bytes to spaces.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Item words in one automaton; more items make more automata, which the same documents pass one after the other.
-BLOCK_WORDS = 50_000
-#: UTF-8 bytes of items the driver takes at a time.
+_CLASS = np.frombuffer(_BYTES, np.uint8)
+_HASH = SpanHasher(31)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: UTF-8 bytes of items the driver takes at a time; the hashes of their windows take about three times that in a worker.
 BLOCK_BYTES = 32 << 20
 
 
@@ -134,30 +138,69 @@ def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str
         yield [(r.k, bytes(r.t)) for r in part.collect()]
 
 
-_built: dict[str, list] = {}
-
-
-def _automata(key: str, packed: bytes, window: int) -> list:
+def hashed_words(content: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in content, and the first word of each text (and the end)."""
+    text = _CLASS[content]
+    gap = text == 32
+    edge = np.ones(len(text) + 1, bool)
+    edge[1:-1] = gap[1:] != gap[:-1]
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    at = at[at < len(text)]
+    stop = np.append(at[1:], len(text))
+    word = ~gap[at]
+    start, stop = at[word], stop[word]
+    return _HASH(text, start, stop), np.searchsorted(start, offsets)
+
+
+class Windows:
+    """Hashes of the windows of items, by length in words, with the items that hold them."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        content = np.frombuffer(b"".join(texts), np.uint8)
+        h, first = hashed_words(content, np.cumsum([0, *map(len, texts)]))
+        size = np.diff(first)
+        item = np.repeat(np.arange(len(texts)), size)
+        for n in np.unique(np.minimum(size[size > 0], window)).tolist():
+            x = rolled(h, n, _ODD)
+            at = np.flatnonzero(item[: len(x)] == item[n - 1 :]) if n == window else first[:-1][size == n]
+            order = np.lexsort((item[at], x[at]))
+            self.tables[n] = x[at][order], item[at][order].astype(np.int32)
+
+    def found(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and items that may share a window, a row for each such pair or more."""
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        docs, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for n, (keys, owner) in self.tables.items():
+            x = rolled(h, n, _ODD)
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x)
+            at = at[doc[at] == doc[at + n - 1]]
+            lo, hi = np.searchsorted(keys, x[at]), np.searchsorted(keys, x[at], "right")
+            many = hi - lo
+            docs.append(np.repeat(doc[at], many))
+            items.append(owner[np.arange(int(many.sum())) + np.repeat(lo - (np.cumsum(many) - many), many)])
+        return np.concatenate(docs), np.concatenate(items)
+
+
+_built: dict[str, tuple] = {}
+
+
+def _index(key: str, packed: bytes, window: int) -> tuple[list[str], list[bytes], Windows]:
+    """Ids and texts of the items of one part, and their windows; a worker keeps the parts of the last few calls."""
     if key not in _built:
-        _built.clear()
-        items = [(k, words) for k, t in pickle.loads(packed) if (words := words_of(t))]
-        made, block, n = [], [], 0
-        for item in items:
-            if block and n + len(item[1]) > BLOCK_WORDS:
-                made.append((Automaton(block, window), [x[0] for x in block]))
-                block, n = [], 0
-            block.append(item)
-            n += len(item[1])
-        if block:
-            made.append((Automaton(block, window), [x[0] for x in block]))
-        _built[key] = made
+        if len(_built) > 3:
+            _built.clear()
+        items = pickle.loads(packed)
+        _built[key] = [k for k, _ in items], [t for _, t in items], Windows([t for _, t in items], window)
     return _built[key]
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (flat array of word positions: from, to, from, to, ...) and item_ids (sorted strings).
 
-    A null or empty text has no words and no hit. Items that are null, empty or without words match nothing; items
+    Benchmarks beyond BLOCK_BYTES are taken in hash parts, one after the other, each in one pass over the texts. A null
+    or empty text has no words and no hit. Items that are null, empty or without words match nothing; items
     with equal ids count once. No row is dropped or added, whatever the ids.
     """
     fields = [StructField("n_words", LongType(), False), StructField("n_hit", LongType(), False), StructField("hit_spans", ArrayType(IntegerType(), False), False), StructField("item_ids", ArrayType(StringType(), False), False)]
@@ -168,29 +211,36 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
         sent, key, with_old = sc.broadcast(packed), hashlib.md5(packed).hexdigest() + f"-{window}", not first
 
         def work(cols, sent=sent, key=key, with_old=with_old):
-            automata = _automata(key, sent.value, window)
-            olds = zip(cols[1].to_pylist(), cols[2].to_pylist(), strict=True) if with_old else repeat(((), ()))
-            n_words, n_hit, spans, found = [], [], [], []
-            for t, (old_spans, old_items) in zip(cols[0], olds, strict=False):
-                words = words_of(t.as_py())
-                hit, got = [], set(old_items)
-                for a in range(0, len(old_spans), 2):
-                    hit.append((old_spans[a], old_spans[a + 1]))
-                for automaton, names in automata:
-                    for a, b, ks in automaton.matches(words):
-                        hit.append((a, b))
-                        got.update(names[k] for k in ks)
-                flat: list[int] = []
-                for a, b in sorted(hit):
-                    if flat and a <= flat[-1]:
-                        flat[-1] = max(flat[-1], b)
-                    else:
-                        flat += (a, b)
-                n_words.append(len(words))
-                n_hit.append(sum(flat[1::2]) - sum(flat[::2]))
-                spans.append(flat)
-                found.append(sorted(got))
-            return [n_words, n_hit, spans, found]
+            names, texts, index = _index(key, sent.value, window)
+            content, offsets, _ = binary(cols[0].fill_null(b""))
+            n_words, spans, found = [], [], []
+            for i, j in pieces(np.diff(offsets)):
+                own = offsets[i : j + 1]
+                h, first = hashed_words(content[own[0] : own[-1]], own - own[0])
+                n_words += np.diff(first).tolist()
+                docs_, items_ = index.found(h, first)
+                some = np.unique(items_).tolist()
+                automaton = Automaton([(names[k], words_of(texts[k])) for k in some], window) if some else None
+                suspect = np.zeros(j - i, bool)
+                suspect[docs_] = True
+                for d, maybe in enumerate(suspect.tolist(), i):
+                    hit, got = [], set()
+                    if with_old:
+                        old = cols[1][d].as_py()
+                        hit, got = list(zip(old[::2], old[1::2], strict=True)), set(cols[2][d].as_py())
+                    if maybe:
+                        for a, b, ks in automaton.matches(words_of(content[offsets[d] : offsets[d + 1]].tobytes())):
+                            hit.append((a, b))
+                            got.update(names[some[k]] for k in ks)
+                    flat: list[int] = []
+                    for a, b in sorted(hit):
+                        if flat and a <= flat[-1]:
+                            flat[-1] = max(flat[-1], b)
+                        else:
+                            flat += (a, b)
+                    spans.append(flat)
+                    found.append(sorted(got))
+            return [n_words, [sum(x[1::2]) - sum(x[::2]) for x in spans], spans, found]
 
         docs = add_columns(docs, [F.col(text).cast("binary"), *([F.col("hit_spans"), F.col("item_ids")] if with_old else [])], fields, work)
         first = False

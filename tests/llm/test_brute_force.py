@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.llm._common import SpanHasher, rolled
-from spanlake.llm import components, fingerprints, html_text, line_dedup, near_dedup, sampled_pieces, sharding, substring_dedup, toxicity
+from spanlake.llm import components, decontaminate, fingerprints, html_text, line_dedup, near_dedup, sampled_pieces, sharding, substring_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -106,6 +106,43 @@ def test_variants_in_a_hot_group(spark):
     assert [i for i in bands if not bands[i] & bands[0]] == []
 
 
+@pytest.mark.parametrize("block_bytes", [32 << 20, 3000])
+def test_decontamination(spark, monkeypatch, block_bytes):
+    """Many items, short ones and repeated ones too, in one part and in several, against a search word by word."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abc\u00e9") for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    items = [(k, "".join(rng.choice(words) + rng.choice([" ", ", ", "\n"]) for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for k in range(150)]
+    items += [(k + 1000, t.upper()) for k, t in items[:5]] + [(1, items[3][1])]
+    rows = []
+    for k in range(80):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            i = rng.choice(items)[1].split()
+            at, a = rng.randint(0, len(t)), rng.randint(0, max(0, len(i) - 10))
+            t[at:at] = i[a : a + rng.choice([5, 10, 30])]
+        rows.append((k, " ".join(t)))
+
+    def cut(t):
+        return re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+
+    windows = {}
+    for k, t in items:
+        w = cut(t)
+        for a in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[a : a + 10]), set()).add(str(k))
+    got = {r.doc_id: r for r in decontaminate.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    hits = 0
+    for k, t in rows:
+        w = cut(t)
+        found = [(a, n, windows[x]) for n in range(1, 11) for a in range(len(w) - n + 1) if (x := tuple(w[a : a + n])) in windows]
+        covered = {p for a, n, _ in found for p in range(a, a + n)}
+        assert got[k].n_words == len(w) and got[k].n_hit == len(covered) and got[k].item_ids == sorted(set().union(*[i for _, _, i in found]))
+        assert {p for a, b in zip(got[k].hit_spans[::2], got[k].hit_spans[1::2], strict=True) for p in range(a, b)} == covered
+        hits += len(covered)
+    assert hits > 100
+
+
 def late_lines(rows, min_bytes=0):
     """Of each text, the lines (blank ones not counted) that stand earlier, in runs of at least min_bytes; ids are distinct."""
 
