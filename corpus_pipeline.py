@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import decontaminate, line_dedup, near_dedup, sampled_pieces, toxicity
-from spanlake.llm._common import table
+from spanlake.llm._common import shared_folder, table
 
 #: The part of a document's words in benchmark windows above which the document goes whole.
 MAX_COVERAGE = 0.5
@@ -33,9 +33,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate class; repeated rows of it stay. Rows without an id stay."""
+    """One document of each near-duplicate class: the least id (null ids last), and one of the rows that repeat it."""
     out = near_dedup.near_duplicates(docs)
-    return out.where("doc_id is null or doc_id = class_id").select(*[f"`{c}`" for c in docs.columns])
+    return out.where("kept").dropDuplicates(["class_key"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +59,13 @@ STAGES = [
     ("sentencepiece_encoding", to_pieces),
 ]
 
-#: Models, components and samples have no SQL; tests/llm/test_pipeline.py compares with a brute-force version.
+#: Models, components and samples have no SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what they write goes to a new folder in the shared checkpoint folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spanlake-checkpoints'}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
