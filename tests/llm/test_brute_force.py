@@ -1,6 +1,5 @@
 """Operators that SQL cannot express, against brute force, round trips and held-out labels on small tables."""
 
-import hashlib
 import itertools
 import os
 import random
@@ -448,31 +447,6 @@ def test_hosts_agree_on_a_path(spark, monkeypatch):
         assert out[9].split("\n")[0] == "brief" and out[0].startswith("story words go here now")
 
 
-@needs_data
-def test_pipeline(spark):
-    """The stages one by one: what each keeps, against the operators' own brute-force versions."""
-    import corpus_pipeline as C
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    clean = {i: t for i, t in rows.items() if model.scores([t])[0] < 0.5}
-    got = C.drop_toxic(spark, docs, SF)
-    assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == clean
-    lines = C.drop_repeated_lines(spark, got, SF)
-    gone = late_lines(list(clean.items()))
-    want = {}
-    for i, t in clean.items():
-        solid = sum(bool(x.encode().strip()) for x in t.split("\n"))
-        if not gone[i] or len(gone[i]) < solid:
-            want[i] = without(t, gone[i])
-    assert lines.columns == docs.columns and {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (t, len(t)) for i, t in want.items()}
-    out = C.run(spark, SF)
-    rows = out.collect()
-    assert len({r.doc_id for r in rows}) == len(rows) and {r.doc_id for r in rows} <= set(want) and all(r.lossless for r in rows)
-    assert all(hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256 for r in rows)
-
-
 @needs_data
 def test_held_out_toxicity(spark):
     folder = "/root/testdata/sf0.01"
