@@ -63,6 +63,14 @@ def confidence_band(c: Column) -> Column:
     return F.when(c >= 0.8, "high").when(c >= 0.5, "medium").otherwise("low")
 
 
+def utc_clock(time: Column) -> Column:
+    """A moment as date and time of day in UTC, whatever the session's zone."""
+    seconds = F.unix_seconds(time)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    rest = F.pmod(seconds, F.lit(86400))
+    return F.concat(day.cast("string"), F.lit(" "), F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60))
+
+
 def duration(ms: Column) -> Column:
     whole = F.floor(ms + F.lit(0.5)).cast("string")
     return F.when(ms < 100, F.concat(whole, F.lit("ms"))).otherwise(F.concat(F.format_string("%.1f", ms / F.lit(1000.0)), F.lit("s")))

@@ -107,6 +107,11 @@ def word_boxes(needle: str, words: list[dict]) -> list[tuple[float, float, float
     return []
 
 
+def is_scan(items: Column) -> Column:
+    """Whether a page has no text items, so that its words come from recognition."""
+    return F.coalesce(F.size(items), F.lit(0)) <= 0
+
+
 def overlays(entities: DataFrame, pages: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, page_index, entity_id, boxes) of entities (doc_id, entity_id, start_pos, end_pos, text) on pages.
 
@@ -123,7 +128,7 @@ def overlays(entities: DataFrame, pages: DataFrame, doc_id: str = "doc_id") -> D
 
         return pd.Series([one(*x) for x in zip(needle, items, words, height, strict=True)])
 
-    scan = F.coalesce(F.size("items"), F.lit(0)) <= 0
+    scan = is_scan(F.col("items"))
     on = entities.select(doc_id, "entity_id", "start_pos", "end_pos", "text").join(pages.select(doc_id, "page_index", "height", "text_start", "text_end", "items", "words"), doc_id)
     on = on.where(scan | ((F.col("start_pos") < F.col("text_end")) & (F.col("end_pos") > F.col("text_start"))))
     rows = on.select(doc_id, "page_index", "entity_id", find("text", "items", "words", "height").alias("boxes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -12,7 +13,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from spanlake.functions.patterns import MODEL_TYPES
 
@@ -79,15 +80,31 @@ def prompt(chunk: Column) -> Column:
     return F.concat(F.lit("Find the personal data in this text:\n\n"), chunk)
 
 
-def infer(rows: DataFrame, backend: Backend, chunk: str = "chunk") -> DataFrame:
-    """rows with raw_response, the backend's answer to each chunk."""
+class Constant:
+    """A stand-in for tests: names one and the same text in each chunk."""
+
+    def __init__(self, text: str, kind: str = "PERSON"):
+        self.reply = json.dumps([{"type": kind, "text": text}])
+
+    def open(self) -> None:
+        pass
+
+    def answer(self, system: str, prompts: list[str]) -> list[str]:
+        return [self.reply] * len(prompts)
+
+
+def infer(rows: DataFrame, backend: Backend, chunk: str = "chunk", timed: bool = False) -> DataFrame:
+    """rows with raw_response, the backend's answer to each chunk, and, if timed, ms: the share of its batch's time."""
     source = rows.withColumn("__prompt", prompt(F.col(chunk)))
-    schema = StructType([*rows.schema.fields, StructField("raw_response", StringType())])
+    schema = StructType([*rows.schema.fields, StructField("raw_response", StringType()), *[StructField("ms", DoubleType())] * timed])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend.open()
         for b in batches:
+            began = time.perf_counter()
             b["raw_response"] = backend.answer(INSTRUCTION, b["__prompt"].tolist()) if len(b) else []
+            if timed:
+                b["ms"] = (time.perf_counter() - began) * 1000 / max(1, len(b))
             yield b.drop(columns="__prompt")
 
     return source.mapInPandas(run, schema)
@@ -138,6 +155,16 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def distances(a: Column, b: Column) -> Column:
+    """distance() as a column."""
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else distance(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")
+
+    return run(a, b)
+
+
 def word_limit(word: Column, share: float) -> Column:
     return F.greatest(F.lit(2), F.ceil(F.length(word) * F.lit(share)))
 

@@ -47,6 +47,11 @@ def document_text(pages: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return pages.groupBy(doc_id).agg(F.array_join(texts, "\n\n").alias("text"))
 
 
+def page_slice(text: Column, start: Column, end: Column) -> Column:
+    """The part of a document's text that a page takes."""
+    return F.substring(text, start + 1, end - start)
+
+
 def fuse(pages: DataFrame, recognised: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """pages with the recognised text where there is one, and offsets in the fused text."""
     seen = recognised.select(doc_id, "page_index", F.col("text").alias("__seen"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +14,58 @@ from pyspark.sql import functions as F
 SCALE, OUTPUT_SCALE = 4, 3
 
 
+WORDS = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double,confidence:double>>"
+
+
+class Engine(Protocol):
+    """Reads words off images. It is made once in each Python worker by open()."""
+
+    def open(self) -> None: ...
+
+    def read(self, grey: bytes, width: int) -> list[dict]:
+        """Words (text, x0, y0, x1, y1, confidence from 0 to 1) of an image of one byte a pixel."""
+        ...
+
+
+class Columns:
+    """A stand-in for tests: each row of pixels is a word, named by its bytes, as sure as its mean is dark."""
+
+    def open(self) -> None:
+        pass
+
+    def read(self, grey: bytes, width: int) -> list[dict]:
+        rows = np.frombuffer(grey, np.uint8).reshape(-1, width)
+        return [{"text": r.tobytes().hex(), "x0": 0.0, "y0": float(y), "x1": float(width), "y1": y + 1.0, "confidence": float(255 * width - r.sum(dtype=np.int64)) / (255 * width)} for y, r in enumerate(rows)]
+
+
+def recognise(images: DataFrame, engine: Engine, grey: str = "grey", width: str = "width") -> DataFrame:
+    """images (a byte for each pixel of `grey`, rows of `width` pixels) with words; a null or empty image has none."""
+
+    @F.pandas_udf(WORDS)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        engine.open()
+        for data, wide in batches:
+            yield pd.Series([engine.read(bytes(b), int(w)) if b else [] for b, w in zip(data, wide, strict=True)], dtype=object)
+
+    return images.withColumn("words", run(F.col(grey), F.col(width)))
+
+
+def black_out_images(images: DataFrame, boxes: str = "boxes", data: str = "data", width: str = "width", scale: float = 1.0) -> DataFrame:
+    """images (bytes of RGB rows of `width` pixels) whose boxes (points, from the top left) are black; null boxes: none."""
+
+    @F.pandas_udf("binary")
+    def run(raw: pd.Series, wide: pd.Series, all_boxes: pd.Series) -> pd.Series:
+        def one(b, w, found):
+            if b is None:
+                return None
+            image = np.frombuffer(b, np.uint8).reshape(-1, int(w), 3)
+            return black_out(image, [(x["x"], x["y"], x["width"], x["height"]) for x in (found if found is not None else ())], scale).tobytes()
+
+        return pd.Series([one(*x) for x in zip(raw, wide, all_boxes, strict=True)], dtype=object)
+
+    return images.withColumn(data, run(F.col(data), F.col(width), F.col(boxes)))
+
+
 def stretch(rgb: np.ndarray) -> np.ndarray:
     """Grey values of an image (..., 3), stretched to the full range; darker ones darker, lighter ones lighter."""
     grey = rgb[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])

@@ -121,7 +121,9 @@ def category_rules_applied(spark, sf_dir):
 
 
 def text_segments(spark, sf_dir):
-    rows = _found(spark, sf_dir).where(F.size("entities") > 0).select("doc_id", F.posexplode(R.segments(F.col("text"), F.col("entities"))).alias("idx", "s"))
+    # The outer form, as in explode_entities(): a filter on entities would detect them again.
+    parts = F.when(F.size("entities") > 0, R.segments(F.col("text"), F.col("entities")))
+    rows = _found(spark, sf_dir).select("doc_id", F.posexplode_outer(parts).alias("idx", "s")).where("s is not null")
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "s.text", "s.category")
 
 
@@ -164,16 +166,16 @@ def merge_regex_ner(spark, sf_dir):
         F.array(F.struct(F.lit(0).alias("start_pos"), F.least(F.lit(10), F.length("text")).cast("int").alias("end_pos"), F.lit("PERSON").alias("category"), F.substring("text", 1, 10).alias("text"))),
         F.transform(F.filter("entities", lambda e: e["start_pos"] % 3 == 0), lambda e: F.struct(e["start_pos"].alias("start_pos"), e["end_pos"].alias("end_pos"), F.lit("PERSON").alias("category"), e["text"].alias("text"))),
     )
-    rows = _found(spark, sf_dir).where("length(text) >= 10").select("doc_id", F.explode(M.merge(F.col("entities"), model)).alias("e"))
+    rows = _found(spark, sf_dir).where("text is not null").select("doc_id", F.explode_outer(M.merge(F.col("entities"), model)).alias("e"))
     return rows.select("doc_id", "e.start_pos", "e.end_pos", "e.category", "e.source")
 
 
 def leak_scan(spark, sf_dir):
-    """Redacted texts searched for what was redacted from them (strings of four characters or more)."""
-    rows = _found(spark, sf_dir).where(F.size("entities") > 0)
+    """Texts without the accepted entities, searched for all that were found (strings of four characters or more)."""
     strings = F.filter(F.transform("entities", lambda e: e["text"]), lambda t: F.length(t) >= 4)
-    rows = rows.select("doc_id", Y.leaks(R.redact(F.col("text"), F.slice(F.col("entities"), 1, 1)).cast("binary"), strings).alias("leaks"))
-    return rows.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.text", F.col("l.byte_offset").cast("long").alias("byte_offset"))
+    gone = F.filter("entities", lambda e: e["start_pos"] % 3 != 0)
+    rows = _found(spark, sf_dir).select("doc_id", F.explode_outer(Y.leaks(R.redact(F.col("text"), gone).cast("binary"), strings)).alias("l"))
+    return rows.where("l is not null").select("doc_id", "l.text", F.col("l.byte_offset").cast("long").alias("byte_offset"))
 
 
 def chunk_offsets(spark, sf_dir):
@@ -219,8 +221,7 @@ def page_quality(spark, sf_dir):
     """Documents as pages of 612 by 792 points whose items are their words."""
     items = _docs(spark, sf_dir).select("doc_id", F.split("text", " ").alias("strs"))
     q = P.page_quality(F.col("strs"), F.lit(612.0), F.lit(792.0))
-    rows = items.select("doc_id", q.alias("q")).select("doc_id", F.col("q.score").alias("score"), F.col("q.needs_vision").alias("needs_vision"), F.col("q.reason").alias("reason"))
-    return rows.withColumn("reason", F.when(F.col("needs_vision"), F.substring("reason", 1, 8)))
+    return items.select("doc_id", q.alias("q")).select("doc_id", F.col("q.score").alias("score"), F.col("q.needs_vision").alias("needs_vision"), F.col("q.reason").alias("reason"))
 
 
 def document_quality(spark, sf_dir):
@@ -325,8 +326,8 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS BI
     "entity_groups": f"{ENT}, {_REVIEWED} SELECT doc_id, category, k AS item, min_by(text, ord) AS text, string_agg(entity_id, ',' ORDER BY ord) AS ids, bool_and(accepted) AS all_accepted, bool_and(NOT accepted) AS none_accepted, min_by(entity_id, ord) AS first_id, CAST(1.0 AS DOUBLE) AS confidence FROM rev GROUP BY doc_id, category, k",
     "category_groups": f"{ENT}, {_REVIEWED} SELECT doc_id, category, CAST(count(DISTINCT k) AS BIGINT) AS n_unique, CAST(count(*) AS BIGINT) AS n_total, CASE WHEN bool_and(accepted) THEN 'all' WHEN bool_and(NOT accepted) THEN 'none' ELSE 'mixed' END AS state FROM rev GROUP BY doc_id, category",
     "review_log_final_state": f"{ENT}, {_REVIEWED} SELECT doc_id, entity_id, start_pos % 2 <> 0 OR start_pos % 4 = 0 AS accepted FROM rev",
-    "merge_regex_ner": f"{ENT} SELECT doc_id, start_pos, end_pos, category, 'regex' AS source FROM ent JOIN documents d USING (doc_id) WHERE length(d.text) >= 10 UNION ALL SELECT doc_id, 0, 10, 'PERSON', 'ner' FROM documents d WHERE length(text) >= 10 AND NOT EXISTS (SELECT 1 FROM ent WHERE ent.doc_id = d.doc_id AND start_pos = 0 AND end_pos = 10)",
-    "leak_scan": f"{ENT}, {_REDACTED.format(mark=_quoted('[REDACTED]'), where='WHERE ord = 0')}, needle AS (SELECT doc_id, lower(text) AS l, min_by(text, ord) AS text FROM ent WHERE length(text) >= 4 GROUP BY doc_id, lower(text)) SELECT doc_id, needle.text, CAST(octet_length(encode(substr(redacted, 1, CASE WHEN strpos(redacted, needle.text) > 0 THEN strpos(redacted, needle.text) ELSE strpos(lower(redacted), l) END - 1))) AS BIGINT) AS byte_offset FROM red JOIN needle USING (doc_id) WHERE strpos(redacted, needle.text) > 0 OR strpos(lower(redacted), l) > 0",
+    "merge_regex_ner": f"{ENT} SELECT doc_id, start_pos, end_pos, category, 'regex' AS source FROM ent UNION ALL SELECT doc_id, 0, CAST(least(10, length(text)) AS INTEGER), 'PERSON', 'ner' FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ent WHERE ent.doc_id = d.doc_id AND start_pos = 0 AND end_pos = least(10, length(d.text)))",
+    "leak_scan": f"{ENT}, {_REDACTED.format(mark=_quoted('[REDACTED]'), where='WHERE start_pos % 3 <> 0')}, needle AS (SELECT doc_id, lower(text) AS l, min_by(text, ord) AS text FROM ent WHERE length(text) >= 4 GROUP BY doc_id, lower(text)) SELECT doc_id, needle.text, CAST(octet_length(encode(substr(redacted, 1, CASE WHEN strpos(redacted, needle.text) > 0 THEN strpos(redacted, needle.text) ELSE strpos(lower(redacted), l) END - 1))) AS BIGINT) AS byte_offset FROM red JOIN needle USING (doc_id) WHERE strpos(redacted, needle.text) > 0 OR strpos(lower(redacted), l) > 0",
     "llm_type_map": "SELECT type, category FROM " + _VALUES([(k, v) for k, v in MODEL_TYPES.items()] + [(" person ", "PERSON"), ("email_address", "EMAIL"), ("Phone", "PHONE")]) + " AS t(type, category)",
     "llm_parse": "SELECT id, type, text FROM " + _VALUES([(1, "PERSON", "Ann Lee"), (2, "EMAIL", "a@b.co"), (3, "ADDRESS", "1 Main St"), (6, "WEIRD", "some")]) + " AS t(id, type, text)",
     "page_quality": """WITH i AS (SELECT doc_id, string_split(text, ' ') AS strs FROM documents WHERE text IS NOT NULL),
@@ -334,7 +335,7 @@ c AS (SELECT doc_id, coalesce(list_sum(list_transform(strs, lambda s: length(tri
 r AS (SELECT doc_id, chars, filled, singles / nullif(filled, 0) AS ratio, chars / (CAST(612 AS DOUBLE) * 792 / 1000) AS density FROM c),
 s AS (SELECT doc_id, chars, filled, ratio, density, greatest(0, least(1, 1 - (ratio - CAST(0.2 AS DOUBLE)) / CAST(0.4 AS DOUBLE))) * CAST(0.6 AS DOUBLE) + greatest(0, least(1, (density - CAST(0.5 AS DOUBLE)) / CAST(2.5 AS DOUBLE))) * CAST(0.4 AS DOUBLE) AS score FROM r)
 SELECT doc_id, CASE WHEN chars = 0 THEN CAST(0 AS DOUBLE) ELSE floor(score * 100 + 0.5) / 100 END AS score, chars = 0 OR score < CAST(0.3 AS DOUBLE) AS needs_vision,
-  CASE WHEN chars = 0 THEN 'No reada' WHEN score >= CAST(0.3 AS DOUBLE) THEN NULL WHEN ratio > 0.6 THEN 'Many sin' WHEN density < 0.5 THEN 'Sparse t' ELSE 'Poor tex' END AS reason FROM s""",
+  CASE WHEN chars = 0 THEN 'No readable text' WHEN score >= CAST(0.3 AS DOUBLE) THEN NULL WHEN ratio > 0.6 THEN 'Many single-character items (' || CAST(floor(ratio * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) || '%)' WHEN density < 0.5 THEN 'Sparse text, mostly images' ELSE printf('Poor text (score %.2f)', score) END AS reason FROM s""",
     "document_quality": "SELECT doc_id, score, needs_vision, pages FROM (VALUES (1, CAST(0.59 AS DOUBLE), true, '1'), (2, CAST(0.91 AS DOUBLE), false, '')) AS t(doc_id, score, needs_vision, pages)",
     "entity_page_overlap": f"{ENT}, page AS (SELECT doc_id, CAST(unnest(range(0, GREATEST(1, CAST(ceil(length(text) / 1000.0) AS BIGINT)))) AS INTEGER) AS page_index FROM documents) SELECT doc_id, page_index, CAST(count(*) AS BIGINT) AS n FROM ent JOIN page USING (doc_id) WHERE start_pos < (page_index + 1) * 1000 AND end_pos > page_index * 1000 GROUP BY doc_id, page_index",
     "fuzzy_word_match": "SELECT word, other, CAST(levenshtein(word, other) AS BIGINT) AS dist, levenshtein(word, other) <= greatest(2, CAST(ceil(length(other) * 0.25) AS BIGINT)) AS near FROM " + _VALUES(PAIRS) + " AS t(word, other)",
