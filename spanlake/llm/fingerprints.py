@@ -78,6 +78,11 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
             content, offsets, _ = binary(b.column(0))
             for i, j in pieces(np.diff(offsets)):
                 own = offsets[i : j + 1] - offsets[i]
+                if j == i + 1:  # one text, as long as it may be: all windows, some at a time
+                    text = content[offsets[i] : offsets[j]]
+                    for a in range(0, len(text), SLICE_BYTES):
+                        total += np.bincount(entropies(text[a : a + SLICE_BYTES + WINDOW - 1]), minlength=BINS)
+                    continue
                 e = entropies(content[offsets[i] : offsets[j]])
                 total += np.bincount(e[_inside(own, len(e))], minlength=BINS)
         at = np.flatnonzero(total)
@@ -92,50 +97,76 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     return rank
 
 
-def digests(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """The filters of each text, as rows of 256 bytes; no text, no filter."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    owners, starts, stops = [], [], []
+def _chosen(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first byte of the windows that are the rarest of POPULAR groups or more, in order."""
     e = entropies(data)
     n = len(e)
-    if n:
-        good = _inside(offsets, n)
-        doc = np.repeat(np.arange(len(texts)), sizes)[:n]
-        key = rank[e] * (n + 1) + np.arange(n)
-        key[~good] = BINS * (n + 1) + np.flatnonzero(~good)
-        low, span = key, 1
-        while span < GROUP:
-            low = np.minimum(low[:-span], low[span:]) if len(low) > span else low[:0]
-            span *= 2
-        groups = np.flatnonzero(doc[: len(low)] == doc[GROUP - 1 : GROUP - 1 + len(low)]) if len(low) else np.zeros(0, np.int64)
-        groups = groups[good[groups + GROUP - 1]]
-        popular = np.bincount(low[groups] % (n + 1), minlength=n) >= POPULAR
-        chosen = np.flatnonzero(good & popular & (sizes >= SHORT)[doc])
-        owners.append(doc[chosen])
-        starts.append(chosen)
-        stops.append(chosen + WINDOW)
-    for d in np.flatnonzero((sizes > 0) & (sizes < SHORT)).tolist():
-        width = 8 if sizes[d] >= 24 else 3
-        at = np.arange(max(1, sizes[d] - width + 1)) + offsets[d]
-        owners.append(np.full(len(at), d))
-        starts.append(at)
-        stops.append(np.minimum(at + width, offsets[d + 1]))
-    if not starts:
-        return [np.zeros((0, FILTER_BITS // 8), np.uint8)] * len(texts)
-    owner, start, stop = (np.concatenate(x) for x in (owners, starts, stops))
-    order = np.lexsort((start, owner))
-    owner, h = owner[order], _HASH(data, start[order], stop[order])
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.diff(offsets)
+    good = _inside(offsets, n)
+    doc = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    key = rank[e] * (n + 1) + np.arange(n)
+    key[~good] = BINS * (n + 1) + np.flatnonzero(~good)
+    low, span = key, 1
+    while span < GROUP:
+        low = np.minimum(low[:-span], low[span:]) if len(low) > span else low[:0]
+        span *= 2
+    groups = np.flatnonzero(doc[: len(low)] == doc[GROUP - 1 : GROUP - 1 + len(low)]) if len(low) else np.zeros(0, np.int64)
+    groups = groups[good[groups + GROUP - 1]]
+    popular = np.bincount(low[groups] % (n + 1), minlength=n) >= POPULAR
+    chosen = np.flatnonzero(good & popular & (sizes >= SHORT)[doc])
+    return doc[chosen], chosen
+
+
+def _long_features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Hashes of the features of one long text, some windows at a time with the neighbours whose groups they stand in."""
+    out = []
+    for a in range(0, len(data) - WINDOW + 1, SLICE_BYTES):
+        lo, hi = max(0, a - GROUP + 1), min(len(data), a + SLICE_BYTES + GROUP + WINDOW - 2)
+        part = data[lo:hi]
+        _, at = _chosen(part, np.array([0, len(part)]), rank)
+        at = at[(at >= a - lo) & (at < a - lo + SLICE_BYTES)]
+        out.append(_HASH(part, at, at + WINDOW))
+    return np.concatenate(out)
+
+
+def _filters(owner: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
+    """The chained filters of n texts from the hashes of their features in order."""
+    first = np.searchsorted(owner, np.arange(n + 1))
     filters = -(-np.diff(first) // FEATURES)
     base = np.concatenate(([0], np.cumsum(filters)))
     own = base[owner] + (np.arange(len(owner)) - first[owner]) // FEATURES
     bits = np.zeros(base[-1] * FILTER_BITS, bool)
     for k in range(HASHES):
         bits[own * FILTER_BITS + ((h >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-    packed = np.packbits(bits.reshape(-1, FILTER_BITS), axis=1)
-    return np.split(packed, base[1:-1])
+    return np.split(np.packbits(bits.reshape(-1, FILTER_BITS), axis=1), base[1:-1])
+
+
+def digests(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
+    """The filters of each text, as rows of 256 bytes; no text, no filter."""
+    out = []
+    for i, j in pieces(np.array([len(t) for t in texts], np.int64)):
+        if j == i + 1 and len(texts[i]) > 2 * SLICE_BYTES:
+            h = _long_features(np.frombuffer(texts[i], np.uint8), rank)
+            out += _filters(np.zeros(len(h), np.int64), h, 1)
+            continue
+        some = texts[i:j]
+        data = np.frombuffer(b"".join(some), np.uint8)
+        sizes = np.array([len(t) for t in some], np.int64)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        owner, start = _chosen(data, offsets, rank)
+        owners, starts, stops = [owner], [start], [start + WINDOW]
+        for d in np.flatnonzero((sizes > 0) & (sizes < SHORT)).tolist():
+            width = 8 if sizes[d] >= 24 else 3
+            at = np.arange(max(1, sizes[d] - width + 1)) + offsets[d]
+            owners.append(np.full(len(at), d))
+            starts.append(at)
+            stops.append(np.minimum(at + width, offsets[d + 1]))
+        owner, start, stop = (np.concatenate(x) for x in (owners, starts, stops))
+        order = np.lexsort((start, owner))
+        out += _filters(owner[order], _HASH(data, start[order], stop[order]), j - i)
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -182,7 +213,8 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     The edited text has its last quarter replaced by the start of the next text. Null texts count as empty, null ids as
     the smallest; equal ids are in the order of the texts' hashes; a lone row follows itself. An empty text has an empty
-    fingerprint, alike (1.0) only to another.
+    fingerprint, alike (1.0) only to another. Long texts are worked on some windows at a time; a worker holds a text, its
+    edited form and the next one.
     """
     rank = docs.sparkSession.sparkContext.broadcast(rarity(docs, text))
 

@@ -21,8 +21,8 @@ from pyspark.sql.types import LongType, StringType, StructField
 
 from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, pieces, table
 
-#: Bytes of a whole run from which its later copies go; 0: all of them.
-MIN_BYTES = 0
+#: Bytes of a whole run from which its later copies go; 0: all of them. Parts that the rows of a repeated text are dealt to.
+MIN_BYTES, SALTS = 0, 16
 _HASH = (SpanHasher(41), SpanHasher(42))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -102,18 +102,17 @@ def suffix_intervals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(k1, k2, first, gone): of each text with any, the blocks (line, lines) that also stand earlier, and its least id.
+    """(k1, k2, id, first, gone): of each text with any, the blocks (line, lines) that also stand earlier, and its least id.
 
-    Earlier is a smaller id, a smaller key of the text, or a smaller line of the same text. first is there for texts
-    with several rows; gone is null for texts without a block.
+    Earlier is a smaller id, a smaller key of the text, or a smaller line of the same text. first, the least id, is there
+    for texts that stand under several; gone is empty for texts without a block.
     """
-    late = [x.where("late").select("k1", "k2", F.struct("line", F.col("h").alias("lines")).alias("block")) for x in suffix_intervals(docs, text, doc_id)]
+    late = [x.where("late").select("k1", "k2", "id", F.struct("line", F.col("h").alias("lines")).alias("block")) for x in suffix_intervals(docs, text, doc_id)]
     copies = _keyed(docs, text, doc_id).groupBy(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).agg(F.min("__id").alias("first"), F.max("__id").alias("last"))
-    copies = copies.where("last > first").select("k1", "k2", "first", F.lit(None).cast("struct<line:long,lines:long>").alias("block"))
-    every = copies
+    every = copies.where("last > first").select("k1", "k2", F.col("first").alias("id"), "first", F.lit(None).cast("struct<line:long,lines:long>").alias("block"))
     for x in late:
-        every = every.unionByName(x.select("k1", "k2", F.lit(None).cast("long").alias("first"), "block"))
-    return every.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.collect_list("block").alias("gone"))
+        every = every.unionByName(x.withColumn("first", F.lit(None).cast("long")))
+    return every.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("first").alias("first"), F.collect_list("block").alias("gone"))
 
 
 def remove_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -126,10 +125,15 @@ def remove_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     Columns of docs that have the name of a new one give way.
     """
     order = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_all")]
-    gone = repeated_lines(docs, text, doc_id).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "first": "__first", "gone": "__gone"})
-    # A plain exchange on either side, so that Spark can split the rows of a text with very many copies.
-    joined = _keyed(docs.select(*[f"`{c}`" for c in order]), text, doc_id).drop("__text").join(gone.hint("merge"), ["__k1", "__k2"], "left")
-    joined = joined.withColumn("__copy", F.coalesce(F.col("__id") > F.col("__first"), F.lit(False))).drop("__id", "__k1", "__k2", "__first")
+    # Rows meet what is known of their text in a part that their id names, so that a text with very many copies is dealt
+    # to SALTS tasks. Only the part of the least id needs the blocks.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    gone = repeated_lines(docs, text, doc_id).withColumn("own", salt)
+    gone = gone.withColumn("salt", F.explode(F.when(F.col("first").isNull(), F.array("own")).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    gone = gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("salt").alias("__salt"), F.col("first").alias("__first"), F.when(F.col("salt") == F.col("own"), F.col("gone")).alias("__gone"))
+    rows = _keyed(docs.select(*[f"`{c}`" for c in order]), text, doc_id).drop("__text").withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+    joined = rows.join(gone.hint("merge"), ["__k1", "__k2", "__salt"], "left")
+    joined = joined.withColumn("__copy", F.coalesce(F.col("__id") > F.col("__first"), F.lit(False))).drop("__id", "__k1", "__k2", "__salt", "__first")
     fields = [StructField(text, StringType()), StructField("n_lines", LongType(), False), StructField("n_removed", LongType(), False)]
 
     def work(cols):

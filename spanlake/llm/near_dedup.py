@@ -33,7 +33,7 @@ SAMPLES = BANDS * WIDTH
 #: which the tasks' sketches of a part are merged before.
 CELLS, PARTS, LANES = 1 << 20, 64, 16
 #: Rows of a block of a bucket, and rows and bytes of text of a block of a cluster, about.
-BUCKET, BLOCK, BLOCK_BYTES = 2048, 256, 4 << 20
+BUCKET, BLOCK, BLOCK_BYTES = 512, 256, 4 << 20
 
 _SEP = np.ones(256, bool)
 _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from functools import cache
 
 import numpy as np
@@ -85,6 +86,11 @@ class Vocabulary:
             rows.sort()
             self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float), np.array(sorted(up), np.uint64)))
 
+    def content_of(self, ids: np.ndarray) -> bytes:
+        width = self.lengths[ids]
+        at = np.arange(int(width.sum())) + np.repeat(self.offsets[ids] - (np.cumsum(width) - width), width)
+        return self.content[at].tobytes()
+
     def find(self, length: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the table of this length or -1, and whether a longer piece begins so."""
         keys, _, _, up = self.tables[length]
@@ -105,22 +111,25 @@ def _uniform(key: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _long(v: Vocabulary, chunk: str, key: np.uint64, at: int) -> list[tuple[int, int]]:
-    """(end, piece or -1 for the character's bytes) of one long chunk."""
+    """(end, piece or -1 for the character's bytes) of one long chunk; only the forward sums are held."""
     n = len(chunk)
-    total, ways = [0.0] + [0.0] * n, [[] for _ in range(n + 1)]
-    for j in range(1, n + 1):
-        got = [(i, *v.weight[p]) for i in range(max(0, j - v.longest), j) if (p := chunk[i:j]) in v.weight]
+    total = array("d", [0.0]) * (n + 1)
+
+    def ways(j: int) -> list[tuple[int, int, float]]:
+        got = [(i, p[0], total[i] + p[1]) for i in range(max(0, j - v.longest), j) if (p := v.weight.get(chunk[i:j]))]
         if chunk[j - 1] not in v.weight or chunk[j - 1] == "\0":
-            got.append((j - 1, -1, 0.0))
-        logs = [total[i] + w for i, _, w in got]
+            got.append((j - 1, -1, total[j - 1]))
+        return got
+
+    for j in range(1, n + 1):
+        logs = [x for _, _, x in ways(j)]
         top = max(logs)
         total[j] = top + math.log(sum(math.exp(x - top) for x in logs))
-        ways[j] = [(i, p, x) for (i, p, _), x in zip(got, logs, strict=True)]
     out, j = [], n
     with np.errstate(over="ignore"):
         while j:
             u = float(_uniform(np.array([key], np.uint64), np.array([at + j]))[0])
-            for i, p, x in ways[j]:
+            for i, p, x in ways(j):
                 u -= math.exp(x - total[j])
                 if u < 0:
                     break
@@ -129,8 +138,11 @@ def _long(v: Vocabulary, chunk: str, key: np.uint64, at: int) -> list[tuple[int,
     return out
 
 
-def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts (bytes in texts[offsets[i]:offsets[i + 1]]) and the first of each; keys: one of each row."""
+def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabulary, before: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts (bytes in texts[offsets[i]:offsets[i + 1]]) and the first of each; keys: one of each row.
+
+    before: the characters that came before, of texts that are later parts of longer ones (from a space on); -1: whole.
+    """
     raw = texts[offsets[0] : offsets[-1]]
     marks = offsets - offsets[0]
     points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -142,8 +154,10 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
     # The mark itself in a text has no piece here: its bytes are taken, so that it comes back as it was.
     points = np.where(points == SPACE, 0, np.where(points == 32, SPACE, points)).astype(np.uint32)
     truth = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
-    points, truth = np.insert(points, first[full], SPACE), np.insert(truth, first[full], 32)
-    begin = first[full] + np.arange(len(full))
+    begin = first[full]
+    if before < 0:
+        points, truth = np.insert(points, begin, SPACE), np.insert(truth, begin, 32)
+        begin = begin + np.arange(len(full))
     n = len(points)
     doc = np.zeros(n, np.int64)
     doc[begin] = 1
@@ -164,7 +178,7 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
         size = stop - start
         for c in np.flatnonzero(size > PLAIN).tolist():
             a, z = int(start[c]), int(stop[c])
-            for j, p in _long(v, "".join(map(chr, points[a:z].tolist())), row_key[doc[a]], a - int(begin[doc[a]])):
+            for j, p in _long(v, "".join(map(chr, points[a:z].tolist())), row_key[doc[a]], a - int(begin[doc[a]]) + before + 1):
                 out[a + j] = p if p >= 0 else v.size
         mine = np.flatnonzero(~lone & (size <= PLAIN))
         start, size = start[mine], size[mine]
@@ -230,7 +244,7 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
         at_node = base[which] + size
         where = start + size
         zero = base[which]
-        key, origin = row_key[doc[start]], begin[doc[start]]
+        key, origin = row_key[doc[start]], begin[doc[start]] - (before + 1)
         live = np.arange(len(start))
         while len(live):
             x = at_node[live]
@@ -264,18 +278,41 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
 
 def decode(ids: np.ndarray, first: np.ndarray, v: Vocabulary) -> list[bytes]:
     """The texts of piece sequences: the first space is the one that encoding adds."""
-    width = v.lengths[ids]
-    at = np.arange(int(width.sum())) + np.repeat(v.offsets[ids] - (np.cumsum(width) - width), width)
-    content = v.content[at]
-    edges = np.concatenate(([0], np.cumsum(width)))[first]
-    return [content[a + 1 : b].tobytes() if b > a else b"" for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    content = v.content_of(ids)
+    edges = np.concatenate(([0], np.cumsum(v.lengths[ids])))[first]
+    return [content[a + 1 : b] if b > a else b"" for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _parts(text: np.ndarray) -> list[int]:
+    """Where the parts of a long text begin: at spaces after text, about SLICE bytes apart; chunks end there anyway."""
+    good = np.flatnonzero((text[1:] == 32) & (text[:-1] != 32)) + 1
+    out = [0]
+    while True:
+        k = int(np.searchsorted(good, out[-1] + SLICE))
+        if k == len(good):
+            return out
+        out.append(int(good[k]))
+
+
+def encode_long(text: np.ndarray, key: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, bool]:
+    """Piece ids of one text, made part by part as encode() makes them of the whole, and whether they decode to it."""
+    begins, ids, same, before = _parts(text), [], True, -1
+    for a, z in zip(begins, [*begins[1:], len(text)], strict=True):
+        part = text[a:z]
+        got, _ = encode(part, np.array([0, len(part)]), key, v, before)
+        said = v.content_of(got)
+        same &= (said[1:] if before < 0 else said) == part.tobytes()
+        before = max(before, 0) + int(((part & 0xC0) != 0x80).sum())
+        ids.append(got.astype(np.int32))
+    return np.concatenate(ids), same
 
 
 def encode_texts(docs: DataFrame, path: str, keys: list[str], text: str = "text", alpha: float = 1.0, seed: int = 0, with_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """docs with n_pieces, ids (if asked for), ids_sha256 (of the ids as little-endian int32), and whether they decode to the text.
 
     The segmentation of a row depends on the columns `keys`, the seed and its text alone. A null or empty text has no
-    pieces and decodes to the empty text. Rows with equal keys and texts are segmented alike.
+    pieces and decodes to the empty text. Rows with equal keys and texts are segmented alike. Long texts are segmented
+    part by part, with the same result, so that memory follows the longest run without a space, not the longest text.
     """
     fields = [StructField("n_pieces", LongType(), False), StructField("ids_sha256", StringType(), False), StructField("lossless", BooleanType(), False)]
     fields += [StructField("ids", ArrayType(IntegerType(), False), False)] * with_ids
@@ -286,6 +323,14 @@ def encode_texts(docs: DataFrame, path: str, keys: list[str], text: str = "text"
         key = np.asarray(cols[1]).view(np.uint64)
         n, sha, same, lists = [], [], [], []
         for i, j in pieces(np.diff(offsets), SLICE):
+            if j == i + 1 and offsets[j] - offsets[i] > 2 * SLICE:
+                small, whole = encode_long(content[offsets[i] : offsets[j]], key[i:j], v)
+                n.append(len(small))
+                sha.append(hashlib.sha256(small.tobytes()).hexdigest())
+                same.append(whole)
+                if with_ids:
+                    lists.append(pa.ListArray.from_arrays(pa.array([0, len(small)], pa.int32()), pa.array(small)))
+                continue
             ids, first = encode(content, offsets[i : j + 1], key[i:j], v)
             small = ids.astype(np.int32)
             n += np.diff(first).tolist()

@@ -308,6 +308,28 @@ def test_entropy_and_likeness():
     assert fingerprints.likeness(x, x2) == 1.0 and fingerprints.likeness(x, y) > 0.5 and fingerprints.likeness(x, z) < 0.1
 
 
+def test_long_texts_give_what_short_slices_give(monkeypatch):
+    """Features and segmentations of texts that are taken part by part."""
+    rng = np.random.default_rng(6)
+    rank = rng.permutation(1024)
+    data = bytes(rng.choice(np.frombuffer(b"abcdefghij klmn opq", np.uint8), 20_000))
+    whole = fingerprints.digests([data], rank)[0]
+    docs_rank = [fingerprints.entropies(np.frombuffer(data, np.uint8))]
+    for size in (1000, 4097):
+        monkeypatch.setattr(fingerprints, "SLICE_BYTES", size)
+        assert (fingerprints.digests([b"x", data, data], rank)[1] == whole).all()
+        parts = [fingerprints.entropies(np.frombuffer(data[a : a + size + 31], np.uint8)) for a in range(0, len(data), size)]
+        assert (np.concatenate(parts) == docs_rank[0]).all()
+    v = sampled_pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    text = ("  Some words, é 中文 ▁ and\n" + "longer " * 3 + "x" * 300 + " ") * 40
+    body, key = np.frombuffer(text.encode(), np.uint8), np.array([7], np.uint64)
+    want = sampled_pieces.encode(body, np.array([0, len(body)]), key, v)[0]
+    for size in (50, 777, 1 << 20):
+        monkeypatch.setattr(sampled_pieces, "SLICE", size)
+        ids, same = sampled_pieces.encode_long(body, key, v)
+        assert same and ids.tolist() == want.tolist()
+
+
 def test_sampling_follows_the_weights():
     v = sampled_pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
     word = "▁there"
