@@ -2,7 +2,7 @@
 
 Texts are cut into pre-tokens by array operations over code points. The pieces of each distinct pre-token are counted
 once. Counts of the most frequent pre-tokens, a fixed number of them, go to every worker; each document's frequencies of
-all others are joined to their counts by hash, and both sums are added.
+all others are joined to their counts by a hash of 96 bits, and both sums are added.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ def _classes(path: str) -> bytes:
 
 
 @cache
-def _hashers() -> SpanHasher:
-    return SpanHasher(9)
+def _hashers() -> tuple[SpanHasher, SpanHasher]:
+    return SpanHasher(9), SpanHasher(10)
 
 
 def cut(points: np.ndarray, seg: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -88,8 +88,8 @@ def cut(points: np.ndarray, seg: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def frequencies(content: np.ndarray, offsets: np.ndarray, special: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts in content[offsets[i]:offsets[i + 1]]: row, hash, first byte and end of each pre-token, and special tokens of each row."""
+def frequencies(content: np.ndarray, offsets: np.ndarray, special: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts in content[offsets[i]:offsets[i + 1]]: row, hash of 64 bits and of 32 more, first byte and end of each pre-token, and special tokens of each row."""
     body = content[offsets[0] : offsets[-1]].tobytes()
     marks = (offsets - offsets[0]).astype(np.int64)
     specials = np.zeros(len(marks) - 1, np.int64)
@@ -118,35 +118,49 @@ def frequencies(content: np.ndarray, offsets: np.ndarray, special: bytes, classe
         own = np.isin(np.searchsorted(seg, starts, "right") - 1, np.searchsorted(seg, drop))
         starts, stops = starts[~own], stops[~own]
     rows = np.searchsorted(marks, starts, "right") - 1
-    return rows, _hashers()(raw, starts, stops), starts + offsets[0], stops + offsets[0], specials
+    h, g = (hasher(raw, starts, stops) for hasher in _hashers())
+    return rows, h, g.astype(np.uint32).view(np.int32), starts + offsets[0], stops + offsets[0], specials
+
+
+def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct hash of 96 bits the place of one that has it, in the order of h, and the number of each one's hash."""
+    _, at, back = np.unique(h, return_index=True, return_inverse=True)
+    if (g[at][back] != g).any():  # 64 bits alone met by chance
+        order = np.lexsort((g, h))
+        a, b = h[order], g[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = order[new]
+        back = np.empty(len(h), np.int64)
+        back[order] = np.cumsum(new) - 1
+    return at, back
 
 
 def _pretokens(docs: DataFrame, text: str, special: bytes, classes) -> DataFrame:
     """Distinct pre-tokens of the corpus with their frequencies; classes: the broadcast table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
 
         def merged():
-            h = np.concatenate([x[0] for x in held])
-            n = np.concatenate([x[1] for x in held])
-            u, at, back = np.unique(h, return_index=True, return_inverse=True)
+            h, g, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+            at, back = _distinct(h, g)
             tokens = np.empty(len(h), object)
-            tokens[:] = [t for x in held for t in x[2]]
-            return u, np.bincount(back, n).astype(np.int64), tokens[at].tolist()
+            tokens[:] = [t for x in held for t in x[3]]
+            return h[at], g[at], np.bincount(back, n).astype(np.int64), tokens[at].tolist()
 
         def flush():
-            u, n, tokens = merged()
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(tokens, pa.binary()), pa.array(n)], names=["h", "token", "n"])
+            h, g, n, tokens = merged()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), pa.array(tokens, pa.binary()), pa.array(n)], names=["h", "g", "token", "n"])
 
         size, kinds = 0, np.frombuffer(classes.value, np.uint8)
         for b in batches:
             content, offsets, _ = binary(b.column(0))
             for i, j in pieces(np.diff(offsets)):
-                _, h, starts, stops, _ = frequencies(content, offsets[i : j + 1], special, kinds)
-                u, at, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((u, n, [content[a:z].tobytes() for a, z in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]))
-                size += len(u)
+                _, h, g, starts, stops, _ = frequencies(content, offsets[i : j + 1], special, kinds)
+                at, back = _distinct(h, g)
+                held.append((h[at], g[at], np.bincount(back, minlength=len(at)), [content[a:z].tobytes() for a, z in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]))
+                size += len(at)
                 if size > HELD:
                     held[:] = [merged()]
                     size = len(held[0][0])
@@ -157,8 +171,8 @@ def _pretokens(docs: DataFrame, text: str, special: bytes, classes) -> DataFrame
         if held:
             yield flush()
 
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).mapInArrow(run, "h long, token binary, n long")
-    return rows.groupBy("h").agg(F.first("token").alias("token"), F.sum("n").alias("n"))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).mapInArrow(run, "h long, g int, token binary, n long")
+    return rows.groupBy("h", "g").agg(F.first("token").alias("token"), F.sum("n").alias("n"))
 
 
 def _counted(tokens: DataFrame, path: str) -> DataFrame:
@@ -173,10 +187,10 @@ def _counted(tokens: DataFrame, path: str) -> DataFrame:
         form = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
         forms = str.maketrans({chr(b): c for b, c in form.items()})
         for b in batches:
-            count = [len(model.tokenize(t.decode("latin-1").translate(forms))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count, pa.int64())], names=["h", "n", "pieces"])
+            count = [len(model.tokenize(t.decode("latin-1").translate(forms))) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(count, pa.int64())], names=["h", "g", "n", "pieces"])
 
-    return tokens.select("h", "token", "n").mapInArrow(run, "h long, n long, pieces long")
+    return tokens.select("h", "g", "token", "n").mapInArrow(run, "h long, g int, n long, pieces long")
 
 
 def _commonest(counted: DataFrame, most: int) -> int:
@@ -200,39 +214,39 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text"
     mark, sc = special.encode(), docs.sparkSession.sparkContext
     classes = sc.broadcast(_classes(path))
     counted = checkpoint(_counted(_pretokens(docs, text, mark, classes), path))
-    top = counted.where(F.col("n") >= _commonest(counted, head)).select("h", "pieces").toPandas().sort_values("h")
-    sent = sc.broadcast((top["h"].to_numpy(np.int64), top["pieces"].to_numpy(np.int64)))
+    top = counted.where(F.col("n") >= _commonest(counted, head)).select("h", "g", "pieces").toPandas().sort_values(["h", "g"]).drop_duplicates("h")
+    sent = sc.broadcast((top["h"].to_numpy(np.int64), top["g"].to_numpy(np.int32), top["pieces"].to_numpy(np.int32)))
 
     def work(cols):
-        (keys, sizes), kinds = sent.value, np.frombuffer(classes.value, np.uint8)
+        (keys, more, sizes), kinds = sent.value, np.frombuffer(classes.value, np.uint8)
         content, offsets, _ = binary(cols[0])
-        total, tails, freqs = [], [], []
+        total, tails, others, freqs = [], [], [], []
         for i, j in pieces(np.diff(offsets)):
-            rows, h, _, _, specials = frequencies(content, offsets[i : j + 1], mark, kinds)
+            rows, h, g, _, _, specials = frequencies(content, offsets[i : j + 1], mark, kinds)
             h = h.view(np.int64)
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            hit = (keys[at] == h) & (more[at] == g) if len(keys) else np.zeros(len(h), bool)
             total += (specials + np.bincount(rows[hit], sizes[at[hit]], j - i).astype(np.int64)).tolist()
-            order = np.lexsort((h[~hit], rows[~hit]))
-            r, t = rows[~hit][order], h[~hit][order]
+            order = np.lexsort((g[~hit], h[~hit], rows[~hit]))
+            r, t, u = rows[~hit][order], h[~hit][order], g[~hit][order]
             new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1])
+            new[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])
             first = np.flatnonzero(new)
             f = np.diff(np.append(first, len(r)))
             edges = pa.array(np.searchsorted(r[first], np.arange(j - i + 1)).astype(np.int32))
-            tails.append(pa.ListArray.from_arrays(edges, pa.array(t[first])))
-            freqs.append(pa.ListArray.from_arrays(edges, pa.array(f.astype(np.int32))))
-        return [pa.array(total, pa.int64()), pa.concat_arrays(tails), pa.concat_arrays(freqs)]
+            for out_, values in ((tails, t[first]), (others, u[first]), (freqs, f.astype(np.int32))):
+                out_.append(pa.ListArray.from_arrays(edges, pa.array(values)))
+        return [pa.array(total, pa.int64()), *(pa.concat_arrays(x) for x in (tails, others, freqs))]
 
-    fields = [StructField("__head", LongType(), False), StructField("__tail", ArrayType(LongType(), False), False), StructField("__freq", ArrayType(IntegerType(), False), False)]
+    fields = [StructField("__head", LongType(), False), StructField("__tail", ArrayType(LongType(), False), False), StructField("__more", ArrayType(IntegerType(), False), False), StructField("__freq", ArrayType(IntegerType(), False), False)]
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     own = [F.col(f"`{c}`") for c in keep]
     rows = docs.select(*own, F.xxhash64(*own, text).alias("__a"), F.hash(F.md5(body), *own).alias("__b"), body.alias("__text"))
     seen = checkpoint(add_columns(rows, [F.col("__text")], fields, work).drop("__text"))
     # A row is known by its hashes. The first pair of each row is marked, so that repeated rows can be told apart.
-    pairs = seen.where(F.size("__tail") > 0).select("__a", "__b", F.posexplode(F.arrays_zip("__tail", "__freq")).alias("i", "p"))
-    pairs = pairs.select("__a", "__b", F.col("p.__tail").alias("h"), F.col("p.__freq").alias("f"), (F.col("i") == 0).cast("long").alias("one"))
-    rest = pairs.join(counted.select("h", "pieces"), "h").groupBy("__a", "__b").agg(F.expr("sum(f * pieces) div sum(one)").alias("__rest"))
+    pairs = seen.where(F.size("__tail") > 0).select("__a", "__b", F.posexplode(F.arrays_zip("__tail", "__more", "__freq")).alias("i", "p"))
+    pairs = pairs.select("__a", "__b", F.col("p.__tail").alias("h"), F.col("p.__more").alias("g"), F.col("p.__freq").alias("f"), (F.col("i") == 0).cast("long").alias("one"))
+    rest = pairs.join(counted.select("h", "g", "pieces"), ["h", "g"]).groupBy("__a", "__b").agg(F.expr("sum(f * pieces) div sum(one)").alias("__rest"))
     return seen.join(rest, ["__a", "__b"], "left").select(*own, (F.col("__head") + F.coalesce("__rest", F.lit(0))).alias(out))
 
 

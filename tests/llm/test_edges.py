@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -115,17 +116,33 @@ def test_sampled_pieces(edges, empty, want):
     assert sampled_pieces.encode_texts(empty, path, ["doc_id"]).count() == 0
 
 
-def test_token_counts(edges, empty, want):
+def test_token_counts(edges, empty, want, monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_counts, "HELD", 50)
     out = token_counts.count_tokens(edges, path, ["doc_id", "text"], head=100)
     assert ids(out) == want
     assert all(r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in out.collect())
     assert token_counts.count_tokens(empty, path, ["doc_id"]).count() == 0
 
 
+def test_token_counts_where_hashes_meet(edges, monkeypatch):
+    """With 64-bit hashes cut to two bits, the 32 others still tell pre-tokens apart."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first, second = token_counts._hashers()
+    few = edges.where("doc_id in (4, 7)")
+    classes = np.frombuffer(token_counts._classes(path), np.uint8)
+    monkeypatch.setattr(token_counts, "_hashers", lambda: (lambda *a: first(*a) & np.uint64(3), second))
+    body = [r.text.encode() for r in few.collect()]
+    content, offsets = np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)])
+    rows, h, g, starts, stops, _ = token_counts.frequencies(content, offsets, b"<|endoftext|>", classes)
+    at, back = token_counts._distinct(h, g)
+    tokens = [content[a:z].tobytes() for a, z in zip(starts, stops, strict=True)]
+    assert len(at) == len(set(tokens)) and [tokens[k] for k in at[back]] == tokens
+
+
 def test_toxicity(spark, edges, empty, want):
     labels = spark.createDataFrame([(4, 0, None), (7, 1, 1), (None, 1, 1), (1, 0, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.train(edges, labels)
