@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanlake.functions.patterns import CATEGORIES, MODEL_TYPES, SPACE_JAVA
+from spanlake.functions.patterns import CATEGORIES, MODEL_TYPES, SPACE_JAVA, SPACES
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,7 +17,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, f"^[{SPACE_JAVA}]+|[{SPACE_JAVA}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_spaces(c: Column) -> Column:

@@ -21,7 +21,7 @@ from spanlake.operators import report as S
 from spanlake.operators import review as V
 from spanlake.operators import verify as Y
 from spanlake.operators.detect import detect, explode_entities
-from spanlake.plans.queries import _REDACTED, _REVIEWED, ENT, _docs, _found, _long, _quoted, _reviewed, _table
+from spanlake.plans.queries import _REDACTED, _REVIEWED, _VALUES, BOXES, ENT, ITEMS, SPACED, _docs, _found, _long, _quoted, _reviewed, _table
 from spanlake.sources import readers
 from spanlake.streaming import redaction
 
@@ -464,4 +464,12 @@ SELECT doc_id, array_to_string(list_transform(v, lambda x: printf('%02x', CAST(r
     "text_files_source": "SELECT CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, true AS one_row_each FROM documents WHERE text IS NOT NULL",
     "stream_redaction": f"{ENT}, {_REDACTED.format(mark=_quoted('[REDACTED]'), where='')} SELECT doc_id, redacted FROM red",
     "sample_entities": "SELECT CAST(strpos(t, x) - 1 AS INTEGER) AS start_pos, CAST(strpos(t, x) - 1 + length(x) AS INTEGER) AS end_pos, c AS category, x AS text FROM (SELECT " + _quoted(SAMPLE) + " AS t), (VALUES " + ", ".join(f"({_quoted(c)}, {_quoted(x)})" for c, x in SAMPLE_ENTITIES) + ") AS v(c, x)",
+    "report_text": f"{_REPORT} SELECT doc_id, report FROM report",
+    "page_texts": f"""WITH item AS (SELECT * FROM {ITEMS}),
+placed AS (SELECT *, CASE WHEN lag(str) OVER p IS NULL OR lag(has_eol) OVER p THEN '' WHEN abs(y - lag(y) OVER p) > lag(font_h) OVER p * CAST(0.5 AS DOUBLE) THEN chr(10)
+  WHEN x - (lag(x) OVER p + lag(width) OVER p) > lag(width) OVER p / length(lag(str) OVER p) * CAST(1.5 AS DOUBLE) AND NOT lag(str) OVER p LIKE '% ' AND NOT str LIKE ' %' THEN ' ' ELSE '' END AS gap FROM item WINDOW p AS (PARTITION BY doc_id, page_index ORDER BY item_idx)),
+page AS (SELECT doc_id, page_index, {_trimmed("regexp_replace(string_agg(gap || str || CASE WHEN has_eol THEN chr(10) ELSE '' END, '' ORDER BY item_idx), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} AS text FROM placed GROUP BY doc_id, page_index)
+SELECT *, text_start + length(text) AS text_end FROM (SELECT doc_id, page_index, text, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS text_start FROM page)""",
+    "merge_boxes": f"WITH given AS (SELECT id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h FROM {_VALUES(BOXES)} AS t(id, x, y, w, h)) SELECT id, x, y, width, height FROM ({_merged_sql('given', 'id')})",
+    "spaced_caps_repair": f"SELECT id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(range(1, len(gaps) + 1), lambda j: gaps[j] || coalesce(replace(hits[j], ' ', ''), '')), '') END AS repaired FROM (SELECT id, text, string_split_regex(text, '\\b[A-Z](?: [A-Z]){{3,}}\\b') AS gaps, regexp_extract_all(text, '\\b[A-Z](?: [A-Z]){{3,}}\\b') AS hits FROM {_VALUES(list(enumerate(SPACED)))} AS t(id, text))",
 }

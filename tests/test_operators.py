@@ -204,3 +204,88 @@ def test_set_category_takes_all_rules(spark):
     ents = spark.range(1500).selectExpr("id", "concat('c', id) AS category", "true AS accepted")
     rules = spark.range(1500).selectExpr("concat('c', id) AS category", "false AS accepted")
     assert review.set_category(ents, rules).where("accepted").count() == 0
+
+
+def test_model_detection_word_by_word(spark):
+    """First words of chunks located by a reading of the rules without regular expressions."""
+    import json
+    import random
+
+    space = set("\t\n\x0b\f\r \u00a0")
+    rng = random.Random(2)
+    names = ["Ann", "ann", "Bo Lee", "Bo\nLee", "Corinna", "Corina", "corinna", "x", "Bo  lee", "Anneliese"]
+    docs = [(k, " ".join(rng.choice(names) + rng.choice([".", "", " said"]) for _ in range(rng.choice([3, 40, 500])))) for k in range(12)]
+
+    def words(text):
+        out, at = [], 0
+        for k, c in enumerate(text + " "):
+            if c in space:
+                if k > at:
+                    out.append((text[at:k].lower(), at, k))
+                at = k + 1
+        return out
+
+    def edits(a, b):
+        table = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        return table[-1][-1]
+
+    def loose(text, at, parts):
+        for n, p in enumerate(parts):
+            while n and at < len(text) and text[at] in space:
+                at += 1
+            if text[at : at + len(p)].lower() != p:
+                return None
+            at += len(p)
+        return at
+
+    def find(needle, text, taken):
+        exact = [(a, a + len(needle)) for a in range(len(text)) if text.startswith(needle, a) and (a, a + len(needle)) not in taken]
+        if exact:
+            return exact, 0.95
+        parts = needle.lower().split()
+        near = [(a, z) for a in range(len(text)) if (z := loose(text, a, parts)) and (a, z) not in taken]
+        if near or len(" ".join(parts)) < 4:
+            return near, 0.8
+        have = words(text)
+        for i in range(len(have) - len(parts) + 1):
+            far = [edits(h[0], p) for h, p in zip(have[i : i + len(parts)], parts, strict=True)]
+            span = (have[i][1], have[i + len(parts) - 1][2])
+            if all(d <= max(2, -(-len(p) // 4)) for d, p in zip(far, parts, strict=True)) and sum(far) and span not in taken:
+                return [span], 0.8
+        return [], 0.8
+
+    want = []
+    for k, text in docs:
+        taken, out = set(), []
+        for a, n in L.cut(text):
+            needle = " ".join(text[a : a + n].split()[:2])
+            if len(needle) < 2:
+                continue
+            spans, sure = find(needle, text, taken)
+            taken |= set(spans)
+            out += [(k, a, b, json.dumps(needle), sure) for a, b in spans]
+        want += out
+    got = [(r.doc_id, r.start_pos, r.end_pos, json.dumps(r.text), r.confidence) for r in L.detect(spark.createDataFrame(docs, "doc_id int, text string"), L.FirstWords(2)).collect()]
+    assert sorted(got) == sorted(want) and {c for *_, c in got} == {0.95, 0.8}
+
+
+def test_engines_boxes_and_clocks(spark):
+    """Engines, black boxes, timings and clocks on stated rows."""
+    images = spark.createDataFrame([(1, bytes(range(12)), 2, [(0.0, 0.0, 1.0, 2.0)]), (2, None, 2, None)], "id int, data binary, width int, boxes array<struct<x:double,y:double,width:double,height:double>>")
+    got = {r.id: r.data for r in O.black_out_images(images).collect()}
+    assert bytes(got[1]) == bytes([0, 0, 0, 3, 4, 5, 0, 0, 0, 9, 10, 11]) and got[2] is None
+    words = {r.id: r.words for r in O.recognise(images.withColumnRenamed("data", "grey"), O.Columns()).collect()}
+    assert [w.text for w in words[1]] == [bytes([2 * k, 2 * k + 1]).hex() for k in range(6)] and words[2] == []
+    times = spark.sql("SELECT timestamp_seconds(s) AS t FROM VALUES (0), (1709251199), (-1) AS v(s)")
+    assert [r[0] for r in times.select(T.utc_clock(F.col("t"))).collect()] == ["1970-01-01 00:00:00", "2024-02-29 23:59:59", "1969-12-31 23:59:59"]
+
+
+def test_leaks_that_are_planted(spark):
+    """All entities of a text go; one that the rules keep is found again, and so is a copy that detection can't see."""
+    rows = spark.createDataFrame([(1, "a@b.com and x123-45-6789 and 123-45-6789"), (2, "mail c@d.org")], "doc_id int, text string")
+    found = detect(rows)
+    left = found.select("doc_id", Y.leaks(R.redact(F.col("text"), F.col("entities")).cast("binary"), F.transform("entities", lambda e: e["text"])).alias("l"))
+    assert {r.doc_id: [x.text for x in r.l] for r in left.collect()} == {1: ["123-45-6789"], 2: []}
