@@ -8,6 +8,7 @@ Bloom filters of 2,048 bits, and two chains are compared by their overlapping bi
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,9 +196,11 @@ def _with_next(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = min(4000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.approxQuantile("id", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-    bounds = sorted({int(c) for c in cuts})
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    rows = rows.withColumn("bucket", F.size(F.filter(edges, lambda b: b <= F.col("id"))))
+    # An id that many rows share (a null one, say) is cut by the hash of the text as often as the quantiles name it.
+    bounds = [(c, -(1 << 63) + k * (1 << 64) // m) for c, m in sorted(Counter(int(c) for c in cuts).items()) for k in range(m)]
+    pairs = [F.struct(F.lit(c).cast("long").alias("id"), F.lit(t).cast("long").alias("th")) for c, t in bounds]
+    edges = F.array(*pairs) if pairs else F.array().cast("array<struct<id:bigint,th:bigint>>")
+    rows = rows.withColumn("bucket", F.size(F.filter(edges, lambda b: (b["id"] < F.col("id")) | ((b["id"] == F.col("id")) & (b["th"] <= F.col("th"))))))
     heads = sorted((r.bucket, r.f.id, r.f.th) for r in rows.groupBy("bucket").agg(F.min(F.struct("id", "th")).alias("f")).collect())
     follows = spark.createDataFrame([(heads[k - 1][0], h[1], h[2]) for k, h in enumerate(heads)], "before int, id long, th long")
     rows = rows.join(F.broadcast(follows), ["id", "th"], "left")

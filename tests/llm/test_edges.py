@@ -87,6 +87,17 @@ def test_fingerprints(edges, empty, want):
     assert one.near_next == 1.0
 
 
+def test_fingerprints_of_one_id(spark):
+    """Rows that share an id are dealt by their texts and still follow each other in one order."""
+    texts = [f"text number {k} " * (k % 7) for k in range(60)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(5, "last")], "doc_id long, text string")
+    order = [r.text for r in docs.where("doc_id is null").orderBy(F.xxhash64("text")).collect()]
+    out = fingerprints.fingerprint(docs.repartition(6))
+    got = Counter(r.edited_sha256 for r in out.collect())
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest() for t, n in zip([*order, "last"], [*order[1:], "last", order[0]], strict=True))
+    assert got == want
+
+
 def test_pages(spark):
     rows = [(1, None, None), (None, "http://a.b/c", ""), (2, "nohost", "<p>x"), (2, "nohost", "<p>x"), (3, "http://a.b", "<div" * 5000), (4, "http://a.b", "<article><p>Some text &amp; more</p></article><footer>f</footer>")]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("n_chars", F.lit("clash"))
