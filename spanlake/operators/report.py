@@ -67,6 +67,23 @@ def queue_state(queue: DataFrame) -> DataFrame:
     return queue.agg(F.count_if(F.col("status") == "done").alias("done"), (F.count_if(finished) / F.count("*")).alias("share"), F.every(finished).alias("complete"), F.min(F.when(F.col("status") == "pending", F.col("idx"))).alias("next_idx"))
 
 
+# Per cent at which each phase of a file stands, and what its share adds.
+PHASES = {"parse": (10, 0), "engine": (15, 0), "detect": (20, 0), "recognise": (25, 15), "model": (20, 30), "infer": (50, 30), "review": (80, 0), "redact": (85, 0), "done": (100, 0)}
+
+
+def progress(phase: Column, share: Column) -> Column:
+    """Per cent of a file's way, from its phase and the share (0 to 1) of the phase that is done; 0 for other phases."""
+    out = F.lit(0)
+    for name, (start, more) in PHASES.items():
+        out = F.when(phase == name, F.lit(start) + F.floor(F.coalesce(share, F.lit(0.0)) * more + 0.5)).otherwise(out)
+    return out.cast("int")
+
+
+def sample_words(words: Column, n: int = 20) -> Column:
+    """The texts of the first words of a page, for a log line about a page on which nothing was found."""
+    return F.transform(F.slice(words, 1, n), lambda w: w["text"])
+
+
 def render(entities: DataFrame, doc_id: str, clock: Column, name: Column | None = None) -> DataFrame:
     """(doc_id, report): the report of each document as text. Categories and items are in the order they are first seen."""
     found = by_category(entities, [doc_id]).join(entities.groupBy(doc_id, "category").agg(F.min("ord").alias("first")), [doc_id, "category"])

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import text as T
 from spanlake.functions.patterns import CATEGORIES, SPACE_RE2
+from spanlake.functions.register import register
 from spanlake.operators import geometry as G
+from spanlake.operators import merge as M
 from spanlake.operators import model as L
 from spanlake.operators import pages as P
 from spanlake.operators import recognition as O
@@ -367,6 +369,37 @@ def stream_redaction(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("doc_id", "redacted")
 
 
+def two_phase_entities(spark, sf_dir):
+    """Pattern entities and those of a model that names "ion", as one list."""
+    rows = M.detect_all(_docs(spark, sf_dir), L.Constant("ion"), mode="fast").select("doc_id", F.explode_outer("entities").alias("e")).where("e is not null")
+    return rows.select("doc_id", "e.start_pos", "e.end_pos", "e.category", "e.source")
+
+
+def pattern_phase_alone(spark, sf_dir):
+    """Without a backend, patterns alone."""
+    rows = M.detect_all(_docs(spark, sf_dir)).select("doc_id", F.explode_outer("entities").alias("e")).where("e is not null")
+    return rows.select("doc_id", "e.start_pos", "e.end_pos", "e.category", "e.source")
+
+
+def functions_in_sql(spark, sf_dir):
+    """Registered functions, called from SQL text."""
+    register(spark)
+    rows = _docs(spark, sf_dir)
+    return spark.sql("SELECT doc_id, CAST(size(chunk_text(text)) AS BIGINT) AS chunks, CAST(size(locate_spans('ion', text)) AS BIGINT) AS spans FROM {rows}", rows=rows)
+
+
+def file_progress(spark, sf_dir):
+    """Per cent of each order's way, its date as share of the phase."""
+    phases = F.array(*[F.lit(p) for p in (*S.PHASES, "other")])
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.get(phases, (F.col("o_orderkey") % 10).cast("int")).alias("phase"), (F.col("o_custkey") % 65 / 64.0).alias("share"))
+    return rows.select("o_orderkey", S.progress(F.col("phase"), F.col("share")).alias("percent"))
+
+
+def word_samples(spark, sf_dir):
+    rows = _readings(spark, sf_dir)
+    return rows.select("conv_id", "turn", F.array_join(S.sample_words(F.col("now")), " ").alias("words"))
+
+
 def sample_entities(spark, sf_dir):
     """An own sample letter with entities of six categories, several on a line."""
     rows = spark.createDataFrame([(0, SAMPLE)], "doc_id long, text string")
@@ -388,6 +421,7 @@ QUERIES = {f.__name__: f for f in (
     recognised_words, blacked_images, rotations, words_on_page, clean_lines, pasted_texts, normalized_texts, prompts, confidence_bands, model_entities_strict,
     model_entities_fast, timed_chunks, word_distances, toggled, edited_texts, category_table_rules, replayed_actions, queue_progress, scan_metrics, entity_rollup,
     clean_metadata, report_clock, redacted_sink, report_sink, text_files_source, stream_redaction, sample_entities,
+    two_phase_entities, pattern_phase_alone, functions_in_sql, file_progress, word_samples,
 )}
 
 
@@ -464,6 +498,11 @@ SELECT doc_id, array_to_string(list_transform(v, lambda x: printf('%02x', CAST(r
     "text_files_source": "SELECT CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, true AS one_row_each FROM documents WHERE text IS NOT NULL",
     "stream_redaction": f"{ENT}, {_REDACTED.format(mark=_quoted('[REDACTED]'), where='')} SELECT doc_id, redacted FROM red",
     "sample_entities": "SELECT CAST(strpos(t, x) - 1 AS INTEGER) AS start_pos, CAST(strpos(t, x) - 1 + length(x) AS INTEGER) AS end_pos, c AS category, x AS text FROM (SELECT " + _quoted(SAMPLE) + " AS t), (VALUES " + ", ".join(f"({_quoted(c)}, {_quoted(x)})" for c, x in SAMPLE_ENTITIES) + ") AS v(c, x)",
+    "two_phase_entities": f"{ENT}, {_places('same', 'text', 'ion')}, {_places('any_case', 'lower(text)', 'ion')}, named AS (SELECT * FROM same UNION ALL SELECT * FROM any_case WHERE NOT EXISTS (SELECT 1 FROM same WHERE same.doc_id = any_case.doc_id)) SELECT doc_id, start_pos, end_pos, category, 'regex' AS source FROM ent UNION ALL SELECT doc_id, a, CAST(a + 3 AS INTEGER), 'PERSON', 'ner' FROM named WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.doc_id = named.doc_id AND start_pos = a AND end_pos = a + 3)",
+    "pattern_phase_alone": f"{ENT} SELECT doc_id, start_pos, end_pos, category, 'regex' AS source FROM ent",
+    "functions_in_sql": f"WITH RECURSIVE {_CHUNKS}, {_places('same', 'text', 'ion')}, {_places('any_case', 'lower(text)', 'ion')}, s AS (SELECT doc_id, count(*) AS n FROM same GROUP BY doc_id), l AS (SELECT doc_id, count(*) AS n FROM any_case GROUP BY doc_id) SELECT doc_id, CAST(coalesce(chunk.n, 0) AS BIGINT) AS chunks, CAST(coalesce(s.n, l.n, 0) AS BIGINT) AS spans FROM documents LEFT JOIN chunk USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)",
+    "file_progress": "SELECT o_orderkey, CAST(CASE o_orderkey % 10 WHEN 0 THEN 10 WHEN 1 THEN 15 WHEN 2 THEN 20 WHEN 3 THEN 25 + floor(s * 15 + CAST(0.5 AS DOUBLE)) WHEN 4 THEN 20 + floor(s * 30 + CAST(0.5 AS DOUBLE)) WHEN 5 THEN 50 + floor(s * 30 + CAST(0.5 AS DOUBLE)) WHEN 6 THEN 80 WHEN 7 THEN 85 WHEN 8 THEN 100 ELSE 0 END AS INTEGER) AS percent FROM (SELECT o_orderkey, o_custkey % 65 / CAST(64 AS DOUBLE) AS s FROM orders)",
+    "word_samples": "SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '[^ \\t\\n\\r]+')[1:20], ' ') AS words FROM conversations",
     "report_text": f"{_REPORT} SELECT doc_id, report FROM report",
     "page_texts": f"""WITH item AS (SELECT * FROM {ITEMS}),
 placed AS (SELECT *, CASE WHEN lag(str) OVER p IS NULL OR lag(has_eol) OVER p THEN '' WHEN abs(y - lag(y) OVER p) > lag(font_h) OVER p * CAST(0.5 AS DOUBLE) THEN chr(10)
