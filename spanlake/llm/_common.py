@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator for tables with columns of any names that it isn't told to read.
+
+    Names that begin with two underscores, hold a dot or other such characters, or capitals, are put out of its way and
+    come back after it, unless a new column has the name, in capitals or not: then the old one is gone.
+    """
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        bound = signature.bind(docs, *args, **named)
+        bound.apply_defaults()
+        given = [y for x in bound.arguments.values() for y in (x if isinstance(x, list | tuple) else [x])]
+        read = {x for x in given if isinstance(x, str)}
+        strict = any(isinstance(x, Column) for x in given)  # expressions may name columns in capitals
+        odd = {c: f"own_column_{k}" for k, c in enumerate(docs.columns) if c not in read and (c.startswith("__") or not c.isidentifier() or not strict and c != c.lower())}
+        if not odd:
+            return operator(docs, *args, **named)
+        out = operator(docs.withColumnsRenamed(odd), *args, **named)
+        now = {c.lower() for c in out.columns}
+        return out.drop(*[n for c, n in odd.items() if c.lower() in now]).withColumnsRenamed({n: c for c, n in odd.items() if c.lower() not in now})
+
+    return run
+
+
 def pieces(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes each; a longer row has a range of its own."""
     at, total = 0, 0

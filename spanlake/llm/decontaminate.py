@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, binary, pieces, rolled, table
+from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, pieces, rolled, table
 
 #: Words are runs of letters, digits and bytes from 0x80; A-Z become a-z. One table turns all other bytes to spaces.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -196,12 +196,14 @@ def _index(key: str, packed: bytes, window: int) -> tuple[list[str], list[bytes]
     return _built[key]
 
 
+@any_names
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (flat array of word positions: from, to, from, to, ...) and item_ids (sorted strings).
 
     Benchmarks beyond BLOCK_BYTES are taken in hash parts, one after the other, each in one pass over the texts. A null
     or empty text has no words and no hit. Items that are null, empty or without words match nothing; items
-    with equal ids count once. No row is dropped or added, whatever the ids.
+    with equal ids count once. No row is dropped or added, whatever the ids. A worker holds one text whole, with about
+    20 bytes a byte of it.
     """
     fields = [StructField("n_words", LongType(), False), StructField("n_hit", LongType(), False), StructField("hit_spans", ArrayType(IntegerType(), False), False), StructField("item_ids", ArrayType(StringType(), False), False)]
     sc = docs.sparkSession.sparkContext
@@ -247,6 +249,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     return docs
 
 
+@any_names
 def remove_spans(docs: DataFrame, text: str = "text", max_coverage: float = 0.5) -> DataFrame:
     """After scan(): cut the hit words out of the text and drop documents of which more than `max_coverage` is hit.
 

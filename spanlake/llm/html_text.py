@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField
 
-from spanlake.llm._common import add_columns, checkpoint, table
+from spanlake.llm._common import add_columns, any_names, checkpoint, table
 
 #: Bytes of winning paths up to which they are sent to all workers; beyond, pages are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -289,6 +289,7 @@ def _host(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1))
 
 
+@any_names
 def extract_pages(pages: DataFrame, url: str = "url", html_col: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text of each; null or empty html, and pages without text, give an empty text.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, pieces, table
+from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, pieces, table
 
 #: Bytes of a whole run from which its later copies go; 0: all of them. Parts that the rows of a repeated text are dealt to.
 MIN_BYTES, SALTS = 0, 16
@@ -115,6 +115,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return every.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("first").alias("first"), F.collect_list("block").alias("gone"))
 
 
+@any_names
 def remove_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with the later copies of repeated line runs cut from the text, and n_lines, n_removed and removed_all.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, mix, pieces, table
+from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, mix, pieces, table
 from spanlake.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -383,6 +383,7 @@ def _verified(texts: DataFrame, sizes: DataFrame, idf, threshold: float) -> Data
     return _near_pairs(texts, stats, star, cross, "t")
 
 
+@any_names
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """docs with rep_id, class_id, class_key and kept.
 
@@ -391,8 +392,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of texts, so that rows with null or clashing ids never meet by their ids. kept marks the rows of one document of the
     class: those with the least id (null ids last) and, among them, the least hash of the text.
 
-    Texts without words are alike only to equal texts; null texts count as empty. Rows stay as they are, repeated ones
-    too, which are one document: all or none of them are kept. Columns of docs that have the name of a new one give way.
+    Texts without words are alike only to equal texts; null texts count as empty. A worker holds one text whole, with
+    about 25 bytes a byte of it. Rows stay as they are, repeated ones too, which are one document: all or none of them
+    are kept. Columns of docs that have the name of a new one give way.
     """
     sc = docs.sparkSession.sparkContext
     body = F.coalesce(F.col(text), F.lit(""))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
 
-from spanlake.llm._common import add_columns, binary, mix, pieces, table
+from spanlake.llm._common import add_columns, any_names, binary, mix, pieces, table
 
 SPACE = 0x2581
 #: Characters of a chunk up to which chunks are summed side by side; longer ones, one by one. Both keep logarithms.
@@ -307,6 +307,7 @@ def encode_long(text: np.ndarray, key: np.ndarray, v: Vocabulary) -> tuple[np.nd
     return np.concatenate(ids), same
 
 
+@any_names
 def encode_texts(docs: DataFrame, path: str, keys: list[str], text: str = "text", alpha: float = 1.0, seed: int = 0, with_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """docs with n_pieces, ids (if asked for), ids_sha256 (of the ids as little-endian int32), and whether they decode to the text.
 

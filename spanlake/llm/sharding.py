@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField
 
-from spanlake.llm._common import add_columns, checkpoint, table
+from spanlake.llm._common import add_columns, any_names, checkpoint, table
 
 #: New probes for each splitter that is still open, a round.
 PROBES = 64
@@ -109,6 +109,7 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: int = 0) -> tuple[list[
     return [found[s] for s in range(1, n_shards)], below, rounds
 
 
+@any_names
 def shard(docs: DataFrame, key: list[Column], size: Column, n_shards: int, tolerance: int = 0) -> DataFrame:
     """docs with shard (0 to n - 1, near equal sums of `size`) and slot (gapless from 0 in each shard, by key).
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, mix, pieces, rolled, table
+from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, mix, pieces, rolled, table
 
 WINDOW, GRAM = 50, 8
 #: Rows of the sketch, cells of a row for each anchor, least number of parts in which cells are merged and most cells of
@@ -332,15 +332,16 @@ def _hot(docs: DataFrame, sent=None) -> DataFrame:
     return rows.join(ids.hint("merge"), ["h1", "h2"]).where("id > least").select("id", "key", "spans")
 
 
+@any_names
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_at: int = HOT, max_cells: int = MAX_CELLS) -> DataFrame:
-    """docs with __spans: the word ranges of each text that windows of documents with a smaller id cover.
+    """docs with spans: the word ranges of each text that windows of documents with a smaller id cover.
 
     A null id counts as the smallest; rows with equal ids do not count as earlier than each other. Null, empty and short
-    texts have no windows. Rows stay as they are, also repeated ones. A worker holds one text whole, with about 15 bytes
-    a byte of the longest. max_cells bounds the sketch that is sent to all workers (1 bit a cell and row); results do
-    not depend on it.
+    texts have no windows. A column of docs by the name of spans gives way. Rows stay as they are, also repeated ones. A
+    worker holds one text whole, with about 20 bytes a byte of the longest. max_cells bounds the sketch that is sent to
+    all workers (1 bit a cell and row); results do not depend on it.
     """
-    docs = docs.withColumns({"__id": F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).cast("long"), "__text": F.col(text), "__key": F.xxhash64(text)})
+    docs = docs.drop("spans").withColumns({"__id": F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).cast("long"), "__text": F.col(text), "__key": F.xxhash64(text)})
     size = docs.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     needed = max(1 << 16, CELLS * size // ANCHOR_BYTES)
     cells = 1 << int(needed - 1).bit_length()
@@ -353,11 +354,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     else:
         own = listed(docs, cells, hot_at)
         found = _cold(own).unionByName(_hot(own.where(F.array_contains("__hot", 1))))
-    spans = found.groupBy("id", "key").agg(F.collect_list("spans").alias("__spans"))
+    spans = found.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
     joined = docs.join(spans.withColumnsRenamed({"id": "__id", "key": "__key"}), ["__id", "__key"], "left")
     return joined.drop("__id", "__key", "__text")
 
 
+@any_names
 def kept_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """After repeated_spans(): n_words, n_removed and kept (the words that stay, joined by one space)."""
     fields = [StructField("n_words", LongType(), False), StructField("n_removed", LongType(), False), StructField("kept", BinaryType(), False)]
@@ -379,7 +381,7 @@ def kept_words(docs: DataFrame, text: str = "text") -> DataFrame:
             kept.append(b" ".join(w))
         return [n, removed, kept]
 
-    return add_columns(docs, [F.col(text).cast("binary"), F.col("__spans")], fields, work).drop("__spans")
+    return add_columns(docs, [F.col(text).cast("binary"), F.col("spans")], fields, work).drop("spans")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from spanlake.llm._common import add_columns, table
+from spanlake.llm._common import add_columns, any_names, table
 
 #: Labelled rows that a model is fitted on and bytes of their texts, at most; the rows with the least hash of their doc_id.
 MAX_TRAIN, MAX_TRAIN_BYTES = 8_000, 64 << 20
@@ -234,6 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_byt
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64))
 
 
+@any_names
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a score from 0 to 1; null and empty texts get the score of a text without a match."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

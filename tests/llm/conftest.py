@@ -1,5 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
+#: Names that operators use themselves, and one that must be quoted.
+ODD = ["Lines", "__id", "__text", "__h1", "__k1", "__key", "__in0", "__gone", "__path", "__at", "spans", "node", "group", "a.b c"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words string"
 
 
@@ -20,9 +23,9 @@ def edges(spark):
         (7, "another text under the same id", "de", "s", 30, "a", "b"),
         (None, "a text without an id", "en", "s", 20, "a", "b"),
     ]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(f"own {c}") for c in ODD})
 
 
 @pytest.fixture(scope="session")
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA).withColumns({c: F.lit(f"own {c}") for c in ODD})
