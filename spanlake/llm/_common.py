@@ -55,6 +55,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """A beginning that no column's name has."""
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "own_"
+    return prefix
+
+
 def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The operator for tables with columns of any names that it isn't told to read.
 
@@ -70,7 +78,8 @@ def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         given = [y for x in bound.arguments.values() for y in (x if isinstance(x, list | tuple) else [x])]
         read = {x for x in given if isinstance(x, str)}
         strict = any(isinstance(x, Column) for x in given)  # expressions may name columns in capitals
-        odd = {c: f"own_column_{k}" for k, c in enumerate(docs.columns) if c not in read and (c.startswith("__") or not c.isidentifier() or not strict and c != c.lower())}
+        prefix = free_prefix(docs)
+        odd = {c: f"{prefix}{k}" for k, c in enumerate(docs.columns) if c not in read and (c.startswith("__") or not c.isidentifier() or not strict and c != c.lower())}
         if not odd:
             return operator(docs, *args, **named)
         out = operator(docs.withColumnsRenamed(odd), *args, **named)

@@ -1,8 +1,9 @@
 """Sampled segmentations into sentence pieces by forward filtering and backward sampling over the piece lattice.
 
 No piece crosses a space that follows text, so a text's lattice falls into chunks (spaces and what follows). The forward
-sums of each distinct chunk are taken once a slice; all occurrences are then walked backwards together, with random
-numbers that depend only on the row's key, the seed and the position. Decoding gives back every byte.
+sums of each distinct chunk are taken once and kept while there is room; all occurrences are then walked backwards
+together, with random numbers that depend only on the row's key, the seed and the position. Decoding gives back every
+byte.
 
 The vocabulary is of merges and has ranks, no probabilities: a piece of rank r weighs (r + 1) ** -alpha.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
 
-from spanlake.llm._common import add_columns, any_names, binary, mix, pieces, table
+from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, mix, pieces, table
 
 SPACE = 0x2581
 #: Characters of a chunk up to which chunks are summed side by side; longer ones, one by one. Both keep logarithms.
@@ -30,6 +31,7 @@ KAPPA = 2.5
 SLICE = 1 << 19
 _BASE = 0x5851F42D4C957F2D * 8 + 5 & (1 << 64) - 1
 _BACK = pow(_BASE, -1, 1 << 64)
+_CHUNKS = SpanHasher(81)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -48,8 +50,77 @@ def _prefix(points: np.ndarray) -> np.ndarray:
     return total
 
 
+def _salt(length: int) -> int:
+    return length * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+
+
+class Table:
+    """From 64-bit keys to numbers above 0, looked up for whole arrays; what shares a slot goes to a next table."""
+
+    BITS = 18
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, level: int = 0):
+        self.odd = np.uint64((0xD1B54A32D192ED03 + 0x9E3779B97F4A7C16 * level) & (1 << 64) - 1 | 1)
+        self.keys, self.values, self.over = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32), None
+        with np.errstate(over="ignore"):
+            slot = self._slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        if len(rest):
+            self.over = np.zeros(1 << self.BITS, bool)
+            self.over[slot[rest]] = True
+            self.next = Table(keys[rest], values[rest], level + 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * self.odd) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, 0 for others."""
+        slot = self._slot(keys)
+        same = self.keys[slot] == keys
+        out = np.where(same, self.values[slot], 0)
+        if self.over is not None:
+            again = np.flatnonzero(self.over[slot] & ~same)
+            if len(again):
+                out[again] = self.next.get(keys[again])
+        return out
+
+
+class Lattices:
+    """Lattices of chunks that a worker has met, by 64 bits of hash: of each node its edges back, with cumulative chances.
+
+    They depend on the chunk alone. All go when there are more than LIMIT edges.
+    """
+
+    LIMIT = 1 << 22
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.base: dict[int, int] = {}
+        self.nodes = self.edges = 0
+        self.lo, self.hi = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int32)
+        self.ids, self.step, self.cum = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int16), np.zeros(1 << 10)
+
+    def add(self, keys: np.ndarray, base: np.ndarray, lo: np.ndarray, ids: np.ndarray, step: np.ndarray, cum: np.ndarray) -> None:
+        """base: first node of each chunk, and their number; lo: first edge of each node, and their number."""
+        for names, have, values in ((("lo", "hi"), self.nodes, (lo[:-1] + self.edges, lo[1:] + self.edges)), (("ids", "step", "cum"), self.edges, (ids, step, cum))):
+            for name, x in zip(names, values, strict=True):
+                old = getattr(self, name)
+                if have + len(x) > len(old):
+                    new = np.zeros(2 * (have + len(x)), old.dtype)
+                    new[:have] = old[:have]
+                    setattr(self, name, old := new)
+                old[have : have + len(x)] = x
+        self.base.update(zip(keys.tolist(), (base[:-1] + self.nodes).tolist(), strict=True))
+        self.nodes += len(lo) - 1
+        self.edges += len(ids)
+
+
 class Vocabulary:
-    """Pieces by length and hash, with the ids of byte pieces and the text of each piece."""
+    """Pieces by hash, with the ids of byte pieces and the text of each piece."""
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -70,36 +141,30 @@ class Vocabulary:
                 self.bytes_of.append(p.replace(chr(SPACE), " ").encode())
                 self.weight[p] = (i, -alpha * math.log1p(max(0.0, -model.get_score(i))) + KAPPA * len(p))
         self.longest = max(map(len, self.weight))
+        if self.longest > 255:
+            raise ValueError("pieces of more than 255 characters are not supported")
         self.lengths = np.array([len(b) for b in self.bytes_of])
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))
         self.content = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.inner = np.array(sorted({ord(c) for p in self.weight for c in p}))
-        by_length: list[list] = [[] for _ in range(self.longest + 1)]
-        prefixes: list[set] = [set() for _ in range(self.longest + 1)]
-        for p, (i, w) in self.weight.items():
+        self.ids = np.array([i for i, _ in self.weight.values()], np.int32)
+        self.weights = np.array([w for _, w in self.weight.values()])
+        found: dict[int, int] = {}  # for each piece and beginning of a piece: its place and one, twice; plus one if longer pieces begin so
+        for k, p in enumerate(self.weight):
             x = _prefix(np.array([ord(c) for c in p]))
-            by_length[len(p)].append((int(x[-1]), i, w))
-            for k in range(1, len(p)):
-                prefixes[k].add(int(x[k]))
-        self.tables = []
-        for rows, up in zip(by_length, prefixes, strict=True):
-            rows.sort()
-            self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float), np.array(sorted(up), np.uint64)))
+            for n in range(1, len(p)):
+                key = int(x[n]) ^ _salt(n)
+                found[key] = found.get(key, 0) | 1
+            key = int(x[-1]) ^ _salt(len(p))
+            found[key] = found.get(key, 0) & 1 | 2 * (k + 1)
+        self.table = Table(np.array(list(found), np.uint64), np.array(list(found.values()), np.int32))
+        self.lattices = Lattices()
 
     def content_of(self, ids: np.ndarray) -> bytes:
         width = self.lengths[ids]
         at = np.arange(int(width.sum())) + np.repeat(self.offsets[ids] - (np.cumsum(width) - width), width)
         return self.content[at].tobytes()
 
-    def find(self, length: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the table of this length or -1, and whether a longer piece begins so."""
-        keys, _, _, up = self.tables[length]
-        hit = np.full(len(h), -1)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = np.where(keys[at] == h, at, -1)
-        return hit, up[np.minimum(np.searchsorted(up, h), len(up) - 1)] == h if len(up) else np.zeros(len(h), bool)
-
 
 @cache
 def _vocabulary(path: str, alpha: float) -> Vocabulary:
@@ -138,6 +203,65 @@ def _long(v: Vocabulary, chunk: str, key: np.uint64, at: int) -> list[tuple[int,
     return out
 
 
+def _lattice(points: np.ndarray, total: np.ndarray, back: np.ndarray, s: np.ndarray, k: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, ...]:
+    """The lattices of chunks of k characters from s on: nodes between characters, edges for pieces (see Lattices.add)."""
+    base = np.concatenate(([0], np.cumsum(k + 1)))
+    within = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+    pos, end, node = np.repeat(s, k) + within, np.repeat(s + k, k), np.repeat(base[:-1], k) + within
+    # An edge as one number, in the order in which sums are taken: place of its end in the chunk, end, start.
+    edges, e_id, e_w = [], [], []
+    alive, offset = np.arange(len(pos)), within
+    for length in range(1, v.longest + 1):
+        p = pos[alive]
+        found = v.table.get((total[p + length] - total[p]) * back[p] ^ np.uint64(_salt(length)))
+        got = np.flatnonzero(found > 1)
+        piece, on = (found[got] >> 1) - 1, alive[got]
+        e_id.append(v.ids[piece])
+        e_w.append(v.weights[piece])
+        if length == 1 and len(got) < len(found):
+            none = alive[found <= 1]
+            on = np.concatenate((on, none))
+            e_id.append(np.full(len(none), v.size, np.int32))
+            e_w.append(np.zeros(len(none)))
+        edges.append((offset[on] + length) << 42 | (node[on] + length) << 8 | 255 - length)
+        alive = alive[(found & 1 > 0) & (p + length < end[alive])]
+        if not len(alive):
+            break
+    edges = np.concatenate(edges)
+    order = np.argsort(edges)
+    edges = edges[order]
+    ids, w, t, step = np.concatenate(e_id)[order], np.concatenate(e_w)[order], edges >> 8 & (1 << 34) - 1, 255 - (edges & 255)
+    f = t - step
+    sums = np.zeros(base[-1])  # logarithms: plain sums of 112 kana are already below the least double
+    groups = np.flatnonzero(np.diff(t, prepend=-1))
+    each = np.diff(np.append(groups, len(t)))
+    level = np.searchsorted(edges, np.arange(1, PLAIN + 2) << 42)
+    prob = np.empty(len(f))
+    g = np.searchsorted(groups, level)
+    for p in range(len(level) - 1):
+        a, b = level[p], level[p + 1]
+        if a == b:
+            continue
+        logs = sums[f[a:b]] + w[a:b]
+        own, many = groups[g[p] : g[p + 1]], each[g[p] : g[p + 1]]
+        top = np.maximum.reduceat(logs, own - a)
+        prob[a:b] = np.exp(logs - np.repeat(top, many))
+        whole = np.add.reduceat(prob[a:b], own - a)
+        prob[a:b] /= np.repeat(whole, many)
+        sums[t[own]] = top + np.log(whole)
+    # Cumulative sums of each node by itself: those of a whole slice would round by what else is in it.
+    nth = np.arange(len(t)) - np.repeat(groups, each)
+    for n in range(1, int(nth.max(initial=0)) + 1):
+        at = np.flatnonzero(nth == n)
+        prob[at] += prob[at - 1]
+    lo = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=base[-1]))))
+    place = lo[t] + nth
+    out = np.empty(len(t), np.int32), np.empty(len(t), np.int16), np.empty(len(t))
+    for x, values in zip(out, (ids, step, prob), strict=True):
+        x[place] = values
+    return base, lo, *out
+
+
 def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabulary, before: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts (bytes in texts[offsets[i]:offsets[i + 1]]) and the first of each; keys: one of each row.
 
@@ -152,8 +276,9 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
     if not len(full):
         return np.zeros(0, np.int64), np.zeros(n_docs + 1, np.int64)
     # The mark itself in a text has no piece here: its bytes are taken, so that it comes back as it was.
-    points = np.where(points == SPACE, 0, np.where(points == 32, SPACE, points)).astype(np.uint32)
-    truth = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    truth, points = points, points.copy()
+    points[truth == SPACE] = 0
+    points[truth == 32] = SPACE
     begin = first[full]
     if before < 0:
         points, truth = np.insert(points, begin, SPACE), np.insert(truth, begin, 32)
@@ -182,82 +307,33 @@ def encode(texts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabula
                 out[a + j] = p if p >= 0 else v.size
         mine = np.flatnonzero(~lone & (size <= PLAIN))
         start, size = start[mine], size[mine]
-        h = (total[start + size] - total[start]) * back[start] ^ size.astype(np.uint64)
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        # The lattice of each distinct chunk: nodes between characters, edges for pieces.
-        s, k = start[at], size[at]
-        base = np.concatenate(([0], np.cumsum(k + 1)))
-        within = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-        pos, end, node = np.repeat(s, k) + within, np.repeat(s + k, k), np.repeat(base[:-1], k) + within
-        e_from, e_to, e_id, e_w, e_off = [], [], [], [], []
-        alive, offset = np.arange(len(pos)), within
-        for length in range(1, v.longest + 1):
-            p = pos[alive]
-            hit, more = v.find(length, (total[p + length] - total[p]) * back[p])
-            got = hit >= 0
-            ids, weights = v.tables[length][1], v.tables[length][2]
-            e_from.append(node[alive[got]])
-            e_to.append(node[alive[got]] + length)
-            e_id.append(ids[hit[got]])
-            e_w.append(weights[hit[got]])
-            e_off.append(offset[alive[got]] + length)
-            if length == 1 and not got.all():
-                none = alive[~got]
-                e_from.append(node[none])
-                e_to.append(node[none] + 1)
-                e_id.append(np.full(len(none), v.size))
-                e_w.append(np.zeros(len(none)))
-                e_off.append(offset[none] + 1)
-            alive = alive[more & (p + length < end[alive])]
-            if not len(alive):
-                break
-        e_from, e_to, e_id, e_w, e_off = (np.concatenate(x) for x in (e_from, e_to, e_id, e_w, e_off))
-        order = np.lexsort((e_from, e_to, e_off))
-        sums = np.zeros(base[-1])  # logarithms: plain sums of 112 kana are already below the least double
-        f, t, w = e_from[order], e_to[order], e_w[order]
-        groups = np.flatnonzero(np.diff(t, prepend=-1))
-        level = np.searchsorted(e_off[order], np.arange(1, PLAIN + 2))
-        prob = np.empty(len(f))
-        g = np.searchsorted(groups, level)
-        for p in range(len(level) - 1):
-            a, b = level[p], level[p + 1]
-            if a == b:
-                continue
-            logs = sums[f[a:b]] + w[a:b]
-            own = groups[g[p] : g[p + 1]]
-            top = np.maximum.reduceat(logs, own - a)
-            each = np.diff(np.append(own, b))
-            prob[a:b] = np.exp(logs - np.repeat(top, each))
-            whole = np.add.reduceat(prob[a:b], own - a)
-            prob[a:b] /= np.repeat(whole, each)
-            sums[t[own]] = top + np.log(whole)
-        order2 = np.argsort(t, kind="stable")
-        f, t, ids, prob = f[order2], t[order2], e_id[order][order2], prob[order2]
-        lo = np.searchsorted(t, np.arange(base[-1] + 1))
-        # Cumulative sums of each node by itself: those of a whole slice would round by what else is in it.
-        cum, nth = prob, np.arange(len(t)) - lo[t]
-        by_nth = np.argsort(nth, kind="stable")
-        ranks = np.searchsorted(nth[by_nth], np.arange(1, int(nth.max(initial=0)) + 2))
-        for a, b in zip(ranks[:-1].tolist(), ranks[1:].tolist(), strict=True):
-            cum[by_nth[a:b]] += cum[by_nth[a:b] - 1]
+        keys_of, at, which = np.unique(_CHUNKS(points.view(np.uint8), 4 * start, 4 * (start + size)), return_index=True, return_inverse=True)
+        lattices = v.lattices
+        if lattices.edges > lattices.LIMIT:
+            lattices.clear()
+        new = np.flatnonzero([k not in lattices.base for k in keys_of.tolist()])
+        if len(new):
+            lattices.add(keys_of[new], *_lattice(points, total, back, start[at[new]], size[at[new]], v))
+        base = np.fromiter(map(lattices.base.__getitem__, keys_of.tolist()), np.int64, len(keys_of))
         # All occurrences, from their ends.
         at_node = base[which] + size
         where = start + size
         zero = base[which]
         key, origin = row_key[doc[start]], begin[doc[start]] - (before + 1)
-        live = np.arange(len(start))
+        live, cum = np.arange(len(start)), lattices.cum
         while len(live):
             x = at_node[live]
             u = _uniform(key[live], where[live] - origin[live])
-            a, b = lo[x], lo[x + 1]
+            a, b = lattices.lo[x].astype(np.int64), lattices.hi[x].astype(np.int64)
             aim, e = u * cum[b - 1], a.copy()
             on = np.flatnonzero(e < b - 1)
             while len(on := on[cum[e[on]] <= aim[on]]):
                 e[on] += 1
                 on = on[e[on] < b[on] - 1]
-            out[where[live]] = ids[e]
-            where[live] -= x - f[e]
-            at_node[live] = f[e]
+            out[where[live]] = lattices.ids[e]
+            step = lattices.step[e]
+            where[live] -= step
+            at_node[live] = x - step
             live = live[at_node[live] > zero[live]]
     ends = np.flatnonzero(out >= 0)
     ids, owner = out[ends], doc[ends - 1]

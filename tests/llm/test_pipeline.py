@@ -120,6 +120,9 @@ def test_stages(spark):
         assert r.lossless and r.n_pieces == len(r.ids) and hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256
 
 
+ODD = ("score", "n_words", "class_id", "class_key", "kept", "spans", "hit_spans", "n_lines", "group", "node", "id", "__score", "__id", "own_3")
+
+
 def test_planted_cases(spark, tmp_path):
     """A small folder of cases: copies, near copies, benchmark passages, repeated rows, null ids and clashing columns."""
     import corpus_pipeline as C
@@ -128,14 +131,14 @@ def test_planted_cases(spark, tmp_path):
     item = " ".join(f"item{i}" for i in range(20))
     rows = [(1, own[0]), (2, own[0] + " end"), (3, own[1]), (3, own[1]), (None, own[2]), (None, own[3]), (4, own[4] + " " + item), (5, item + " x"), (6, None), (7, own[5])]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.withColumns({c: F.lit("kept") for c in ("score", "n_words", "class_id", "hit_spans", "n_lines", "group", "node", "id")})
+    docs = docs.withColumns({c: F.lit("kept") for c in ODD})
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in C.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
-        assert now.columns == docs.columns
+        assert now.columns == docs.columns and all(now.where(F.col(f"`{c}`") != "kept").count() == 0 for c in ODD)
     got = Counter((r.doc_id, r.text) for r in now.collect())
     assert got == Counter({(1, own[0]): 1, (3, own[1]): 1, (None, own[2]): 1, (None, own[3]): 1, (4, own[4] + " "): 1, (6, None): 1, (7, own[5]): 1})
     assert sum(r.n_pieces > 0 for r in C.run(spark, str(tmp_path)).collect()) == 6
