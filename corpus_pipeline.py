@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import decontaminate, line_dedup, near_dedup, sampled_pieces, toxicity
-from spanlake.llm._common import shared_folder, table
+from spanlake.llm._common import free_prefix, shared_folder, table
 
 #: The part of a document's words in benchmark windows above which the document goes whole.
 MAX_COVERAGE = 0.5
 
 
+def _cleaned(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stage keeps, with the columns of docs: all but doc_id and text are out of its way under names of their own."""
+    prefix = free_prefix(docs)
+    own = {c: f"{prefix}{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = stage(docs.withColumnsRenamed(own))
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     """n_chars again after a text changed, where the column is there."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -23,26 +32,23 @@ def _sized(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores below one half. Null and empty texts stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="__score").where("__score < 0.5").select(*[f"`{c}`" for c in docs.columns])
+    return _cleaned(docs, lambda d: toxicity.score(d, model).where("score < 0.5"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of line runs; documents of which nothing else was left go."""
-    out = line_dedup.remove_lines(docs)
-    return _sized(out.where("not removed_all").select(*[f"`{c}`" for c in docs.columns]))
+    return _sized(_cleaned(docs, lambda d: line_dedup.remove_lines(d).where("not removed_all")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the least id (null ids last), and one of the rows that repeat it."""
-    out = near_dedup.near_duplicates(docs)
-    return out.where("kept").dropDuplicates(["class_key"]).select(*[f"`{c}`" for c in docs.columns])
+    return _cleaned(docs, lambda d: near_dedup.near_duplicates(d).where("kept").dropDuplicates(["class_key"]))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of benchmark windows; documents with more than MAX_COVERAGE of such words go."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    out = decontaminate.remove_spans(found, max_coverage=MAX_COVERAGE)
-    return _sized(out.select(*[f"`{c}`" for c in docs.columns]))
+    items = table(spark, sf_dir, "benchmark")
+    return _sized(_cleaned(docs, lambda d: decontaminate.remove_spans(decontaminate.scan(d, items), max_coverage=MAX_COVERAGE)))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
