@@ -25,6 +25,7 @@ from spanlake.operators import verify as Y
 from spanlake.operators.detect import detect, explode_entities
 from spanlake.plans.queries import _REDACTED, _REVIEWED, _VALUES, BOXES, ENT, ITEMS, SPACED, _docs, _found, _long, _quoted, _reviewed, _table
 from spanlake.sources import readers
+from spanlake.sources.shared import shared_folder
 from spanlake.streaming import redaction
 
 #: Words of a page and of a line, and points from word to word and line to line, of the pages that documents become.
@@ -33,13 +34,7 @@ CLOCK = "2024-01-01 00:00:00"
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share; a local one only where all runs in one process."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and spark.sparkContext.master.startswith("local"):
-        where = "/tmp/spanlake-results"
-    if not where:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{where}/result-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
 
 
 # ---- pages ------------------------------------------------------------------------------------------------------
