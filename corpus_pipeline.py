@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import decontaminate, line_dedup, near_dedup, sampled_pieces, toxicity
-from spanlake.llm._common import free_prefix, shared_folder, table
+from spanlake.llm._common import free_prefix, table
+from spanlake.sources.shared import shared_folder
 
 #: The part of a document's words in benchmark windows above which the document goes whole.
 MAX_COVERAGE = 0.5
