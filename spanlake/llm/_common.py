@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import inspect
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import wraps
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql.types import StructField, StructType
 
 from spanlake.sources.shared import shared_folder
 
-BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that add_columns() answers at a time, so that what it returns stays small whatever a record batch holds.
 STEP_ROWS = 1024
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory whatever the batch holds.
@@ -103,11 +105,27 @@ def binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return content, starts, valid
 
 
-def add_columns(df: DataFrame, inputs: list[Column], fields: list[StructField], work: Callable[[list[pa.Array]], list], drop: tuple[str, ...] = ()) -> DataFrame:
+def release() -> None:
+    """Give freed memory back to the system: workers wait for other tasks, and what they hold counts meanwhile."""
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run(), with release() at the end of a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def add_columns(df: DataFrame, inputs: list[Column], fields: list[StructField], work: Callable[[list[pa.Array]], list], drop: tuple[str, ...] = (), close: Callable[[], object] | None = None) -> DataFrame:
     """df with more columns, made from `inputs` by `work` some rows at a time; no shuffle.
 
     A column of df that has the name of a new one gives way to it. Rows, their order and all other columns stay, except
-    those in `drop`, which are not sent back.
+    those in `drop`, which are not sent back. `close` is called at the end of each task.
     """
     small_batches(df.sparkSession)
     new = {f.name for f in fields} | set(drop)
@@ -128,8 +146,10 @@ def add_columns(df: DataFrame, inputs: list[Column], fields: list[StructField],
                     kind = arrow.field(f).type
                     out.append(x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind))
                 yield pa.RecordBatch.from_arrays([c if c.type == k.type else c.cast(k.type) for c, k in zip(out, arrow, strict=True)], names=arrow.names)
+        if close:
+            close()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -197,9 +197,11 @@ def _index(key: str, packed: bytes, window: int) -> tuple[list[str], list[bytes]
 
 
 @any_names
-def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, cut: bool = False) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (flat array of word positions: from, to, from, to, ...) and item_ids (sorted strings).
 
+    cut: the text comes back without the words that are hit, as remove_spans() leaves it.
+
     Benchmarks beyond BLOCK_BYTES are taken in hash parts, one after the other, each in one pass over the texts. A null
     or empty text has no words and no hit. Items that are null, empty or without words match nothing; items
     with equal ids count once. No row is dropped or added, whatever the ids. A worker holds one text whole, with about
@@ -207,12 +209,14 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     """
     fields = [StructField("n_words", LongType(), False), StructField("n_hit", LongType(), False), StructField("hit_spans", ArrayType(IntegerType(), False), False), StructField("item_ids", ArrayType(StringType(), False), False)]
     sc = docs.sparkSession.sparkContext
-    first = True
-    for part in blocks(items, item_id, item_text):
+    first, parts = True, blocks(items, item_id, item_text)
+    part, after = next(parts), next(parts, None)
+    while part is not None:
+        last = cut and after is None
         packed = pickle.dumps(part)
         sent, key, with_old = sc.broadcast(packed), hashlib.md5(packed).hexdigest() + f"-{window}", not first
 
-        def work(cols, sent=sent, key=key, with_old=with_old):
+        def work(cols, sent=sent, key=key, with_old=with_old, last=last):
             names, texts, index = _index(key, sent.value, window)
             content, offsets, _ = binary(cols[0].fill_null(b""))
             n_words, spans, found = [], [], []
@@ -242,13 +246,27 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                             flat += (a, b)
                     spans.append(flat)
                     found.append(sorted(got))
-            return [n_words, [sum(x[1::2]) - sum(x[::2]) for x in spans], spans, found]
+            kept = [[_without(t.as_py(), x) for t, x in zip(cols[0], spans, strict=True)]] if last else []
+            return [n_words, [sum(x[1::2]) - sum(x[::2]) for x in spans], spans, found, *kept]
 
-        docs = add_columns(docs, [F.col(text).cast("binary"), *([F.col("hit_spans"), F.col("item_ids")] if with_old else [])], fields, work)
-        first = False
+        docs = add_columns(docs, [F.col(text).cast("binary"), *([F.col("hit_spans"), F.col("item_ids")] if with_old else [])], fields + [StructField(text, StringType())] * last, work)
+        first, part, after = False, after, next(parts, None)
     return docs
 
 
+def _without(t: bytes | None, spans: list[int]) -> str | None:
+    """The text without the words from spans[0] to spans[1], from spans[2] to spans[3] and so on, and what is between them."""
+    if t is None or not spans:
+        return None if t is None else t.decode()
+    edges = np.diff(np.concatenate(([0], np.frombuffer(t.translate(_BYTES), np.uint8) != 32, [0])).astype(np.int8))
+    starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    kept, at = [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        kept.append(t[at : starts[a]])
+        at = stops[b - 1]
+    return b"".join([*kept, t[at:]]).decode()
+
+
 @any_names
 def remove_spans(docs: DataFrame, text: str = "text", max_coverage: float = 0.5) -> DataFrame:
     """After scan(): cut the hit words out of the text and drop documents of which more than `max_coverage` is hit.
@@ -259,26 +277,18 @@ def remove_spans(docs: DataFrame, text: str = "text", max_coverage: float = 0.5)
     fields = [StructField(text, StringType(), True)]
 
     def work(cols):
-        out = []
-        for t, spans in zip(cols[0], cols[1].to_pylist(), strict=True):
-            t = t.as_py()
-            if t is None or not spans:
-                out.append(None if t is None else t.decode())
-                continue
-            edges = np.diff(np.concatenate(([0], np.frombuffer(t.translate(_BYTES), np.uint8) != 32, [0])).astype(np.int8))
-            starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            kept, at = [], 0
-            for a, b in zip(spans[::2], spans[1::2], strict=True):
-                kept.append(t[at : starts[a]])
-                at = stops[b - 1]
-            kept.append(t[at:])
-            out.append(b"".join(kept).decode())
-        return [out]
+        return [[_without(t.as_py(), spans) for t, spans in zip(cols[0], cols[1].to_pylist(), strict=True)]]
 
     order = docs.columns
     return add_columns(docs.where(F.col("n_hit") <= F.lit(float(max_coverage)) * F.col("n_words")), [F.col(text).cast("binary"), F.col("hit_spans")], fields, work).select(*[f"`{c}`" for c in order])
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+    """remove_spans() of scan() in one pass over the texts: docs with the columns of scan() and texts without hit words."""
+    found = scan(docs, items, text, item_id, item_text, window, cut=True)
+    return found.where(F.col("n_hit") <= F.lit(float(max_coverage)) * F.col("n_words"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm._common import SLICE_BYTES, SpanHasher, binary, pieces, table
+from spanlake.llm._common import SLICE_BYTES, SpanHasher, binary, pieces, released, table
 
 WINDOW, GROUP, POPULAR = 32, 32, 8
 FILTER_BITS, HASHES, FEATURES = 2048, 5, 160
@@ -89,7 +89,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bin": at, "n": total[at]})
 
-    found = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(released(count), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(BINS, np.int64)
     for r in found:
         n[r.bin] = r.n
@@ -256,7 +256,7 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             yield work(held)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _with_next(docs, text, doc_id).mapInArrow(run, schema)
+    return _with_next(docs, text, doc_id).mapInArrow(released(run), schema)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

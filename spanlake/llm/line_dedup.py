@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, pieces, table
+from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, pieces, released, table
 
 #: Bytes of a whole run from which its later copies go; 0: all of them. Parts that the rows of a repeated text are dealt to.
 MIN_BYTES, SALTS = 0, 16
@@ -71,7 +71,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 cols = [*(c[i + doc] for c in own_columns), line, *(h(text, starts, stops).view(np.int64) for h in _HASH)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["k1", "k2", "id", "line", "r1", "r2"])
 
-    rows = docs.select("__k1", "__k2", "__id", F.col("__text").cast("binary")).mapInArrow(run, "k1 long, k2 long, id long, line long, r1 long, r2 long")
+    rows = docs.select("__k1", "__k2", "__id", F.col("__text").cast("binary")).mapInArrow(released(run), "k1 long, k2 long, id long, line long, r1 long, r2 long")
     return rows.groupBy("k1", "k2", "line").agg(F.min("id").alias("id"), F.first("r1").alias("r1"), F.first("r2").alias("r2"))
 
 

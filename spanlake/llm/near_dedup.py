@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, mix, pieces, table
+from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, mix, pieces, released, table
 from spanlake.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -124,11 +124,11 @@ def weights(docs: DataFrame, text: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": [p], "lane": [lane], "at": [at.astype(np.uint16).tobytes()], "n": [total[at].tobytes()], "docs": [n]})
 
     schema = "part long, lane long, at binary, n binary, docs long"
-    parts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(count, schema)
+    parts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(released(count), schema)
     # First the sketches of a lane, then the lanes, so that no task merges those of all tasks.
-    parts = parts.repartition("part", "lane").mapInArrow(merge, schema).withColumn("lane", F.lit(0).cast("long"))
+    parts = parts.repartition("part", "lane").mapInArrow(released(merge), schema).withColumn("lane", F.lit(0).cast("long"))
     df, n = np.zeros(CELLS, np.int64), 0
-    for r in parts.repartition(PARTS, "part").mapInArrow(merge, schema).collect():
+    for r in parts.repartition(PARTS, "part").mapInArrow(released(merge), schema).collect():
         df[r.part * (CELLS // PARTS) + np.frombuffer(r.at, np.uint16).astype(np.int64)] = np.frombuffer(r.n, np.int64)
         n += r.docs
     return np.log1p(max(n, 1) / np.maximum(df, 1)).astype(np.float32)
@@ -231,7 +231,7 @@ def _near_pairs(rows: DataFrame, stats: DataFrame, star: Callable, cross: Callab
     to = F.when(is_head, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
     stars = known.select("group", F.explode(to).alias("part"), "head", "node", is_head.alias("first"), payload)
     stars = stars.repartition("group", "part").sortWithinPartitions("group", "part", F.desc("first"))
-    flags = checkpoint(stars.mapInArrow(star, "group long, head long, node long, near boolean"))
+    flags = checkpoint(stars.mapInArrow(released(star), "group long, head long, node long, near boolean"))
     # The head is no row of flags: groups of two are done with.
     rest = flags.groupBy("group").agg(F.sum((~F.col("near")).cast("long")).alias("rest"), F.count("*").alias("others")).where("rest > 0 and others > 1").drop("others")
     parts = F.greatest(F.lit(1), F.ceil(F.col("parts") * F.col("rest") / F.col("n"))).cast("int")
@@ -240,7 +240,7 @@ def _near_pairs(rows: DataFrame, stats: DataFrame, star: Callable, cross: Callab
     left = left.select("group", F.pmod(F.xxhash64("node"), F.col("few")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), "node", payload)
     right = rows.join(todo.hint("merge"), "group").select("group", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), own.alias("j"), F.lit(1).alias("side"), "node", payload)
     both = left.unionByName(right).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return flags.where("near").select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(both.mapInArrow(cross, "a long, b long"))
+    return flags.where("near").select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(both.mapInArrow(released(cross), "a long, b long"))
 
 
 def _joins(a: np.ndarray, b: np.ndarray) -> np.ndarray:

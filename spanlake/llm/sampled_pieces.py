@@ -90,10 +90,10 @@ class Table:
 class Lattices:
     """Lattices of chunks that a worker has met, by 64 bits of hash: of each node its edges back, with cumulative chances.
 
-    They depend on the chunk alone. All go when there are more than LIMIT edges.
+    They depend on the chunk alone. All go when there are more than LIMIT edges, and at the end of a task.
     """
 
-    LIMIT = 1 << 22
+    LIMIT = 1 << 20
 
     def __init__(self):
         self.clear()
@@ -110,7 +110,7 @@ class Lattices:
             for name, x in zip(names, values, strict=True):
                 old = getattr(self, name)
                 if have + len(x) > len(old):
-                    new = np.zeros(2 * (have + len(x)), old.dtype)
+                    new = np.zeros((have + len(x)) * 3 // 2, old.dtype)
                     new[:have] = old[:have]
                     setattr(self, name, old := new)
                 old[have : have + len(x)] = x
@@ -418,7 +418,7 @@ def encode_texts(docs: DataFrame, path: str, keys: list[str], text: str = "text"
                 lists.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(small)))
         return [n, sha, same, *([pa.concat_arrays(lists)] if with_ids else [])]
 
-    return add_columns(docs, [F.coalesce(F.col(text), F.lit("")).cast("binary"), F.xxhash64(*keys, F.lit(seed))], fields, work, () if keep_text else (text,))
+    return add_columns(docs, [F.coalesce(F.col(text), F.lit("")).cast("binary"), F.xxhash64(*keys, F.lit(seed))], fields, work, () if keep_text else (text,), lambda: _vocabulary(path, alpha).lattices.clear())
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField
 
-from spanlake.llm._common import add_columns, any_names, checkpoint, table
+from spanlake.llm._common import add_columns, any_names, checkpoint, released, table
 
 #: New probes for each splitter that is still open, a round.
 PROBES = 64
@@ -64,7 +64,7 @@ def _histogram(rows: DataFrame, probes: list[int]) -> list[tuple[int, int, int,
         if seen:
             yield pa.RecordBatch.from_pydict({"i": list(seen), "size": [s[0] for s in seen.values()], "n": [s[1] for s in seen.values()]} | {f"{name}{h + 1}": [s[which][h] for s in seen.values()] for name, which in (("low", 2), ("high", 3)) for h in (0, 1)})
 
-    found = rows.select("__k1", "__k2", "__size").mapInArrow(count, "i long, size long, n long, low1 long, low2 long, high1 long, high2 long")
+    found = rows.select("__k1", "__k2", "__size").mapInArrow(released(count), "i long, size long, n long, low1 long, low2 long, high1 long, high2 long")
     found = found.groupBy("i").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.min(F.struct("low1", "low2")).alias("low"), F.max(F.struct("high1", "high2")).alias("high"))
     return sorted((r.i, r["size"], r.n, _whole(*r.low), _whole(*r.high)) for r in found.collect())
 

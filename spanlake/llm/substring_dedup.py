@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, mix, pieces, rolled, table
+from spanlake.llm._common import SpanHasher, add_columns, any_names, binary, checkpoint, mix, pieces, released, rolled, table
 
 WINDOW, GRAM = 50, 8
 #: Rows of the sketch, cells of a row for each anchor, least number of parts in which cells are merged and most cells of
@@ -188,8 +188,8 @@ def sketch(docs: DataFrame, cells: int, hot_at: int = HOT) -> Sketch:
             hot = np.flatnonzero(total >= hot_at)
             yield pa.RecordBatch.from_pydict({"slice": [s], "row": [row], "bits": [np.packbits(total >= 2, bitorder="little").tobytes()], "hot": [(hot + s * width).tobytes()], "n": [total[hot].astype(np.int64).tobytes()]})
 
-    sent = docs.select(F.coalesce(F.col("__text"), F.lit("")).cast("binary").alias("t")).mapInArrow(count, "slice int, row int, cells binary, counts binary")
-    merged = sent.repartition(slices, "slice", "row").mapInArrow(merge, "slice long, row long, bits binary, hot binary, n binary").collect()
+    sent = docs.select(F.coalesce(F.col("__text"), F.lit("")).cast("binary").alias("t")).mapInArrow(released(count), "slice int, row int, cells binary, counts binary")
+    merged = sent.repartition(slices, "slice", "row").mapInArrow(released(merge), "slice long, row long, bits binary, hot binary, n binary").collect()
     bits = [np.zeros(cells // 8, np.uint8) for _ in range(ROWS)]
     hot: list[list] = [[] for _ in range(ROWS)]
     for r in sorted(merged, key=lambda r: r.slice):
@@ -220,7 +220,7 @@ def listed(docs: DataFrame, cells: int, hot_at: int = HOT) -> DataFrame:
                 a, d = _distinct(anchor, doc)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row + d]), pa.array(keys[row + d]), pa.array(a.view(np.int64)), pa.array(cells_of(a, 0, cells))], names=["__id", "__key", "anchor", "cell"])
 
-    rows = docs.select("__id", "__key", F.coalesce(F.col("__text"), F.lit("")).cast("binary")).mapInArrow(emit, "__id long, __key long, anchor long, cell long")
+    rows = docs.select("__id", "__key", F.coalesce(F.col("__text"), F.lit("")).cast("binary")).mapInArrow(released(emit), "__id long, __key long, anchor long, cell long")
     sums = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     # Plain exchanges on either side, so that Spark can split the rows of very common anchors.
     own = rows.join(sums.hint("merge"), "cell").groupBy("__id", "__key")
@@ -300,8 +300,8 @@ def _cold(docs: DataFrame, sent=None) -> DataFrame:
         if held:
             yield resolve(*merged())
 
-    rows = _sent(docs, sent).mapInArrow(emit, "anchor long, id long, key long, at int, h array<long>")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(group, "id long, key long, spans binary")
+    rows = _sent(docs, sent).mapInArrow(released(emit), "anchor long, id long, key long, at int, h array<long>")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(group), "id long, key long, spans binary")
 
 
 def _hot(docs: DataFrame, sent=None) -> DataFrame:
@@ -326,7 +326,7 @@ def _hot(docs: DataFrame, sent=None) -> DataFrame:
                 spans = [_covered(x) for x in np.split(at - first[doc], s[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64)), pa.array(ids[row + own]), pa.array(keys[row + own]), pa.array(spans, pa.binary())], names=["h1", "h2", "id", "key", "spans"])
 
-    rows = _sent(docs, sent).mapInArrow(emit, "h1 long, h2 long, id long, key long, spans binary")
+    rows = _sent(docs, sent).mapInArrow(released(emit), "h1 long, h2 long, id long, key long, spans binary")
     ids = checkpoint(rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least").select("h1", "h2", "least"))
     # Both sides are plain exchanges, so that Spark can split the partitions of very common windows.
     return rows.join(ids.hint("merge"), ["h1", "h2"]).where("id > least").select("id", "key", "spans")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
-from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, pieces, table
+from spanlake.llm._common import SpanHasher, add_columns, binary, checkpoint, pieces, released, table
 
 #: Pre-tokens whose counts are sent to all workers: 16 bytes each, so 4 MB whatever the corpus.
 HEAD = 1 << 18
@@ -171,7 +171,7 @@ def _pretokens(docs: DataFrame, text: str, special: bytes, classes) -> DataFrame
         if held:
             yield flush()
 
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).mapInArrow(run, "h long, g int, token binary, n long")
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).mapInArrow(released(run), "h long, g int, token binary, n long")
     return rows.groupBy("h", "g").agg(F.first("token").alias("token"), F.sum("n").alias("n"))
 
 
@@ -190,7 +190,7 @@ def _counted(tokens: DataFrame, path: str) -> DataFrame:
             count = [len(model.tokenize(t.decode("latin-1").translate(forms))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(count, pa.int64())], names=["h", "g", "n", "pieces"])
 
-    return tokens.select("h", "g", "token", "n").mapInArrow(run, "h long, g int, n long, pieces long")
+    return tokens.select("h", "g", "token", "n").mapInArrow(released(run), "h long, g int, n long, pieces long")
 
 
 def _commonest(counted: DataFrame, most: int) -> int:

@@ -140,6 +140,9 @@ def test_decontamination(spark, monkeypatch, block_bytes):
         assert {p for a, b in zip(got[k].hit_spans[::2], got[k].hit_spans[1::2], strict=True) for p in range(a, b)} == covered
         hits += len(covered)
     assert hits > 100
+    docs, few = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, two = (Counter((r.doc_id, r.text, r.n_hit) for r in x.collect()) for x in (decontaminate.clean(docs, few), decontaminate.remove_spans(decontaminate.scan(docs, few))))
+    assert one == two and one
 
 
 def late_lines(rows, min_bytes=0):
