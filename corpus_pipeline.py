@@ -49,7 +49,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of benchmark windows; documents with more than MAX_COVERAGE of such words go."""
     items = table(spark, sf_dir, "benchmark")
-    return _sized(_cleaned(docs, lambda d: decontaminate.remove_spans(decontaminate.scan(d, items), max_coverage=MAX_COVERAGE)))
+    return _sized(_cleaned(docs, lambda d: decontaminate.clean(d, items, max_coverage=MAX_COVERAGE)))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
