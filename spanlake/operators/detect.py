@@ -10,8 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.patterns import PATTERNS, java
+from spanlake.functions.text import let
 
 ENTITY = "struct<start_pos:int,pattern:int,end_pos:int,category:string,text:string>"
+#: Matches that a fold appends to one array; longer lists are folded block by block, so that cost is in proportion.
+BLOCK = 256
+
+
+def _blocks(items: Column) -> Column:
+    last = F.greatest(F.lit(0), F.ceil(F.size(items) / F.lit(BLOCK)) - 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
 
 
 def pattern_matches(text: Column, index: int) -> Column:
@@ -29,9 +37,18 @@ def pattern_matches(text: Column, index: int) -> Column:
         one = F.struct(start.alias("start_pos"), F.lit(index).alias("pattern"), end.alias("end_pos"), F.lit(category).alias("category"), pair["hit"].alias("text"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+    def shifted(e: Column, by: Column) -> Column:
+        return F.struct((e["start_pos"] + by).alias("start_pos"), e["pattern"].alias("pattern"), (e["end_pos"] + by).alias("end_pos"), e["category"].alias("category"), e["text"].alias("text"))
+
+    def append(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda e: shifted(e, acc["at"]))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["outs"], F.array(moved)).alias("outs"))
+
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{ENTITY}>>").alias("outs"))
+    matches = let(pairs, lambda p: F.flatten(F.aggregate(F.transform(_blocks(p), lambda b: F.aggregate(b, first, step)), whole, append)["outs"]))
     able = {"EMAIL": text.contains("@")}.get(category, text.rlike("[0-9]"))
-    return F.when(able & text.rlike(regex), F.aggregate(pairs, first, step)["out"]).otherwise(F.array().cast(f"array<{ENTITY}>"))
+    return F.when(able & text.rlike(regex), matches).otherwise(F.array().cast(f"array<{ENTITY}>"))
 
 
 def candidates(text: Column) -> Column:
@@ -41,13 +58,18 @@ def candidates(text: Column) -> Column:
 
 def keep_first(sorted_spans: Column, kind: str = ENTITY) -> Column:
     """Greedy removal of overlaps: a span stays if it starts at or after the end of the last that stayed."""
-    first = F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{kind}>").alias("out"))
+    none = F.array().cast(f"array<{kind}>")
 
     def step(acc: Column, x: Column) -> Column:
         more = F.struct(x["end_pos"].alias("end"), F.concat(acc["out"], F.array(x)).alias("out"))
         return F.when(x["start_pos"] >= acc["end"], more).otherwise(acc)
 
-    return F.aggregate(sorted_spans, first, step)["out"]
+    def append(acc: Column, block: Column) -> Column:
+        kept = F.aggregate(block, F.struct(acc["end"].alias("end"), none.alias("out")), step)
+        return let(kept, lambda k: F.struct(k["end"].alias("end"), F.concat(acc["outs"], F.array(k["out"])).alias("outs")))
+
+    whole = F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+    return let(sorted_spans, lambda s: F.flatten(F.aggregate(_blocks(s), whole, append)["outs"]))
 
 
 def entities(text: Column) -> Column:

@@ -283,6 +283,35 @@ def test_engines_boxes_and_clocks(spark):
     assert [r[0] for r in times.select(T.utc_clock(F.col("t"))).collect()] == ["1970-01-01 00:00:00", "2024-02-29 23:59:59", "1969-12-31 23:59:59"]
 
 
+def test_many_matches_in_one_text(spark):
+    """Lists beyond a block: places stay those in the text, overlaps go across the edges of blocks, and time stays in proportion."""
+    import time
+
+    one = "a@b.co 123-45-6789 x "
+    for n in (1, 85, 86, 128, 129, 400, 20_000):
+        rows = spark.createDataFrame([(n, one * n)], "doc_id int, text string")
+        began = time.time()
+        got = detect(rows).first().entities
+        assert [(e.start_pos, e.end_pos) for e in got] == [x for k in range(n) for x in ((21 * k, 21 * k + 6), (21 * k + 7, 21 * k + 18))]
+    assert time.time() - began < 60
+
+
+def test_shared_folder_of_a_cluster():
+    from types import SimpleNamespace as N
+
+    from spanlake.sources.shared import shared_folder
+
+    def session(master, where=None, chosen=None):
+        gone = N(isDefined=lambda: chosen is not None, get=lambda: chosen)
+        return N(conf=N(get=lambda k, d: where), sparkContext=N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: gone))))
+
+    assert shared_folder(session("yarn", "hdfs:/x")) == "hdfs:/x" and shared_folder(session("yarn", None, "hdfs:/y")) == "hdfs:/y"
+    assert shared_folder(session("local[4]")).endswith("spanlake-checkpoints")
+    for master in ("yarn", "local-cluster[1,1,1]", "spark://h:1"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+
+
 def test_leaks_that_are_planted(spark):
     """All entities of a text go; one that the rules keep is found again, and so is a copy that detection can't see."""
     rows = spark.createDataFrame([(1, "a@b.com and x123-45-6789 and 123-45-6789"), (2, "mail c@d.org")], "doc_id int, text string")
