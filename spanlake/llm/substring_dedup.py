@@ -26,6 +26,8 @@ WINDOW, GRAM = 50, 8
 ROWS, CELLS, SLICES, SLICE_CELLS, HOT = 2, 6, 64, 1 << 20, 256
 #: Cells of a row that are sent to all workers, at most: 128 MB for both rows. Bytes of text to an anchor, about.
 MAX_CELLS, ANCHOR_BYTES = 1 << 29, 130
+#: How far the wanted cells may be beyond those: at 5 a third of the windows that stand once pass the two rows.
+CROWDED = 5
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -345,7 +347,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     size = docs.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     needed = max(1 << 16, CELLS * size // ANCHOR_BYTES)
     cells = 1 << int(needed - 1).bit_length()
-    if needed <= 2 * max_cells:
+    if needed <= CROWDED * max_cells:
         made = sketch(docs, min(cells, max_cells), hot_at)
         sent = docs.sparkSession.sparkContext.broadcast(made)
         found = _cold(docs, sent)
