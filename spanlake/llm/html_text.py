@@ -147,8 +147,8 @@ class Page:
                             break
                         if stack[i][0] in CONTAINERS or stack[i][0] in OUT or stack[i][0] in ("ul", "ol", "dl"):
                             break
-            if tag in VOID or m[3].endswith("/"):
-                continue
+            if tag in VOID or m[3].endswith("/") or tag == "a" and "href" not in m[3].lower():
+                continue  # an anchor without a target, often never closed, links nothing
             kind, strength = _names(m[3])
             within = count["article"] or count["main"]
             if tag in OUT:

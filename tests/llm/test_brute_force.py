@@ -442,6 +442,11 @@ def test_marks_spare_articles_and_most_of_the_text(wrap):
     assert main_text(page) == "The text of the page, which is long"
 
 
+def test_open_anchors_link_nothing():
+    page = "<body><a name=top><div><p>The story as it is told, with many words</p></div><div><a href=/x>Somewhere else, with as many words as that</a></div></body>"
+    assert main_text(page) == "The story as it is told, with many words"
+
+
 @pytest.mark.parametrize("wrap", ["article", "main", "div class='story'"])
 def test_whole_articles(wrap):
     long = "long text " * 30
