@@ -68,7 +68,8 @@ def black_out_images(images: DataFrame, boxes: str = "boxes", data: str = "data"
 
 def stretch(rgb: np.ndarray) -> np.ndarray:
     """Grey values of an image (..., 3), stretched to the full range; darker ones darker, lighter ones lighter."""
-    grey = rgb[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+    red, green, blue = (rgb[..., k].astype(np.float64) for k in range(3))
+    grey = red * 0.299 + green * 0.587 + blue * 0.114  # not `@`, which may fuse steps, so that halves round otherwise
     if not grey.size:
         return grey.astype(np.uint8)
     low = grey.min()

@@ -283,6 +283,12 @@ def test_engines_boxes_and_clocks(spark):
     assert [r[0] for r in times.select(T.utc_clock(F.col("t"))).collect()] == ["1970-01-01 00:00:00", "2024-02-29 23:59:59", "1969-12-31 23:59:59"]
 
 
+def test_grey_values_at_halves():
+    """Weighted colours are added from left to right: a value next to a half goes as the plain sum does, here as SQL gave it."""
+    image = np.frombuffer(bytes.fromhex("193bce4989e5da601e335d66ed6e8687" * 12), np.uint8).reshape(-1, 3)
+    assert O.stretch(image).tobytes().hex() == "104c491fd40c44ff00ff46ccff033f4b" * 4
+
+
 def test_many_matches_in_one_text(spark):
     """Lists beyond a block: places stay those in the text, overlaps go across the edges of blocks, and time stays in proportion."""
     import time
