@@ -64,11 +64,12 @@ def confidence_band(c: Column) -> Column:
 
 
 def utc_clock(time: Column) -> Column:
-    """A moment as date and time of day in UTC, whatever the session's zone."""
+    """A moment as date and time of day in UTC, whatever the session's zone; years beyond 9999 have no plus, those below 0 no zeros."""
     seconds = F.unix_seconds(time)
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
     rest = F.pmod(seconds, F.lit(86400))
-    return F.concat(day.cast("string"), F.lit(" "), F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60))
+    date = F.regexp_replace(day.cast("string"), r"^\+|(?<=^-)0+", "")
+    return F.concat(date, F.lit(" "), F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60))
 
 
 def duration(ms: Column) -> Column:

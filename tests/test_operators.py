@@ -283,6 +283,13 @@ def test_engines_boxes_and_clocks(spark):
     assert [r[0] for r in times.select(T.utc_clock(F.col("t"))).collect()] == ["1970-01-01 00:00:00", "2024-02-29 23:59:59", "1969-12-31 23:59:59"]
 
 
+def test_clock_of_far_years(spark):
+    """Years of more or fewer than four digits, as SQL writes them."""
+    times = spark.sql("SELECT timestamp_seconds(s) AS t FROM VALUES (253402300799), (253402300800), (777591000000), (-62135596801), (-62167219201), (-377705116801) AS v(s)")
+    want = ["9999-12-31 23:59:59", "10000-01-01 00:00:00", "26610-11-17 20:00:00", "0000-12-31 23:59:59", "-1-12-31 23:59:59", "-10000-12-31 23:59:59"]
+    assert [r[0] for r in times.select(T.utc_clock(F.col("t"))).collect()] == want
+
+
 def test_grey_values_at_halves():
     """Weighted colours are added from left to right: a value next to a half goes as the plain sum does, here as SQL gave it."""
     image = np.frombuffer(bytes.fromhex("193bce4989e5da601e335d66ed6e8687" * 12), np.uint8).reshape(-1, 3)
