@@ -1,5 +1,9 @@
 """Redaction, verification, reports, review, pages, geometry, model output and streams on stated cases."""
 
+import math
+import os
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +19,9 @@ from spanlake.operators import report as S
 from spanlake.operators import review as V
 from spanlake.operators import verify as Y
 from spanlake.operators.detect import detect, explode_entities
+from spanlake.plans.operator_queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 SPAN = "array<struct<start_pos:int,end_pos:int,category:string,text:string,accepted:boolean>>"
 
 
@@ -173,6 +179,56 @@ def test_boxes(spark):
     assert len(G.page_boxes(over, ents).first().boxes) == 1 and G.unmapped(ents, over).count() == 0
 
 
+def _plain_word_boxes(needle, words):
+    """A plain reading of what word_boxes() is to give."""
+    low = L._EDGES.sub("", needle.lower())
+    kept = [(t, w) for w in words if (t := L._EDGES.sub("", w["text"]))]
+    if not low or not kept:
+        return []
+    boxes = lambda a, b: G._merged([(w["x0"], w["y0"], w["x1"] - w["x0"], w["y1"] - w["y0"]) for _, w in kept[a:b]])
+    for a in range(len(kept)):
+        for b in range(a + 1, len(kept) + 1):
+            if " ".join(t for t, _ in kept[a:b]).lower() == low:
+                return boxes(a, b)
+    if inside := [k for k, (t, _) in enumerate(kept) if low in t.lower()]:
+        return G._merged([x for k in inside for x in boxes(k, k + 1)])
+    parts = [p for p in L._SPACE.split(low) if p]
+    for a in range(len(kept) - len(parts) + 1):
+        far = [L.distance(kept[a + k][0].lower(), p) for k, p in enumerate(parts)]
+        if all(d <= max(2, math.ceil(len(p) * 0.3)) for d, p in zip(far, parts, strict=True)) and sum(far) <= max(3, math.ceil(len(low) * 0.2)):
+            return boxes(a, a + len(parts))
+    for a in range(len(kept)):
+        for b in range(a + 1, min(a + 10, len(kept)) + 1):
+            if low in " ".join(t for t, _ in kept[a:b]).lower():
+                return boxes(a, b)
+            if sum(len(t) + 1 for t, _ in kept[a:b]) - 1 > len(low) + 20:
+                break
+    return []
+
+
+def test_overlays_of_many_entities(spark):
+    """More entities than a block, on a scan and on a page of items: each as by itself, with ids and keys of other kinds."""
+    rnd = random.Random(5)
+    token = lambda: "".join(rnd.choice(["a", "b", "abc", "A", "Σ", "x y", "e"]) for _ in range(rnd.randrange(6)))
+    words = [{"text": token(), "x0": 10.0 * k, "y0": float(k // 9), "x1": 10.0 * k + 9, "y1": 9.0} for k in range(60)]
+    items = [{"str": token(), "x": 20.0 * (k % 7), "y": 700.0 - k // 7 * 9, "font_h": rnd.choice([0.0, -8.0, 10.0]), "width": 15.0, "has_eol": k % 5 == 4} for k in range(60)]
+    texts = [rnd.choice([token(), token() + " " + token(), " ".join(w["text"] for w in words[k % 50 : k % 50 + 2]), items[k % 60]["str"]]) for k in range(2 * G.BLOCK + 3)]
+    entities = spark.createDataFrame([("d", k, k, k + 1, t) for k, t in enumerate(texts)], "file string, entity_id long, start_pos int, end_pos int, text string")
+    shape = "file string, page_index long, height int, text_start int, text_end int, items array<struct<str:string,x:double,y:double,font_h:double,width:double,has_eol:boolean>>, words array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
+    pages = spark.createDataFrame([("d", 0, 792, 0, 300, items, None), ("d", 1, 792, 300, 301, None, words), ("d", 2, 792, 301, 302, [], None)], shape)
+    got = {(r.page_index, r.entity_id): [tuple(b) for b in r.boxes] for r in G.overlays(entities, pages, "file").collect()}
+    want = {(1, k): b for k, t in enumerate(texts) if (b := _plain_word_boxes(t, words))} | {(0, k): b for k, t in enumerate(texts[:300]) if (b := G.item_boxes(t, items, 792.0))}
+    assert got == want and {p for p, _ in want} == {0, 1} and max(k for _, k in want) >= 2 * G.BLOCK
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("query", ["entities_without_boxes"])
+def test_boxes_deal_texts_alone(spark, query):
+    """What pages hold, a struct for each word, meets its entities where it is made: below the search only texts are dealt."""
+    above, search, below = QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
+    assert search and "REPARTITION_BY_COL" in below and "ENSURE_REQUIREMENTS" not in below
+
+
 def test_recognition(spark):
     assert O.stretch(np.array([[[0, 0, 0], [100, 100, 100], [200, 200, 200]]], np.uint8)).tolist() == [[0, 76, 255]]
     assert O.black_out(np.full((9, 9), 255, np.uint8), [(1, 1, 1, 1)], 3).sum() == 255 * (81 - 9)
