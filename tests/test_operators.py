@@ -222,7 +222,7 @@ def test_overlays_of_many_entities(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("query", ["entities_without_boxes", "page_overlays"])
+@pytest.mark.parametrize("query", ["entities_without_boxes", "page_overlays", "page_black_boxes"])
 def test_boxes_deal_texts_alone(spark, query):
     """What pages hold, a struct for each word, meets its entities where it is made: below the search only texts are dealt."""
     above, search, below = QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
