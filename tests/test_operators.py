@@ -229,6 +229,22 @@ def test_boxes_deal_texts_alone(spark, query):
     assert search and "REPARTITION_BY_COL" in below and "ENSURE_REQUIREMENTS" not in below
 
 
+def _dealt(plan):
+    """Bytes that the exchanges of a plan that ran wrote; those read a second time count once."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [] if name == "ReusedExchange" else [plan.children().apply(k) for k in range(plan.children().size())]
+    return (plan.metrics().apply("dataSize").value() if name == "Exchange" else 0) + sum(map(_dealt, inner))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("query", ["page_overlays"])
+def test_boxes_deal_no_more_than_twice_the_text(spark, query):
+    rows = QUERIES[query](spark, SF)
+    assert rows.collect()
+    text = spark.read.parquet(f"{SF}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert text < _dealt(rows._jdf.queryExecution().executedPlan()) < 2 * text
+
+
 def test_recognition(spark):
     assert O.stretch(np.array([[[0, 0, 0], [100, 100, 100], [200, 200, 200]]], np.uint8)).tolist() == [[0, 76, 255]]
     assert O.black_out(np.full((9, 9), 255, np.uint8), [(1, 1, 1, 1)], 3).sum() == 255 * (81 - 9)
