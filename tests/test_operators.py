@@ -237,7 +237,7 @@ def _dealt(plan):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("query", ["page_overlays"])
+@pytest.mark.parametrize("query", ["page_overlays", "page_black_boxes"])
 def test_boxes_deal_no_more_than_twice_the_text(spark, query):
     rows = QUERIES[query](spark, SF)
     assert rows.collect()
